@@ -100,9 +100,14 @@ def chunk_recursive(
 
 
 def next_chunk_edges(
-    chunks: DataFrame, key: str = "source", chunk_id: str = "chunk_id", contiguous: bool = True, bucket_rows: int = 10_000
+    chunks: DataFrame,
+    key: str = "source",
+    chunk_id: str = "chunk_id",
+    contiguous: bool = True,
+    bucket_rows: int = 10_000,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Edges ``(key, src, dst, relation)`` from each chunk to the following one of the same document.
+    """Edges ``(key, *keep, src, dst, relation)`` from each chunk to the following one of the same document.
 
     Chunk ids from the chunkers above are contiguous from 0, so an edge is a
     projection of its later chunk: no shuffle.  With gaps, the predecessor is looked
@@ -111,14 +116,14 @@ def next_chunk_edges(
     """
     at = F.col(chunk_id)
     if contiguous:
-        edges = chunks.where(at > 0).select(key, (at - 1).alias("src"), at.alias("dst"))
+        edges = chunks.where(at > 0).select(key, *keep, (at - 1).alias("src"), at.alias("dst"))
     else:
-        rows = chunks.select(key, at.alias("dst"), F.floor(at / bucket_rows).alias("_b"))
+        rows = chunks.select(key, *keep, at.alias("dst"), F.floor(at / bucket_rows).alias("_b"))
         previous = F.lag("dst").over(Window.partitionBy(key, "_b").orderBy("dst"))
         last_before = F.lag("_last").over(Window.partitionBy(key).orderBy("_b"))
-        ends = rows.groupBy(key, "_b").agg(F.max("dst").alias("_last"), F.min("dst").alias("dst"))
-        heads = ends.select(key, "_b", "dst", last_before.alias("src"))
-        inner = rows.select(key, "dst", previous.alias("src"))
-        edges = inner.unionByName(heads.select(key, "dst", "src")).where(F.col("src").isNotNull())
-        edges = edges.select(key, "src", "dst")
+        first = [F.min_by(c, "dst").alias(c) for c in keep]
+        ends = rows.groupBy(key, "_b").agg(F.max("dst").alias("_last"), F.min("dst").alias("dst"), *first)
+        heads = ends.select(key, *keep, "dst", last_before.alias("src"))
+        inner = rows.select(key, *keep, "dst", previous.alias("src"))
+        edges = inner.unionByName(heads).where(F.col("src").isNotNull()).select(key, *keep, "src", "dst")
     return edges.withColumn("relation", F.lit(NEXT_CHUNK))

@@ -83,7 +83,7 @@ def ridge(p: Mapping, shape: TrainingShape) -> Estimator:
 
 def lasso(p: Mapping, shape: TrainingShape) -> Estimator:
     return LinearRegression(
-        elasticNetParam=1.0, standardization=False, regParam=p["alpha"], maxIter=LASSO_ITERATIONS, tol=1e-10, **COLS
+        elasticNetParam=1.0, standardization=False, regParam=p["alpha"], maxIter=LASSO_ITERATIONS, tol=1e-9, **COLS
     )
 
 
@@ -102,7 +102,7 @@ def forest_regression(p: Mapping, shape: TrainingShape) -> Estimator:
 def logistic(p: Mapping, shape: TrainingShape) -> Estimator:
     """Inverse penalty ``C`` on the summed loss is ``1 / (C n)`` on the mean loss."""
     return LogisticRegression(
-        standardization=False, regParam=1.0 / (p["C"] * shape.rows), maxIter=LOGISTIC_ITERATIONS, tol=1e-9, **COLS
+        standardization=False, regParam=1.0 / (p["C"] * shape.rows), maxIter=LOGISTIC_ITERATIONS, tol=1e-8, **COLS
     )
 
 

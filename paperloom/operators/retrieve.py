@@ -57,7 +57,8 @@ def _top_k(
     rhs = queries.select(F.col(query_id).alias("_qid"), F.col(embedding).alias("_q")).where("_q is not null")
 
     def best_of_block(block: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
-        scores = scorer(_matrix(probes["_q"]), _matrix(block["_v"]))
+        # rounded, so that equal vectors tie whatever their place in a block
+        scores = np.round(scorer(_matrix(probes["_q"]), _matrix(block["_v"])), 12)
         ids, qids = block["_vid"].to_numpy(), probes["_qid"].to_numpy()
         if len(ids) > k:
             # the k-th best score and everything tied with it: ties are broken by id at the end

@@ -16,15 +16,13 @@ def chunk_profile(documents: DataFrame, key: str = "doc_id", by: str = "lang") -
     """Clean, cut into fixed chunks, link the chunks, and profile them per language."""
     clean = documents.select(key, by, clean_lines(F.col("text")).alias("text"))
     chunks = chunk_fixed(clean, "text", [key, by])
-    edges = next_chunk_edges(chunks.withColumnRenamed(by, "_by"), key)
+    edges = next_chunk_edges(chunks, key, keep=[by])
     sizes = chunks.withColumn("chars", F.length("text"))
     profile = aggregate(
         sizes, [by], {"chunk_id": ["count", "max"], "chars": ["sum", "mean"], key: ["nunique"]}, sort=False
     )
-    linked = chunks.select(key, by, "chunk_id").join(
-        edges.select(key, F.col("dst").alias("chunk_id")), [key, "chunk_id"], "left_semi"
-    )
-    return profile.join(linked.groupBy(by).agg(F.count("*").alias("edges")), by, "left").orderBy(by)
+    links = edges.groupBy(by).agg(F.count("*").alias("edges"))
+    return profile.join(links, by, "left").withColumn("edges", F.coalesce("edges", F.lit(0))).orderBy(by)
 
 
 def answer_contexts(
@@ -36,8 +34,8 @@ def answer_contexts(
     """
     chunks = chunk_recursive(documents, "text", [key])
     model = fit_embedder(chunks)
-    vectors = embed(chunks, model).withColumn("node", F.struct(key, "chunk_id"))
+    vectors = embed(chunks, model).withColumn("node", F.concat_ws("#", key, "chunk_id"))
     asked = embed(questions.select(F.col(question_id).alias("query_id"), "text"), model)
-    texts = vectors.select(F.struct(key, "chunk_id").alias("node"), "text")
-    hits = hybrid_search(asked.select("query_id", "embedding"), vectors.select("node", "embedding"), texts, None, k, vector_id="node")
+    texts = chunks.select(F.concat_ws("#", key, "chunk_id").alias("node"), "text")
+    hits = hybrid_search(asked, vectors, texts, None, k, vector_id="node")
     return build_context(asked, hits, chunks)
