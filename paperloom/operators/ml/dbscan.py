@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -34,6 +34,7 @@ MIN_SAMPLES = 5
 NOISE = -1
 # -----------------------------------------------------------------------------------
 
+SMALL_GRAPH = 100_000  # edges that one task may hold
 GRID_DIMENSIONS = 3  # up to here neighbour cells are enumerated, beyond it cells meet in blocks
 _SAFETY = 1.0 - 1e-9  # keeps rounding from putting points farther apart than eps into one cell
 
@@ -148,35 +149,62 @@ def _touching_dense(points: DataFrame, cells: DataFrame, near: DataFrame, dims:
         open_pairs = open_pairs.where(_box_d2("p", "q", dims, False) <= limit)
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
-    """(node, component): smallest reachable ``rank`` by label passing with pointer jumping.
+def _join_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Union by smaller id over a bounded edge list."""
+    parent: dict[int, int] = {}
 
-    ``nodes``: node, rank (unique).  ``edges``: src, dst.  Each round is written.
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch["src"].tolist(), batch["dst"].tolist()):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"src": list(parent), "root": [root(x) for x in list(parent)]}, dtype="int64")
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, small_graph: int = SMALL_GRAPH) -> DataFrame:
+    """(node, component): the smallest node id reachable.
+
+    ``nodes``: node.  ``edges``: src, dst.  Every round hooks each component to its
+    smallest neighbour, shortens the hooks to their roots by doubling, and contracts
+    the edges to the roots, so the graph shrinks fast and long chains cost a
+    logarithmic number of steps.  Each round is written.  Once at most
+    ``small_graph`` edges are left (counted), one task finishes them.
     """
-    both = materialize(
-        edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(),
-        "edges",
-    )
-    state = materialize(nodes.select(node, "rank", F.col("rank").alias("component")), "components")
-    while True:
-        offered = (
-            both.join(state.select(F.col(node).alias("src"), "component"), "src")
-            .groupBy("dst")
-            .agg(F.min("component").alias("offer"))
+    labels = nodes.select("node", F.col("node").alias("component"))
+    live = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
+    while (left := live.count()) > 0:
+        if left <= small_graph:
+            hooks = live.coalesce(1).mapInPandas(_join_up, "src long, root long")
+            return labels.join(hooks.withColumnRenamed("src", "component"), "component", "left").select(
+                "node", F.coalesce("root", "component").alias("component")
+            )
+        ends = live.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))))
+        hooks = ends.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("root"))
+        hooks = materialize(hooks, "hooks")
+        while True:
+            upper = hooks.select(F.col("src").alias("root"), F.col("root").alias("next"))
+            further = hooks.join(upper, "root", "left").select(
+                "src", F.coalesce("next", "root").alias("root"), (F.col("next") < F.col("root")).alias("moved")
+            )
+            further = materialize(further, "hooks")
+            hooks = further.select("src", "root")
+            if not further.where("moved").take(1):
+                break
+        labels = labels.join(hooks.withColumnRenamed("src", "component"), "component", "left").select(
+            "node", F.coalesce("root", "component").alias("component")
         )
-        lower = state.join(offered, state[node] == offered["dst"], "left").select(
-            node, "rank", F.col("component").alias("old"), F.least("component", "offer").alias("component")
+        labels = materialize(labels, "components")
+        live = live.join(hooks.select("src", F.col("root").alias("a")), "src").join(
+            hooks.select(F.col("src").alias("dst"), F.col("root").alias("b")), "dst"
         )
-        lower = materialize(lower, "components")
-        # jump: follow the component to the component of the node that it names
-        heads = lower.select(F.col("rank").alias("component"), F.col("component").alias("further"))
-        jumped = lookup_join(lower, heads, ["component"]).select(
-            node, "rank", "old", F.least("component", "further").alias("component")
-        )
-        jumped = materialize(jumped, "components")
-        if not jumped.where(F.col("component") != F.col("old")).take(1):
-            return jumped.select(node, "component")
-        state = jumped.select(node, "rank", "component")
+        live = live.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+        live = materialize(live, "edges")
+    return labels
 
 
 def dbscan(
@@ -226,20 +254,23 @@ def dbscan(
     )
     core = materialize(core, "core")
 
-    # cell graph: the core points of a cell are one node
-    nodes = core.groupBy(F.col("cell").alias("node")).agg(F.min("uid").alias("rank"))
+    # cell graph: the core points of a cell are one node, named by their smallest id
+    named = materialize(core.groupBy("cell").agg(F.min("uid").alias("node")), "core-cells")
     from_sparse = sparse_core.alias("s").join(near.alias("g"), F.col("s.cell") == F.col("g.a")).select(
-        F.col("s.cell").alias("src"), F.struct(*[F.col(f"s.{x}") for x in xs]).alias("s"), F.col("g.b").alias("cell")
+        F.col("s.cell").alias("a"), F.struct(*[F.col(f"s.{x}") for x in xs]).alias("s"), F.col("g.b").alias("cell")
     )
     sparse_edges = (
         from_sparse.join(core.select("cell", F.struct(*xs).alias("t")), "cell")
         .where(_d2("s", "t", dims) <= limit)
-        .select("src", F.col("cell").alias("dst"))
+        .select("a", F.col("cell").alias("b"))
         .distinct()
     )
-    dense_edges = _touching_dense(points, dense, near, dims, eps, side)
-    edges = sparse_edges.unionByName(dense_edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    components = materialize(connected_components(nodes, edges), "clusters")
+    edges = sparse_edges.unionByName(_touching_dense(points, dense, near, dims, eps, side))
+    edges = edges.join(named.select(F.col("cell").alias("a"), F.col("node").alias("src")), "a").join(
+        named.select(F.col("cell").alias("b"), F.col("node").alias("dst")), "b"
+    )
+    components = connected_components(named.select("node"), edges)
+    components = materialize(named.join(components, "node").select("cell", "component"), "clusters")
 
     # border points lie in sparse cells only
     border = sparse.where(~F.col("core")).alias("s").join(near.alias("g"), F.col("s.cell") == F.col("g.a"))
@@ -249,15 +280,15 @@ def dbscan(
         .where(_d2("s", "t", dims) <= limit)
         .select("uid", "cell")
         .distinct()
-        .join(components.withColumnRenamed("node", "cell"), "cell")
+        .join(components, "cell")
     )
     own = sparse.where(~F.col("core")).select("uid", "cell").join(
         core.select("cell").distinct(), "cell", "left_semi"
-    ).join(components.withColumnRenamed("node", "cell"), "cell")
+    ).join(components, "cell")
     border_label = reached.select("uid", "component").unionByName(own.select("uid", "component")).groupBy("uid").agg(
         F.min("component").alias("component")
     )
-    core_label = core.join(components.withColumnRenamed("node", "cell"), "cell").select("uid", "component")
+    core_label = core.join(components, "cell").select("uid", "component")
     labels = core_label.unionByName(border_label)
 
     numbered = _number(components.select("component").distinct().orderBy("component"))
