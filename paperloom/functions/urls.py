@@ -69,11 +69,11 @@ def normalize_url(url: Column | str) -> Column:
     return F.regexp_replace(_col(url), r"(?s)[?#].*\z", "")
 
 
-def _fold_dots(path: Column) -> Column:
+def _fold_dots(path: Column, keep_empty: Column) -> Column:
     """Resolve ``.`` and ``..`` segments and drop empty inner ones."""
     segments = F.split(path, "/", -1)
     last = F.element_at(segments, -1)
-    inner = F.filter(F.slice(segments, 2, F.greatest(F.size(segments) - 2, F.lit(0))), lambda s: s != "")
+    inner = F.filter(F.slice(segments, 2, F.greatest(F.size(segments) - 2, F.lit(0))), lambda s: (s != "") | keep_empty)
     folded = F.aggregate(
         F.concat(inner, F.array(last)),
         F.array().cast("array<string>"),
@@ -103,10 +103,10 @@ def resolve_url(base: Column | str, href: Column | str) -> Column:
         .when(_part(href, 3) != "", F.concat(base_scheme, F.lit("://"), url_host(href), path, tail))
         .when(path == "", F.concat(site, base_path, F.when(_part(href, 6) == "", _part(base, 6)).otherwise(F.lit("")), tail))
         .when(
-            path.startswith("/") & ~path.contains("/.") & ~path.contains("//"),
+            path.startswith("/") & ~path.contains("/."),
             F.concat(site, path, tail),
         )
-        .otherwise(F.concat(site, _fold_dots(merged), tail))
+        .otherwise(F.concat(site, _fold_dots(merged, path.startswith("/")), tail))
     )
 
 

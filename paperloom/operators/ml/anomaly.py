@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from paperloom.operators.ml.prep import SEED, standardize
 from paperloom.plans.materialize import materialize
 from paperloom.plans.orderstats import quantiles
+from paperloom.plans.project import spread
 
 # --- fixed values: must equal the expected output ---------------------------------
 CONTAMINATION = 0.05
@@ -46,12 +47,13 @@ def tree_samples(df: DataFrame, id_col: str, columns: Sequence[str], trees: int,
     def draws(times: int) -> DataFrame:
         share = min(1.0, times * wanted / max(n, 1))
         bound = F.lit(int(share * 2**63) - 1)
-        keyed = F.transform(
-            F.sequence(F.lit(0), F.lit(trees - 1)),
-            lambda t: F.struct(t.alias("tree"), F.xxhash64(F.col(id_col), t, F.lit(seed)).bitwiseAND(F.lit(2**63 - 1)).alias("h")),
-        )
-        chosen = F.filter(keyed, lambda k: k["h"] <= bound)
-        return df.select(F.col(id_col).alias("_id"), *columns, F.inline(chosen))
+
+        def rank_of(tree: Column) -> Column:
+            return F.xxhash64(F.col(id_col), tree, F.lit(seed)).bitwiseAND(F.lit(2**63 - 1))
+
+        chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: rank_of(t) <= bound)
+        rows = df.select(id_col, *columns, F.explode(chosen).alias("tree"))
+        return rows.select(F.col(id_col).alias("_id"), *columns, "tree", rank_of(F.col("tree")).alias("h"))
 
     drawn = draws(4)
     if 4 * wanted < n:
@@ -137,7 +139,7 @@ def isolation_forest(
     columns = list(columns)
     work = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in columns])
     work = standardize(work, columns) if scale else work
-    work = materialize(work, "forest-input")
+    work = spread(materialize(work, "forest-input"))
     size = min(sample, work.count())
     nodes = grow_trees(tree_samples(work, id_col, columns, trees, sample, seed), columns, size, seed).toPandas()
     scored = work.select(id_col, anomaly_scores(work, columns, nodes, size).alias("score"))

@@ -4,8 +4,9 @@
 task.  Here only groups below a size limit are treated that way.  A larger
 group is cut into value buckets whose edges come from a mergeable quantile
 sketch.  Counting the buckets tells which of them holds a wanted rank, and only
-that bucket is sorted.  The sketch decides how even the buckets are, never the
-answer, so results are exact.
+that bucket is shuffled and sorted.  The sketch decides how even the buckets are,
+never the answer, so results are exact.  The input is read several times; an
+expensive one should be written first.
 """
 
 from __future__ import annotations
@@ -39,9 +40,13 @@ def _bucket(cuts: Column, n_cuts: int) -> Column:
 
 
 def _pick_by_bucket(bucketed: DataFrame, keys: Sequence[str], points: Mapping[str, Point]) -> DataFrame:
-    """``bucketed``: keys, _v, _w, _b.  One output row per key with each wanted value."""
+    """``bucketed``: keys, _v, _b.  One output row per key with each wanted value.
+
+    The buckets are counted with a map-side aggregation; only rows of the buckets that
+    hold a wanted rank are shuffled, copies collapsed first.
+    """
     keys = list(keys)
-    counts = bucketed.groupBy(*keys, "_b").agg(F.sum("_w").alias("_c"))
+    counts = bucketed.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
     # at most 2 * len(points) + 1 rows per key reach these windows
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -60,8 +65,11 @@ def _pick_by_bucket(bucketed: DataFrame, keys: Sequence[str], points: Mapping[st
     holds = [inside(rank, F.col("_below"), F.col("_below") + F.col("_c")) for _, rank in points.values()]
     targets = counts.where(reduce(lambda a, b: a | b, holds)).select(*keys, "_b", "_below", "n")
     in_bucket = Window.partitionBy(*keys, "_b").orderBy("_v")
-    ranked = bucketed.join(F.broadcast(targets), [*keys, "_b"]).withColumn(
-        "_high", F.col("_below") + F.sum("_w").over(in_bucket)
+    ranked = (
+        bucketed.join(F.broadcast(targets), [*keys, "_b"])
+        .groupBy(*keys, "_b", "_v")
+        .agg(F.count("*").alias("_w"), F.max("_below").alias("_below"), F.max("n").alias("n"))
+        .withColumn("_high", F.col("_below") + F.sum("_w").over(in_bucket))
     )
     return ranked.groupBy(*keys).agg(
         F.max("n").alias("n"),
@@ -95,7 +103,7 @@ def order_statistics(
     if not keys:
         cuts = rows.agg(_sketch(shares).alias("_cuts")).scalar()
         bucketed = rows.withColumn("_b", _bucket(cuts, n_cuts))
-        return _pick_by_bucket(bucketed.groupBy("_b", "_v").agg(F.count("*").alias("_w")), [], points)
+        return _pick_by_bucket(bucketed, [], points)
 
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), _sketch(shares).alias("_cuts"))
     share_of_all = rows.agg(F.count("*") / max_hot_keys).scalar()
@@ -108,10 +116,8 @@ def order_statistics(
         .withColumn("n", F.size("_all").cast("long"))
         .select(*keys, "n", *[F.get("_all", rank(F.col("n")).cast("int")).alias(p) for p, (_, rank) in points.items()])
     )
-    # pre-aggregated on (key, bucket, value): copies collapse and a hot key spreads over all tasks
-    bucketed = marked.where(F.col("_cuts").isNotNull()).withColumn("_b", _bucket(F.col("_cuts"), n_cuts))
-    weighted = bucketed.groupBy(*keys, "_b", "_v").agg(F.count("*").alias("_w"))
-    return cold.unionByName(_pick_by_bucket(weighted, keys, points))
+    bucketed = marked.where(F.col("_cuts").isNotNull()).withColumn("_b", _bucket(F.col("_cuts"), n_cuts)).drop("_cuts")
+    return cold.unionByName(_pick_by_bucket(bucketed, keys, points))
 
 
 def quantiles(
