@@ -224,22 +224,23 @@ def fit_supervised(
         raise ValueError(f"no model {model_type!r} for {module!r}")
     features = list(features or [c for c in select_features(df, target) if c != id_col])
     stratify = target if module == "classification" else None
-    filled = impute(df.select(id_col, *features, target), [*features, target])
+    rows = df.select(id_col, *features, target)
+    has_holes = bool(rows.where(F.col(target).isNull()).take(1))  # a whole target keeps its type
+    filled = materialize(impute(rows, [*features, target] if has_holes else features), "filled")
     cardinality_guard(filled, target, module)
     flagged = materialize(split_flags(filled, id_col, stratify, test_size), "split")
     train, test = flagged.where(~F.col("is_test")), flagged.where("is_test")
 
-    stages, encoder = [], None
+    encoder = None
     numeric_target = isinstance(flagged.schema[target].dataType, NumericType)
     if module == "classification":
         labelled = train.withColumn("_target", F.col(target).cast("string"))
-        order = "alphabetAsc"
         if numeric_target:  # order classes by value, not by spelling
             values = [r[0] for r in train.select(target).distinct().orderBy(target).collect()]  # at most 20
             encoder = StringIndexerModel.from_labels([str(v) for v in values], "_target", "label", handleInvalid="keep")
         else:
             encoder = StringIndexer(
-                inputCol="_target", outputCol="label", stringOrderType=order, handleInvalid="keep"
+                inputCol="_target", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep"
             ).fit(labelled)
     preprocessor = fit_preprocessor(train, features, scale)
 
@@ -248,9 +249,9 @@ def fit_supervised(
             rows = rows.withColumn("label", F.col(target).cast("double"))
         else:
             rows = encoder.transform(rows.withColumn("_target", F.col(target).cast("string")))
-        return preprocessor.transform(rows).select(id_col, target, "features", "label")
+        return preprocessor.transform(rows).select("features", "label", "fold")
 
-    table = materialize(add_folds(prepared(train), id_col, "label" if stratify else None, folds), "train")
+    table = materialize(prepared(add_folds(train, id_col, stratify, folds)), "train")
     build = MODELS[module, model_type]
     candidates = expand_grid(grid if grid is not None else GRIDS[module, model_type])
     search = grid_search(table, module, build, candidates, folds, parallelism)

@@ -32,8 +32,9 @@ VOID_TAGS = frozenset(
     "menuitem meta nextid param source spacer track wbr".split()
 )
 _NOT_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-_ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
-_ANCHOR = r"""(?is)<a(?=\s)(?:[^>"'])*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s>"']+)"""
+_OTHER_ATTRIBUTES = r"""(?:\s+(?!href\s*=)[^\s=>"']+(?:\s*=\s*""" + _VALUE + r""")?)*+"""
+_ANCHOR = r"(?is)<a" + _OTHER_ATTRIBUTES + r"\s+href\s*=\s*(" + _VALUE + ")"
 _ANCHOR_WITH_TEXT = _ANCHOR + r"""[^>]*>(.*?)(?=</a\s*>|<a\s|\z)"""
 
 
