@@ -10,7 +10,8 @@ points, known without measuring a distance.  What is left to measure:
 * whether two dense cells touch.  Their bounding boxes decide most pairs; the
   undecided ones are cut into sub-cells until a pair of points is found or ruled out.
 
-Clusters are the connected components of the cell graph.
+Clusters are the connected components of the cell graph.  A cell with very many
+points is split into parts, so that joins by cell spread it over several tasks.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from paperloom.plans.blocks import meet_in_blocks
 from paperloom.plans.joins import lookup_join
 from paperloom.plans.materialize import materialize
+from paperloom.plans.number import number_rows
 
 # --- fixed values: must equal the expected output ---------------------------------
 EPS = 0.5
@@ -34,6 +36,7 @@ MIN_SAMPLES = 5
 NOISE = -1
 # -----------------------------------------------------------------------------------
 
+CELL_PART = 100_000  # distinct points of one cell that a join may bring into one task
 SMALL_GRAPH = 100_000  # edges that one task may hold
 GRID_DIMENSIONS = 3  # up to here neighbour cells are enumerated, beyond it cells meet in blocks
 _SAFETY = 1.0 - 1e-9  # keeps rounding from putting points farther apart than eps into one cell
@@ -63,12 +66,33 @@ def _boxes(points: DataFrame, keys: Sequence[str], dims: range) -> DataFrame:
     sample = F.min_by(F.struct(*[f"x{i}" for i in dims]), "uid")
     return points.groupBy(*keys).agg(
         F.sum("w").alias("n"),
+        F.count("*").alias("places"),
         *[F.min(f"x{i}").alias(f"lo{i}") for i in dims],
         *[F.max(f"x{i}").alias(f"hi{i}") for i in dims],
         sample.alias("sample"),
     )
 
 
+def _hot_cells(cells: DataFrame, part_rows: int) -> DataFrame:
+    """(cell, parts) of the cells over ``part_rows`` points: at most one row per ``part_rows`` points of the table."""
+    parts = F.ceil(F.col("places") / part_rows).cast("int")
+    return cells.where(F.col("places") > part_rows).select("cell", parts.alias("parts"))
+
+
+def _put_in_parts(points: DataFrame, hot: DataFrame) -> DataFrame:
+    """Add ``part``: which part of its cell a point belongs to."""
+    joined = points.join(F.broadcast(hot), "cell", "left")
+    part = F.coalesce(F.pmod(F.xxhash64("uid"), F.col("parts")), F.lit(0)).cast("int")
+    return joined.withColumn("part", part).drop("parts")
+
+
+def _for_parts(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Repeat rows addressed to a ``cell`` for each of its parts."""
+    joined = rows.join(F.broadcast(hot), "cell", "left")
+    parts = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
+    return joined.withColumn("part", F.explode(parts)).drop("parts")
+
+
 def _near_cells(cells: DataFrame, dims: range, eps: float) -> DataFrame:
     """(a, b): ordered pairs of different cells whose boxes come within ``eps``."""
     table = cells.select("cell", *[f"lo{i}" for i in dims], *[f"hi{i}" for i in dims])
@@ -105,7 +129,9 @@ def _near_cells(cells: DataFrame, dims: range, eps: float) -> DataFrame:
     return found.select(back("a").alias("a"), back("b").alias("b"))
 
 
-def _touching_dense(points: DataFrame, cells: DataFrame, near: DataFrame, dims: range, eps: float, side: float) -> DataFrame:
+def _touching_dense(
+    points: DataFrame, cells: DataFrame, near: DataFrame, hot: DataFrame, dims: range, eps: float, side: float
+) -> DataFrame:
     """(a, b) for dense cells that hold a pair of points within ``eps``."""
     limit = eps * eps
     dense = cells.select("cell")
@@ -135,7 +161,7 @@ def _touching_dense(points: DataFrame, cells: DataFrame, near: DataFrame, dims:
         level += 1
         width = side / 2**level
         involved = left.select(F.explode(F.array("a", "b")).alias("cell")).distinct()
-        finer = points.join(involved, "cell", "left_semi").withColumn(
+        finer = points.join(_for_parts(involved, hot), ["cell", "part"], "left_semi").withColumn(
             "sub", F.array(*[F.floor(F.col(f"x{i}") / width) for i in dims])
         )
         if level > 60:  # below the spacing of doubles: single points
@@ -213,6 +239,7 @@ def dbscan(
     columns: Sequence[str],
     eps: float = EPS,
     min_samples: int = MIN_SAMPLES,
+    cell_part: int = CELL_PART,
 ) -> DataFrame:
     """``(id, cluster)``: -1 for noise; clusters numbered from 0 by their smallest core id.
 
@@ -229,16 +256,19 @@ def dbscan(
     cell = F.array(*[F.floor(F.col(x) / side) for x in xs])
     points = materialize(places.withColumn("cell", cell), "places")
     cells = materialize(_boxes(points, ["cell"], dims), "cells")
+    hot = materialize(_hot_cells(cells, cell_part), "hot-cells")
+    points = _put_in_parts(points, hot)
+    here = ["cell", "part"]
     dense = cells.where(F.col("n") >= min_samples)
     near = materialize(_near_cells(cells, dims, eps), "near")
 
     # sparse points: few per cell, so each point of a neighbour cell meets a bounded number of them
     sparse_cells = cells.where(F.col("n") < min_samples).select("cell", F.col("n").alias("own"))
-    sparse = materialize(points.join(sparse_cells, "cell"), "sparse")
+    sparse = materialize(points.join(_for_parts(sparse_cells, hot), here).drop("part"), "sparse")
     meet = sparse.alias("s").join(near.alias("g"), F.col("s.cell") == F.col("g.a")).select(
         F.col("s.uid").alias("uid"), F.struct(*[F.col(f"s.{x}") for x in xs]).alias("s"), F.col("g.b").alias("cell")
     )
-    close = meet.join(points.select("cell", F.col("uid").alias("other"), "w", F.struct(*xs).alias("t")), "cell").where(
+    close = _for_parts(meet, hot).join(points.select(*here, "w", F.struct(*xs).alias("t")), here).where(
         _d2("s", "t", dims) <= limit
     )
     counted = close.groupBy("uid").agg(F.sum("w").alias("seen"))
@@ -249,8 +279,9 @@ def dbscan(
         "sparse-core",
     )
     sparse_core = sparse.where("core")
-    core = points.join(dense.select("cell"), "cell", "left_semi").select("uid", "cell", *xs).unionByName(
-        sparse_core.select("uid", "cell", *xs)
+    in_dense = points.join(_for_parts(dense.select("cell"), hot), here, "left_semi")
+    core = in_dense.select("uid", *here, *xs).unionByName(
+        sparse_core.withColumn("part", F.lit(0)).select("uid", *here, *xs)
     )
     core = materialize(core, "core")
 
@@ -260,12 +291,13 @@ def dbscan(
         F.col("s.cell").alias("a"), F.struct(*[F.col(f"s.{x}") for x in xs]).alias("s"), F.col("g.b").alias("cell")
     )
     sparse_edges = (
-        from_sparse.join(core.select("cell", F.struct(*xs).alias("t")), "cell")
+        _for_parts(from_sparse, hot)
+        .join(core.select(*here, F.struct(*xs).alias("t")), here)
         .where(_d2("s", "t", dims) <= limit)
         .select("a", F.col("cell").alias("b"))
         .distinct()
     )
-    edges = sparse_edges.unionByName(_touching_dense(points, dense, near, dims, eps, side))
+    edges = sparse_edges.unionByName(_touching_dense(points, dense, near, hot, dims, eps, side))
     edges = edges.join(named.select(F.col("cell").alias("a"), F.col("node").alias("src")), "a").join(
         named.select(F.col("cell").alias("b"), F.col("node").alias("dst")), "b"
     )
@@ -276,7 +308,8 @@ def dbscan(
     border = sparse.where(~F.col("core")).alias("s").join(near.alias("g"), F.col("s.cell") == F.col("g.a"))
     border = border.select(F.col("s.uid").alias("uid"), F.struct(*[F.col(f"s.{x}") for x in xs]).alias("s"), F.col("g.b").alias("cell"))
     reached = (
-        border.join(core.select("cell", F.struct(*xs).alias("t")), "cell")
+        _for_parts(border, hot)
+        .join(core.select(*here, F.struct(*xs).alias("t")), here)
         .where(_d2("s", "t", dims) <= limit)
         .select("uid", "cell")
         .distinct()
@@ -288,21 +321,12 @@ def dbscan(
     border_label = reached.select("uid", "component").unionByName(own.select("uid", "component")).groupBy("uid").agg(
         F.min("component").alias("component")
     )
-    core_label = core.join(components, "cell").select("uid", "component")
+    core_label = core.join(_for_parts(components, hot), here).select("uid", "component")
     labels = core_label.unionByName(border_label)
 
-    numbered = _number(components.select("component").distinct().orderBy("component"))
+    numbered = number_rows(components.select("component").distinct().orderBy("component"), "cluster")
     labels = lookup_join(labels, materialize(numbered, "numbers"), ["component"])
     place_labels = points.select("uid", *xs).join(labels.select("uid", "cluster"), "uid", "left")
     place_labels = materialize(place_labels.select(*xs, F.coalesce("cluster", F.lit(NOISE)).alias("cluster")), "labels")
     return lookup_join(raw, place_labels, xs).select(F.col("id").alias(id_col), "cluster")
 
-
-def _number(ordered: DataFrame) -> DataFrame:
-    """Position of each row of an ordered one-column table, without gathering it in one task."""
-    name = ordered.columns[0]
-    indexed = ordered.rdd.zipWithIndex().map(lambda pair: (pair[0][0], pair[1]))
-    kind = ordered.schema[name].dataType.simpleString()
-    return ordered.sparkSession.createDataFrame(indexed, f"{name} {kind}, cluster long").withColumn(
-        "cluster", F.col("cluster").cast("int")
-    )

@@ -14,12 +14,13 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from paperloom.plans.joins import lookup_join
 from paperloom.plans.materialize import materialize
+from paperloom.plans.number import number_rows
 from paperloom.plans.orderstats import order_statistics
 
 # --- fixed values: must equal the expected output ---------------------------------
@@ -83,7 +84,7 @@ def add_folds(df: DataFrame, order: str, label: str | None = None, folds: int =
 def label_codes(df: DataFrame, target: str) -> DataFrame:
     """(target, code): distinct values in ascending order, 0..n-1; one row per class."""
     classes = df.select(target).where(F.col(target).isNotNull()).distinct()
-    return classes.withColumn("code", (F.row_number().over(Window.orderBy(target)) - 1).cast("int"))
+    return number_rows(classes.orderBy(target), "code")
 
 
 def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -31,7 +31,7 @@ from paperloom.operators.ml.prep import (
     select_features,
     split_flags,
 )
-from paperloom.plans.materialize import materialize
+from paperloom.plans.materialize import ensure_checkpointing, materialize
 
 # --- fixed values: must equal the expected output ---------------------------------
 PENALTIES = [0.01, 0.1, 1, 10, 100]
@@ -102,7 +102,7 @@ def forest_regression(p: Mapping, shape: TrainingShape) -> Estimator:
 def logistic(p: Mapping, shape: TrainingShape) -> Estimator:
     """Inverse penalty ``C`` on the summed loss is ``1 / (C n)`` on the mean loss."""
     return LogisticRegression(
-        standardization=False, regParam=1.0 / (p["C"] * shape.rows), maxIter=LOGISTIC_ITERATIONS, tol=1e-8, **COLS
+        standardization=False, regParam=1.0 / (p["C"] * shape.rows), maxIter=LOGISTIC_ITERATIONS, tol=1e-7, **COLS
     )
 
 
@@ -219,6 +219,7 @@ def fit_supervised(
     split and the folds and is not a feature unless listed.  Preprocessing is fitted
     once on the training rows, before cross-validation.
     """
+    ensure_checkpointing(df.sparkSession)
     target = target or df.columns[-1]
     if (module, model_type) not in MODELS:
         raise ValueError(f"no model {model_type!r} for {module!r}")

@@ -56,6 +56,10 @@ def _top_k(
     lhs = vectors.select(F.col(vector_id).alias("_vid"), F.col(embedding).alias("_v")).where("_v is not null")
     rhs = queries.select(F.col(query_id).alias("_qid"), F.col(embedding).alias("_q")).where("_q is not null")
 
+    def best_of(hits: pd.DataFrame) -> pd.DataFrame:
+        ordered = hits.sort_values(["_qid", "relevance", "_vid"], ascending=[True, False, True])
+        return ordered.groupby("_qid", sort=False).head(k)
+
     def best_of_block(block: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
         # rounded, so that equal vectors tie whatever their place in a block
         scores = np.round(scorer(_matrix(probes["_q"]), _matrix(block["_v"])), 12)
@@ -66,12 +70,10 @@ def _top_k(
             q, v = np.nonzero(scores >= floor[:, None])
         else:
             q, v = np.indices(scores.shape).reshape(2, -1)
-        best = pd.DataFrame({"_qid": qids[q], "_vid": ids[v], "relevance": scores[q, v]})
-        best = best.sort_values(["_qid", "relevance", "_vid"], ascending=[True, False, True])
-        return best.groupby("_qid", sort=False).head(k)
+        return best_of(pd.DataFrame({"_qid": qids[q], "_vid": ids[v], "relevance": scores[q, v]}))
 
     schema = f"_qid {query_type}, _vid {types[vector_id]}, relevance double"
-    partial = meet_in_blocks(lhs, rhs, "_vid", "_qid", best_of_block, schema, max_broadcast_rows, rows_per_block)
+    partial = meet_in_blocks(lhs, rhs, "_vid", "_qid", best_of_block, schema, max_broadcast_rows, rows_per_block, best_of)
     order = Window.partitionBy("_qid").orderBy(F.desc("relevance"), "_vid")
     return (
         partial.withColumn("rank", F.row_number().over(order))

@@ -26,20 +26,34 @@ def meet_in_blocks(
     schema: str,
     max_broadcast_rows: int = 4_096,
     rows_per_block: int = 16_384,
+    merge: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
+    merge_rows: int = 200_000,
 ) -> DataFrame:
     """Run ``fn(left_block, right_block)`` so that every left row meets every right row once.
 
     A right side of at most ``max_broadcast_rows`` rows (checked) is shipped to the
     tasks that scan the left side.  Beyond that both sides are hashed into blocks
-    and each pair of blocks becomes one bounded group.
+    and each pair of blocks becomes one bounded group.  ``merge`` shrinks stacked
+    partial results (a top list); a scanning task then emits one merged result
+    instead of one per batch.
     """
     small = right.limit(max_broadcast_rows + 1).toPandas()
     if len(small) <= max_broadcast_rows:
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: list[pd.DataFrame] = []
             for batch in batches:
-                if len(batch) and len(small):
-                    yield fn(batch, small)
+                if not len(batch) or not len(small):
+                    continue
+                part = fn(batch, small)
+                if merge is None:
+                    yield part
+                    continue
+                held.append(part)
+                if sum(map(len, held)) > merge_rows:
+                    held = [merge(pd.concat(held))]
+            if held:
+                yield merge(pd.concat(held))
 
         return left.mapInPandas(scan, schema)
 

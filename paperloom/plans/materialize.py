@@ -28,6 +28,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
+def ensure_checkpointing(spark: SparkSession) -> None:
+    """Let iterative library code (tree ensembles) cut its lineage too."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once as parquet under the checkpoint folder and read it back."""
     spark = df.sparkSession

@@ -50,7 +50,8 @@ def test_dbscan_equals_brute_force(spark, dims, n, scale, least):
     x = points(dims, n, scale, dims)
     columns = [f"c{i}" for i in range(dims)]
     df = spark.createDataFrame(pd.DataFrame(x, columns=columns).assign(id=np.arange(len(x))))
-    got = dbscan(df, "id", columns, min_samples=least).toPandas().sort_values("id")["cluster"].to_numpy()
+    # small parts, so that the split of hot cells is exercised
+    got = dbscan(df, "id", columns, min_samples=least, cell_part=4).toPandas().sort_values("id")["cluster"].to_numpy()
     want = brute_dbscan(x, 0.5, least)
     assert len(set(want)) > 2 and (got == want).all()
 
