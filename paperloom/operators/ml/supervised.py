@@ -62,9 +62,12 @@ class TrainingShape:
     classes: int
 
 
-def _shape(train: DataFrame) -> TrainingShape:
-    row = train.agg(F.count("*"), F.stddev_pop("label"), F.max("label")).first()
-    return TrainingShape(row[0], row[1] or 1.0, int(row[2] or 0) + 1)
+def training_shapes(train: DataFrame, folds: int = 0) -> list[TrainingShape]:
+    """The shape of the rows outside each fold, and last that of all rows, from one aggregation."""
+    label = F.col("label")
+    parts = [F.when(F.col("fold") != fold, label) for fold in range(folds)] + [label]
+    stats = train.agg(F.array(*[F.struct(F.count(p), F.stddev_pop(p), F.max(p)) for p in parts])).first()[0]
+    return [TrainingShape(n, deviation or 1.0, int(top or 0) + 1) for n, deviation, top in stats]
 
 
 def linear(p: Mapping, shape: TrainingShape) -> Estimator:
@@ -165,27 +168,21 @@ def grid_search(
     ``train``: features, label, fold.  It should be a written or cached table, as
     every fit reads it.  The driver only schedules fits; it never sees rows.
     """
-    parts = []
-    for fold in range(folds):
-        fit_on = train.where(F.col("fold") != fold)
-        parts.append((fit_on, train.where(F.col("fold") == fold), _shape(fit_on)))
+    *shapes, whole = training_shapes(train, folds)
 
     def run(job: tuple[int, int]) -> float:
         candidate, fold = job
-        fit_on, check_on, shape = parts[fold]
-        return _score(module, build(candidates[candidate], shape).fit(fit_on).transform(check_on))
+        model = build(candidates[candidate], shapes[fold]).fit(train.where(F.col("fold") != fold))
+        return _score(module, model.transform(train.where(F.col("fold") == fold)))
 
     jobs = [(c, f) for c in range(len(candidates)) for f in range(folds)]
-    if len(candidates) > 1:
-        with ThreadPool(parallelism) as pool:
-            results = pool.map(run, jobs)
-    else:
-        results = [run(job) for job in jobs]
+    with ThreadPool(parallelism) as pool:
+        results = pool.map(run, jobs, chunksize=1)
     means = [sum(results[c * folds : (c + 1) * folds]) / folds for c in range(len(candidates))]
     best = max(range(len(candidates)), key=lambda c: (means[c], -c))
     rows = [(str(dict(candidates[c])), float(means[c]), c == best) for c in range(len(candidates))]
     scores = train.sparkSession.createDataFrame(rows, "params string, mean_score double, best boolean")
-    model = build(candidates[best], _shape(train)).fit(train)
+    model = build(candidates[best], whole).fit(train)
     return Search(dict(candidates[best]), scores, model)
 
 

@@ -20,7 +20,6 @@ from paperloom.operators.ml.prep import (
 from paperloom.operators.ml.supervised import (
     GRIDS,
     MODELS,
-    _shape,
     expand_grid,
     fit_supervised,
     grid_search,
@@ -30,6 +29,7 @@ from paperloom.operators.ml.supervised import (
     logistic,
     ridge,
     save_model,
+    training_shapes,
 )
 
 from paperloom.plans.materialize import materialize
@@ -57,7 +57,7 @@ def test_ridge_equals_closed_form(table, data):
     centred = x - x.mean(0)
     for alpha in (0.01, 1, 100):
         want = np.linalg.solve(centred.T @ centred + alpha * np.eye(2), centred.T @ (y - y.mean()))
-        model = ridge({"alpha": alpha}, _shape(train)).fit(train)
+        model = ridge({"alpha": alpha}, training_shapes(train)[0]).fit(train)
         assert np.allclose(model.coefficients.toArray(), want, atol=1e-9)
         assert np.isclose(model.intercept, y.mean() - x.mean(0) @ want)
 
@@ -73,7 +73,7 @@ def test_lasso_equals_coordinate_descent(table, data):
                 rest = target - centred @ w + centred[:, j] * w[j]
                 rho = centred[:, j] @ rest / len(y)
                 w[j] = np.sign(rho) * max(abs(rho) - alpha, 0) / (centred[:, j] @ centred[:, j] / len(y))
-        model = lasso({"alpha": alpha}, _shape(train)).fit(train)
+        model = lasso({"alpha": alpha}, training_shapes(train)[0]).fit(train)
         assert np.allclose(model.coefficients.toArray(), w, atol=1e-5)
 
 
@@ -81,7 +81,7 @@ def test_linear_without_intercept(table, data):
     x, y = data
     train = table.withColumnRenamed("y", "label")
     want = np.linalg.lstsq(x, y, rcond=None)[0]
-    assert np.allclose(linear({"fit_intercept": False}, _shape(train)).fit(train).coefficients.toArray(), want)
+    assert np.allclose(linear({"fit_intercept": False}, training_shapes(train)[0]).fit(train).coefficients.toArray(), want)
 
 
 def test_logistic_equals_newton(table, data):
@@ -95,7 +95,7 @@ def test_logistic_equals_newton(table, data):
         for _ in range(100):
             p = 1 / (1 + np.exp(-design @ w))
             w -= np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + penalty, design.T @ (p - t) + penalty @ w)
-        model = logistic({"C": c}, _shape(train)).fit(train)
+        model = logistic({"C": c}, training_shapes(train)[0]).fit(train)
         assert np.allclose([*model.coefficients.toArray(), model.intercept], w, atol=1e-4)
 
 
