@@ -228,16 +228,15 @@ def json_round_trip(spark, sf):
     return load_table(spark, path).select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 
 
-@query(
-    """SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation"""
-)
+@query("""SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier""")
 def json_array_table(spark, sf):
-    """A JSON array of records, as one document."""
-    path = _path(spark, "nation") + ".json"
-    rows = table(spark, sf, "nation")
-    array = rows.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*rows.columns)))).alias("value"))  # 25 rows at any scale
-    array.write.text(path)
-    return load_table(spark, path).select("n_nationkey", "n_name", "n_regionkey")
+    """JSON arrays of at most a thousand records, one per file."""
+    path = _path(spark, "supplier") + ".json"
+    rows = table(spark, sf, "supplier")
+    records = F.sort_array(F.collect_list(F.struct(*rows.columns)))
+    arrays = rows.groupBy(F.floor(F.col("s_suppkey") / 1000).alias("part")).agg(F.to_json(records).alias("value"))
+    arrays.repartition("part").write.partitionBy("part").text(path)
+    return load_table(spark, path).select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
 
 
 @query(
@@ -256,14 +255,17 @@ def document_output_names(spark, sf):
     return out
 
 
-@query("SELECT n_name || '.txt' AS source, n_name || ' ' || n_regionkey || chr(10) || '.' AS text FROM nation", name="load_documents")
+@query(
+    """SELECT CAST(floor(s_suppkey / 20) AS BIGINT) AS part, string_agg(s_name || ' ' || s_nationkey || chr(10), '' ORDER BY s_suppkey) AS text
+       FROM supplier GROUP BY 1""",
+    name="load_documents",
+)
 def load_documents_query(spark, sf):
-    """One text file per nation, written by the tasks and read back whole."""
+    """Text files of twenty suppliers each, written by the tasks and read back whole."""
     path = _path(spark, "texts")
-    rows = table(spark, sf, "nation").select(
-        F.concat("n_name", F.lit(" "), "n_regionkey", F.lit("\n.")).alias("value"), "n_name"
-    )
-    rows.repartition("n_name").write.option("lineSep", "\x00").partitionBy("n_name").text(path)
+    part = F.floor(F.col("s_suppkey") / 20).alias("part")
+    rows = table(spark, sf, "supplier").select(part, "s_suppkey", F.concat_ws(" ", "s_name", "s_nationkey").alias("value"))
+    rows = rows.repartition("part").sortWithinPartitions("part", "s_suppkey").drop("s_suppkey")
+    rows.write.partitionBy("part").text(path)
     files = load_documents(spark, f"{path}/*", "*.txt")
-    name = F.regexp_extract(F.input_file_name(), "n_name=([^/]*)/", 1)
-    return files.select(F.concat(name, F.lit(".txt")).alias("source"), F.regexp_replace("text", "\x00", "").alias("text"))
+    return files.select(F.regexp_extract("path", "part=([0-9]+)/", 1).cast("long").alias("part"), "text")

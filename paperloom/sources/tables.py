@@ -118,11 +118,13 @@ def load_table(
 
 
 def load_documents(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
-    """(source, text): one row per file; an empty folder is an error."""
+    """(source, path, text): one row per file, source being its base name; an empty folder is an error."""
     files = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
     if not files.inputFiles():
         raise FileNotFoundError(f"no {pattern} files in {folder}")
-    return files.select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text"))
+    return files.select(
+        F.col("_metadata.file_name").alias("source"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")
+    )
 
 
 def read_urls(lines: DataFrame, line: str = "value") -> DataFrame:
