@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import packing
+from paperloom.llm import packing, simhash
 from paperloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,8 +21,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents grouped by SimHash fingerprints of 3-word shingles that differ in at most 3 bits."""
+    grouped = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+    return grouped.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op7_simhash": op7_simhash,
 }
 
 ORACLES: dict[str, str] = {}
