@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import packing, simhash
+from paperloom.llm import decontaminate, packing, simhash
 from paperloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,9 +27,55 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document words that lie in occurrences of 10-word windows of benchmark items."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op7_simhash": op7_simhash,
+    "op8_decontaminate": op8_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+OP8_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id,
+    regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, len(p) AS n, array_to_string(p, ' ') AS phrase FROM (
+    SELECT item_id, unnest([w[i:i + least(10, len(w)) - 1] FOR i IN range(1, len(w) - least(10, len(w)) + 2)]) AS p
+    FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+spots AS (
+  SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS phrase
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+hit AS (SELECT DISTINCT r, i, n, phrase FROM spots SEMI JOIN win USING (n, phrase)),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
+named AS (
+  SELECT r, count(DISTINCT item_id) AS n_items,
+    array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS items
+  FROM hit JOIN win USING (n, phrase) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN named USING (r)
+"""
+
+ORACLES: dict[str, str] = {
+    "op8_decontaminate": OP8_SQL,
+}
