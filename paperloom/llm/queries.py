@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, packing, simhash
+from paperloom.llm import decontaminate, line_chunks, packing, simhash
 from paperloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,10 +40,22 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the multi-line chunks that occur earlier."""
+    cleaned = line_chunks.drop_repeated_chunks(table(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "_row.doc_id",
+        "_row.text",
+        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("removed_chunks"),
+        F.coalesce(F.aggregate("removed", F.lit(0), lambda n, r: n + r["size"]), F.lit(0)).cast("long").alias("removed_lines"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op7_simhash": op7_simhash,
     "op8_decontaminate": op8_decontaminate,
+    "op9_line_chunks": op9_line_chunks,
 }
 
 OP8_SQL = r"""
