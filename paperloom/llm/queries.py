@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, line_chunks, packing, simhash
+from paperloom.llm import decontaminate, line_chunks, packing, simhash, sparse_suffix
 from paperloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,11 +51,17 @@ def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that repeat, within or across documents."""
+    return sparse_suffix.repeated_passages(table(spark, sf_dir, "documents"), least=50)
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op7_simhash": op7_simhash,
     "op8_decontaminate": op8_decontaminate,
     "op9_line_chunks": op9_line_chunks,
+    "op10_sparse_suffix": op10_sparse_suffix,
 }
 
 OP8_SQL = r"""
