@@ -8,6 +8,8 @@ at the multiples of the sequence length.  No token is shuffled.
 
 from __future__ import annotations
 
+import sys
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,8 +29,35 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+class WordIds(dict):
+    """Ids of one word of the vocabulary's own cutting, as little-endian unsigned 32-bit bytes."""
+
+    def __init__(self, tokenizer):
+        from tokenizers import pre_tokenizers
+
+        self.model = tokenizer.model
+        visible = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.visible = {c: visible.pre_tokenize_str(chr(c))[0][0] for c in range(256)}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_PIECES:
+            self.clear()
+        shown = word if word.isascii() and word.isprintable() else word.translate(self.visible)
+        out = packed([t.id for t in self.model.tokenize(shown)])
+        if len(word) <= 64:
+            self[word] = out
+        return out
+
+
 class PieceIds(dict):
-    """Ids, as little-endian unsigned 32-bit bytes, of text without white space; remembers up to ``CACHE_PIECES``.
+    """Ids of text without white space; remembers up to ``CACHE_PIECES``.
 
     The vocabulary lower-cases, drops white space and never joins across it, so a text's
     ids are those of its pieces.  Latin-1 pieces skip the normalizer: their NFC form is
@@ -37,41 +66,32 @@ class PieceIds(dict):
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        visible = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.visible = {c: visible.pre_tokenize_str(chr(c))[0][0] for c in range(256)}
+        self.word_ids = WordIds(self.tokenizer)
         # fixed pattern of the vocabulary file
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 
-    @staticmethod
-    def packed(ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(WIDTH, "little") for i in ids)
-
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_PIECES:
             self.clear()
-        try:
-            piece.encode("latin-1")
-        except UnicodeEncodeError:
-            out = self.packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        else:
+        if piece.isascii():
             low = piece.lower()
-            if low != piece:
-                out = self[low]
-            else:
-                out = self.packed(
-                    [t.id for word in self.words(low) for t in self.model.tokenize(word.translate(self.visible))]
-                )
+            out = self.word_ids[low] if low.isalpha() else b"".join(map(self.word_ids.__getitem__, self.words(low)))
+        else:
+            try:
+                piece.encode("latin-1")
+                out = b"".join(map(self.word_ids.__getitem__, self.words(piece.lower())))
+            except UnicodeEncodeError:
+                out = packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
         if len(piece) <= 64:
             self[piece] = out
         return out
 
     def of_text(self, text: str) -> bytes:
         if "<|" in text:  # may hold the string of a special token, which is found before anything else
-            return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python only
             import regex
 
