@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, line_chunks, packing, simhash, sparse_suffix
+from paperloom.llm import decontaminate, line_chunks, multiset_hash, packing, simhash, sparse_suffix
 from paperloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of documents and of their edited texts, and how alike they are."""
+    return multiset_hash.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents grouped by SimHash fingerprints of 3-word shingles that differ in at most 3 bits."""
     grouped = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
@@ -58,6 +63,7 @@ def op10_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op3_multiset_hash": op3_multiset_hash,
     "op7_simhash": op7_simhash,
     "op8_decontaminate": op8_decontaminate,
     "op9_line_chunks": op9_line_chunks,
