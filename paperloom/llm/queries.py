@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, line_chunks, multiset_hash, packing, simhash, sparse_suffix
+from paperloom.llm import decontaminate, langid, line_chunks, multiset_hash, packing, simhash, sparse_suffix
 from paperloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,19 @@ def op3_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.compare_edits(table(spark, sf_dir, "documents"))
 
 
+def _fold(parts: int) -> Column:
+    """crc32 of the id as text, modulo ``parts``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    dictionaries = langid.learn(docs.where(_fold(4) != 2))
+    held_out = F.coalesce(_fold(4) == 2, F.lit(False))
+    return langid.identify(docs, dictionaries, keep={"held_out": held_out})
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents grouped by SimHash fingerprints of 3-word shingles that differ in at most 3 bits."""
     grouped = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
@@ -64,6 +77,7 @@ def op10_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op3_multiset_hash": op3_multiset_hash,
+    "op5_langid": op5_langid,
     "op7_simhash": op7_simhash,
     "op8_decontaminate": op8_decontaminate,
     "op9_line_chunks": op9_line_chunks,
