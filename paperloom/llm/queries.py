@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, langid, line_chunks, multiset_hash, packing, simhash, sparse_suffix
+from paperloom.llm import decontaminate, langid, line_chunks, multiset_hash, packing, simhash, sparse_suffix, toxicity
 from paperloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,14 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, dictionaries, keep={"held_out": held_out})
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").where(_fold(5) != 0))
+    held_out = F.coalesce(_fold(5) == 0, F.lit(False))
+    return toxicity.score(docs, model, keep={"held_out": held_out})
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents grouped by SimHash fingerprints of 3-word shingles that differ in at most 3 bits."""
     grouped = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
@@ -78,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op3_multiset_hash": op3_multiset_hash,
     "op5_langid": op5_langid,
+    "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_decontaminate": op8_decontaminate,
     "op9_line_chunks": op9_line_chunks,
