@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, decontaminate, langid, line_chunks, multiset_hash, packing, simhash, sparse_suffix, toxicity
+from paperloom.llm import chat, decontaminate, langid, line_chunks, multiset_hash, packing, pii, simhash, sparse_suffix, toxicity
 from paperloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with personal numbers, dates and addresses replaced by format-preserving pseudonyms."""
+    done = pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("_row.doc_id", "_row.text", F.size("found").cast("long").alias("n_replaced"), "found")
+
+
 def op3_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of documents and of their edited texts, and how alike they are."""
     return multiset_hash.compare_edits(table(spark, sf_dir, "documents"))
@@ -92,6 +98,7 @@ def op10_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op2_pii": op2_pii,
     "op3_multiset_hash": op3_multiset_hash,
     "op4_chat": op4_chat,
     "op5_langid": op5_langid,
