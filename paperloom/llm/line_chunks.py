@@ -116,7 +116,8 @@ def repeated_chunks(
     per_row = suspects.distinct().groupBy(*KEY).agg(
         F.collect_list(F.struct("first", "size", *same, "owns")).alias("marks")
     )
-    marked = keyed.join(stage(per_row, "suspect-rows"), KEY)
+    # merged at every size: a plan that changes with the size of one side is hard to provision for
+    marked = keyed.join(stage(per_row, "suspect-rows").hint("merge"), KEY)
     bodies = stage(_bodies(marked, "first int, size int, hash long, bytes int, owns boolean"), "suspect-bodies")
     owned = bodies.where("owns").groupBy(*same).agg(F.first("body").alias("owned"))
     others = bodies.where("not owns").join(stage(owned, "owner-bodies"), same)
@@ -141,7 +142,7 @@ def drop_repeated_chunks(
     gone = repeated_chunks(docs, window, divisor, min_lines, doc_id, text)
     removed = stage(gone.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("first", "size"))).alias("removed")), "removed-chunks")
     ka, kb = row_key(doc_id, text)
-    rows = boxed(docs, _ka=ka, _kb=kb).join(removed, KEY, "left")
+    rows = boxed(docs, _ka=ka, _kb=kb).join(removed.hint("merge"), KEY, "left")
     lines = F.split(F.col("_row").getField(text), "\n", -1)
     kept = F.filter(
         F.transform(lines, lambda line, i: F.struct(line.alias("line"), (i + 1).alias("at"))),
