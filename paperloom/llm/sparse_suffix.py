@@ -1,17 +1,18 @@
 """Repeated passages by a sparse suffix array.
 
 Suffixes are kept only where a word position is the minimiser of a window, so two texts that
-share a passage keep the same positions in it.  Suffixes whose first words occur nowhere else
-leave early; the rest are sorted by the words that follow, and once more by the words before, both
-times range-partitioned, and each is compared with its neighbours.  A match is extended to
-the right by the words in common and to the left by the words before both suffixes.
-
-With ``least`` words to find, windows of ``window`` positions of ``gram`` words each: a
-passage holds a minimiser among its first ``window`` positions, so at least
-``least - window + 1`` words of it follow, which are the seed.  Kept positions are at most
-``window`` apart, so ``least`` words of context to the right of a suffix and ``window - 1``
-to the left reach the ends of any passage; longer ones are put together from overlapping
-matches.
+share a passage keep the same positions in it.  With ``least`` words to find and windows of
+``window`` positions, a passage holds a minimiser among its first ``window`` positions, and at
+least ``least - window + 1`` words of it follow: the seed.  Suffixes whose seed occurs nowhere
+else leave early.  The rest are sorted by the words that follow, and those that may share
+still more by the words before, both times range-partitioned, and each is compared with its
+neighbours.  A match is extended to the right by the words in common, up to ``least`` in all,
+and to the left by up to ``window - 1``; as kept positions are at most ``window`` apart, these
+reach the ends of any passage, and longer ones are put together from overlapping matches.
+
+A passage that stands in two places, or that has ``least + window - 1`` words or more, is always
+found.  A shorter one with further, partly overlapping occurrences is missed only if, at each
+of its positions, other texts share more words to the right and others more to the left.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ from paperloom.llm.common import field_type, slices, stage, utf8
 from paperloom.llm.words import BASE, NOT_SPACE, hashed_words, joined, mixed, powers
 
 TEXT = ["_ta", "_tb"]
-SUFFIX = "doc string, place int, right binary, left binary"
-MATCH = "doc string, begin int, stop int, match string, match_begin int"
+SUFFIX = "seed binary, after binary, before binary, doc binary, place int"
+SUFFIX_NAMES = ["seed", "after", "before", "doc", "place"]
+MATCH = "doc binary, begin int, stop int, match binary, match_begin int"
+MATCH_NAMES = ["doc", "begin", "stop", "match", "match_begin"]
 SLICE_BYTES = 1 << 20
 WINDOW_ROWS = 1 << 16
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -104,29 +107,31 @@ def seeds(docs: DataFrame, least: int, gram: int, window: int, doc_id: str = "do
 
 
 def _suffixes(docs: DataFrame, marks: DataFrame, least: int, window: int, doc_id: str, text: str) -> DataFrame:
-    """(doc, place, right, left) of marked positions: the words after, and the words before in reverse."""
+    """(seed, after, before, doc, place) of marked positions.
+
+    ``seed`` is the digest of the words every passage here must share, ``after`` the words that
+    follow them, ``before`` the words ahead of the position in reverse.
+    """
+    size = least - window + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in slices(batches, "text", SLICE_BYTES):
-            rows, places, right, left = [], [], [], []
+            rows, places, seed, after, before = [], [], [], [], []
             for row, (data, marked) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 words = data.split()
                 for at in sorted(set(marked)):
                     rows.append(row)
                     places.append(at)
-                    right.append(b" ".join(words[at : at + least]))
-                    left.append(b" ".join(reversed(words[max(0, at - window + 1) : at])))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(rows, pa.int64())),
-                    pa.array(places, pa.int32()),
-                    pa.array(right, pa.binary()),
-                    pa.array(left, pa.binary()),
-                ],
-                names=["doc", "place", "right", "left"],
-            )
-
-    rows = _texts(docs, doc_id, text).join(marks, TEXT).where(F.col("doc_id").eqNullSafe(F.col("owner")))
+                    seed.append(xxhash.xxh3_128_digest(b" ".join(words[at : at + size])))
+                    after.append(b" ".join(words[at + size : at + least]))
+                    before.append(b" ".join(reversed(words[max(0, at - window + 1) : at])))
+            columns = [pa.array(c, pa.binary()) for c in (seed, after, before)]
+            doc = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*columns, doc, pa.array(places, pa.int32())], names=SUFFIX_NAMES)
+
+    rows = _texts(docs, doc_id, text).join(marks.hint("merge"), TEXT).where(F.col("doc_id").eqNullSafe(F.col("owner")))
     return rows.select(_name().alias("doc"), "text", "marked").mapInArrow(run, SUFFIX)
 
 
@@ -142,74 +147,94 @@ def _common(a: bytes, b: bytes) -> int:
     return n
 
 
-def _compare(pairs: list[tuple], least: int) -> dict[str, list]:
-    """Both sides of every pair of neighbours with at least ``least`` words in common."""
-    out: dict[str, list] = {"doc": [], "begin": [], "stop": [], "match": [], "match_begin": []}
-    for (d1, p1, r1, l1), (d2, p2, r2, l2) in pairs:
-        if d1 == d2 and p1 == p2:
-            continue
-        right = _common(r1, r2)
-        before = _common(l1, l2)
-        if right + before >= least:
-            for doc, place, other, at in ((d1, p1, d2, p2), (d2, p2, d1, p1)):
-                out["doc"].append(doc)
-                out["begin"].append(place - before)
-                out["stop"].append(place + right)
-                out["match"].append(other)
-                out["match_begin"].append(at - before)
-    return out
-
-
-def _neighbours(suffixes: DataFrame, order: list[str], least: int) -> DataFrame:
-    """(doc, begin, stop, match, match_begin): matches of each suffix, sorted by ``order``, with the next."""
-    edge = "struct<doc:string,place:int,right:binary,left:binary>"
-    schema = f"{MATCH}, part int, first {edge}, last {edge}"
-    ordered = suffixes.repartitionByRange(*order, "doc", "place").sortWithinPartitions(*order, "doc", "place")
+def _meet(one: tuple, other: tuple, least: int, size: int) -> tuple[int, int] | None:
+    """(words in common before, from the position on) of two suffixes, if together at least ``least``."""
+    if one[0] != other[0] or one[3:] == other[3:]:  # no seed in common, or a repeated row
+        return None
+    after = size + _common(one[1], other[1])
+    before = _common(one[2], other[2])
+    return (before, after) if before + after >= least else None
 
-    def arrow(found: dict, part, first, last) -> pa.RecordBatch:
-        n = len(found["doc"]) + (first is not None)
-        pad = [None] * (first is not None)
-        as_edge = lambda e: [None] * len(found["doc"]) + ([dict(zip(("doc", "place", "right", "left"), e))] if pad else [])
-        columns = {k: v + pad for k, v in found.items()} | {"part": [None] * len(found["doc"]) + [part] * len(pad)}
-        columns |= {"first": as_edge(first), "last": as_edge(last)}
-        return pa.RecordBatch.from_pydict(columns, schema=target) if n else None
 
+def _match(one: tuple, found: list[tuple[tuple[int, int], tuple]]) -> tuple:
+    """One row over all that ``one`` shares with its neighbours; the match is the one that begins first."""
+    doc, place = one[3:]
+    (before, _), other = max(found, key=lambda f: f[0][0])
+    return doc, place - before, place + max(after for (_, after), _ in found), other[3], other[4] - before
+
+
+def _neighbours(suffixes: DataFrame, order: list[str], least: int, size: int) -> DataFrame:
+    """What each suffix, sorted by ``order``, shares with the ones beside it.
+
+    Written rows of three sorts: matches (doc, begin, stop, match, match_begin); ``again``, the
+    suffixes that may still share more with others, that is all but those whose context equals
+    a neighbour's; and per partition its ``first`` and ``last`` suffix as a boundary record.
+    """
+    row = f"struct<{', '.join(c.replace(' ', ':') for c in SUFFIX.split(', '))}>"
+    schema = f"{MATCH}, again {row}, part int, first {row}, last {row}"
+    ordered = suffixes.repartitionByRange(*order, "doc", "place").sortWithinPartitions(*order, "doc", "place")
     target = to_arrow_schema(StructType.fromDDL(schema))
 
+    def arrow(**columns: list) -> pa.RecordBatch:
+        n = max(map(len, columns.values()))
+        return pa.RecordBatch.from_pydict({f.name: columns.get(f.name, [None] * n) for f in target}, schema=target)
+
+    def matches(found: list[tuple]) -> pa.RecordBatch:
+        return arrow(**dict(zip(MATCH_NAMES, map(list, zip(*found)))))
+
+    def as_rows(found: list[tuple]) -> list[dict]:
+        return [dict(zip(SUFFIX_NAMES, x)) for x in found]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = before = None
+        first = held = None
+        shared: list = []  # of the held suffix with the one ahead of it
         for batch in batches:
-            rows = list(zip(*[batch.column(i).to_pylist() for i in range(4)]))
-            if not rows:
-                continue
-            first = first or rows[0]
-            pairs = list(zip(([before] if before else []) + rows[:-1], rows if before else rows[1:]))
-            before = rows[-1]
-            made = arrow(_compare(pairs, least), None, None, None)
-            if made is not None:
-                yield made
-        if first is not None:
-            yield arrow(_compare([], least), TaskContext.get().partitionId(), first, before)
-
-    found = stage(ordered.mapInArrow(run, schema), "suffix-matches")
-    # boundary records, two per partition: the last suffix of one meets the first of the next
-    edges = found.where("part is not null").select("part", "last", F.lead("first").over(Window.orderBy("part")).alias("next"))
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found, open_ended = [], []
+            for one in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+                first = first or one
+                met = _meet(held, one, least, size) if held else None
+                if met:
+                    shared.append((met, one))
+                if held and shared:
+                    found.append(_match(held, shared))
+                if not (met and one[1:3] == held[1:3]):
+                    open_ended.append(one)
+                shared = [(met, held)] if met else []
+                held = one
+            if found:
+                yield matches(found)
+            if open_ended:
+                yield arrow(again=as_rows(open_ended))
+        if held:
+            if shared:
+                yield matches([_match(held, shared)])
+            yield arrow(part=[TaskContext.get().partitionId()], first=as_rows([first]), last=as_rows([held]))
+
+    return stage(ordered.select(*SUFFIX_NAMES).mapInArrow(run, schema), "suffix-matches")
+
+
+def _matches(found: DataFrame, least: int, size: int) -> DataFrame:
+    """All matches of one order: those inside partitions, and of the last suffix of each with the first of the next."""
+    edges = found.where("part is not null").select("last", F.lead("first").over(Window.orderBy("part")).alias("next"))
+    target = to_arrow_schema(StructType.fromDDL(MATCH))
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = [[tuple(x[k] for k in ("doc", "place", "right", "left")) for x in batch.column(i).to_pylist()] for i in range(2)]
-            yield pa.RecordBatch.from_pydict(_compare(list(zip(*sides)), least), schema=pa.schema([target.field(i) for i in range(5)]))
+            sides = [[tuple(x[k] for k in SUFFIX_NAMES) for x in batch.column(i).to_pylist()] for i in range(2)]
+            met = [(a, b, _meet(a, b, least, size)) for a, b in zip(*sides)]
+            rows = [r for a, b, m in met if m for r in (_match(a, [(m, b)]), _match(b, [(m, a)]))]
+            columns = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_pydict(dict(zip(MATCH_NAMES, map(list, columns))), schema=target)
 
-    columns = ["doc", "begin", "stop", "match", "match_begin"]
-    across = edges.where("next is not null").select("last", "next").mapInArrow(meet, MATCH)
-    return found.where("part is null").select(*columns).unionByName(across)
+    inside = found.where("doc is not null").select(*MATCH_NAMES)
+    return inside.unionByName(edges.where("next is not null").mapInArrow(across, MATCH))
 
 
 def _merged(matches: DataFrame) -> DataFrame:
     """(doc, begin, stop, match, match_begin): overlapping matches of a text as one; groups are as long as a text."""
     ordered = Window.partitionBy("doc").orderBy("begin", F.desc("stop"), "match", "match_begin")
     reach = F.max("stop").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    opens = matches.distinct().withColumn("opens", (reach.isNull() | (F.col("begin") > reach)).cast("int"))
+    opens = matches.withColumn("opens", (reach.isNull() | (F.col("begin") > reach)).cast("int"))
     numbered = opens.withColumn("number", F.sum("opens").over(ordered))
     first = F.struct("begin", F.negative("stop").alias("stop"), "match", "match_begin")
     merged = numbered.groupBy("doc", "number").agg(F.max("stop").alias("stop"), F.min(first).alias("f"))
@@ -217,7 +242,8 @@ def _merged(matches: DataFrame) -> DataFrame:
 
 
 def _name() -> Column:
-    return F.concat_ws(":", *TEXT)
+    """The 16 bytes of a text's two hashes."""
+    return F.concat(*[F.unhex(F.lpad(F.hex(c), 16, "0")) for c in TEXT])
 
 
 def repeated_passages(
@@ -235,8 +261,9 @@ def repeated_passages(
     an empty table gives no rows; other columns are not read.
     """
     rows = seeds(docs, least, gram, window, doc_id, text)
-    keyed = rows.select(*TEXT, F.explode(F.arrays_zip("keys", "places")).alias("s")).select(
-        F.col("s.keys").alias("key"), *TEXT, F.col("s.places").alias("place")
+    # one of the two hashes will do to find candidates; the other joins below
+    keyed = rows.select("_ta", F.explode(F.arrays_zip("keys", "places")).alias("s")).select(
+        F.col("s.keys").alias("key"), "_ta", F.col("s.places").alias("place")
     )
     often = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "seed-keys")
     shared = stage(keyed.join(often, "key").distinct(), "shared-seeds")  # copies of a text give one row
@@ -248,12 +275,14 @@ def repeated_passages(
         F.first("n_words").alias("n_words"),
     )
     owners = stage(owners, "text-owners")
-    marked = shared.join(again, "key").groupBy(*TEXT).agg(F.collect_list("place").alias("marked"))
-    marks = stage(marked.join(owners.select(*TEXT, "owner"), TEXT), "marked-texts")
-    suffixes = stage(_suffixes(docs, marks, least, window, doc_id, text).distinct(), "suffixes")
-    # by the words after, and by the words before: the longest match to either side is a neighbour
-    after, before = (_neighbours(suffixes, order, least) for order in (["right", "left"], ["left", "right"]))
-    spans = _merged(after.unionByName(before))
+    marked = shared.join(again, "key").groupBy("_ta").agg(F.collect_list("place").alias("marked"))
+    marks = stage(marked.join(owners.select(*TEXT, "owner"), "_ta"), "marked-texts")
+    size = least - window + 1
+    # by the words after, then by the words before: the longest match to either side is a neighbour
+    forward = _neighbours(_suffixes(docs, marks, least, window, doc_id, text), ["seed", "after", "before"], least, size)
+    rest = forward.where("again is not null").select("again.*")
+    backward = _neighbours(rest, ["seed", "before", "after"], least, size)
+    spans = _merged(_matches(forward, least, size).unionByName(_matches(backward, least, size)))
     single = owners.where("copies = 1").select(_name().alias("doc"), F.col("owner").alias("doc_id"))
     named = owners.select(_name().alias("match"), F.col("owner").alias("match_doc_id"))
     parts = spans.join(single, "doc").join(named, "match")
