@@ -186,14 +186,23 @@ class Postings:
         return alive[query], begin
 
     def near(self, terms: np.ndarray, within: int, doc_starts: np.ndarray) -> np.ndarray:
-        """Positions of the rarest of ``terms`` with every other term at most ``within`` words away in its document."""
+        """Positions of the first of ``terms`` with every other at most ``within`` words away in its document.
+
+        The rarest term's list says where to look; the others are taken rarest first.
+        """
         places = self.lookup(terms)
         if (places < 0).any():
             return np.zeros(0, np.int64)
-        lists = [self.positions[self.starts[p] : self.starts[p + 1]] for p in places[np.argsort(self.sizes(places), kind="stable")]]
+        lists = [self.positions[self.starts[p] : self.starts[p + 1]] for p in places]
+        others = sorted(lists[1:], key=len)
         at = lists[0]
+        if others and len(others[0]) < len(at):
+            low = np.searchsorted(at, others[0] - within)
+            size = np.searchsorted(at, others[0] + within, side="right") - low
+            step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            at = np.unique(at[np.repeat(low, size) + step])
         doc = np.searchsorted(doc_starts, at, side="right")
-        for other in lists[1:]:
+        for other in others:
             left = other[np.maximum(np.searchsorted(other, at, side="right") - 1, 0)]
             right = other[np.minimum(np.searchsorted(other, at), len(other) - 1)]
             close = np.zeros(len(at), bool)
@@ -259,7 +268,7 @@ def find_phrases(index: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def find_near(index: DataFrame, terms: list[str], within: int) -> DataFrame:
-    """(doc_id, position): where all ``terms`` stand within ``within`` words of the rarest of them."""
+    """(doc_id, position): where the first of ``terms`` stands with all others at most ``within`` words away."""
     wanted = np.concatenate([hashed_words(LOWER[np.frombuffer(t.encode(), np.uint8)], ALPHANUMERIC)[2] for t in terms])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
