@@ -256,22 +256,20 @@ def pseudonymize(docs: DataFrame, key: str = "paperloom", text: str = "text") ->
     names.  NULL and empty texts stay; texts of any length are read whole; repeated rows give
     repeated rows.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    body = F.col("_row").getField(text)
-    seen = F.when(body.rlike(r"[0-9@=]"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
-    # the generator keeps the list from being extracted once per use
-    listed = rows.select("_row", F.explode(F.array(F.coalesce(seen, F.array().cast("array<string>")))).alias("_seen"))
-
-    def replaced(value: Column) -> Column:
-        return F.struct(_kind(value).alias("kind"), value.alias("old"))
-
-    kinds = listed.select("_row", F.explode(F.array(F.transform("_seen", replaced))).alias("_kinds"))
+    # numbered names: no name of the input can meet one from here
+    rows = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    body = f"_c{docs.columns.index(text)}"
+    seen = F.when(F.col(body).rlike(r"[0-9@=]"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
+    # the generators keep a list from being made anew at each of its uses
+    listed = rows.select("*", F.explode(F.array(F.coalesce(seen, F.array().cast("array<string>")))).alias("_seen"))
+    kinds = F.transform("_seen", lambda value: F.struct(_kind(value).alias("kind"), value.alias("old")))
+    sorted_out = listed.select(*rows.columns, F.explode(F.array(kinds)).alias("_kinds"))
     made = F.transform(
         "_kinds", lambda k: F.struct(k["kind"].alias("kind"), k["old"].alias("old"), _pseudonym(k["kind"], k["old"], key).alias("new"))
     )
-    done = kinds.select("_row", F.explode(F.array(made)).alias("_made"))
-    between = F.split(body, ANY, -1)
+    done = sorted_out.select(*rows.columns, F.explode(F.array(made)).alias("_made"))
     new = F.concat(F.transform("_made", lambda m: F.coalesce(m["new"], m["old"])), F.array(F.lit("")))
-    joined = F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, b)), "")
-    out = F.when(F.size("_made") > 0, joined).otherwise(body)
-    return done.select(F.col("_row").withField(f"`{text}`", out).alias("_row"), F.filter("_made", lambda m: m["new"].isNotNull()).alias("found"))
+    joined = F.array_join(F.zip_with(F.split(body, ANY, -1), new, lambda a, b: F.concat(a, b)), "")
+    out = F.when(F.size("_made") > 0, joined).otherwise(F.col(body))
+    row = F.struct(*[(out if c == body else F.col(c)).alias(name) for c, name in zip(rows.columns, docs.columns)])
+    return done.select(row.alias("_row"), F.filter("_made", lambda m: m["new"].isNotNull()).alias("found"))
