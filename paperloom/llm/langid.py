@@ -38,8 +38,9 @@ def learn(
         F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
     # a first cut by hash, at twice the wanted share, keeps the ranking below small
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang")
-    limits = {r["lang"]: int(min(1.0, 2.0 * rows / r["count"]) * HASHES) for r in counts.toLocalIterator()}
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("text")).alias("texts"))
+    counts = counts.orderBy(F.desc("n"), "lang")
+    limits = {r["lang"]: int(min(1.0, 2.0 * rows / max(1, r["texts"])) * HASHES) for r in counts.toLocalIterator()}
     if not limits:
         return {}
     limit = F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("lang"))
@@ -48,7 +49,7 @@ def learn(
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "text")))
     lines = ranked.where(F.col("rank") <= rows).select("lang", F.explode(F.split(F.lower("text"), "\n")).alias("line"))
     words = F.array_join(F.regexp_extract_all(F.substring("line", 1, LINE_CHARS), F.lit(WORD), F.lit(0)), " ")
-    lines = lines.select("lang", words.alias("line")).where(F.length("line") > 3).distinct()
+    lines = lines.select("lang", words.alias("line")).where(F.length("line") > 0).distinct()
     by_line = Window.partitionBy("lang").orderBy(F.xxhash64("line"), "line")
     before = F.sum(F.octet_length("line") + 1).over(by_line.rowsBetween(Window.unboundedPreceding, -1))
     chosen = lines.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < dictionary_bytes)
