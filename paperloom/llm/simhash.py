@@ -71,12 +71,6 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _parts(free: int, count: int) -> list[int]:
-    """``free``'s bits dealt to ``count`` masks."""
-    bits = [b for b in range(BITS) if free >> b & 1]
-    return [sum(1 << b for b in bits[i::count]) for i in range(count)]
-
-
 def _near(values: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
     """Links that connect whatever is connected within one bucket: a visited value leaves the search."""
     rest = np.sort(values.view(np.uint64))  # bits are counted in unsigned values
@@ -108,7 +102,6 @@ def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
         F.xxhash64("t.mask", F.col("fp").bitwiseAND(F.col("t.mask"))).alias("key"),
     )
     links: DataFrame | None = None
-    undecided = {~m & (2**64 - 1) for m in masks}
     while True:
         sizes = keyed.groupBy("key", "free").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"))
         sizes = stage(sizes.where("n > 1"), "buckets")
@@ -128,25 +121,16 @@ def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
         large = sizes.where(F.col("n") > BUCKET_LIMIT).select("key", "free")
         if large.isEmpty():
             return links
-        cuts = {free: _parts(free, radius + 1) for free in undecided}
-        choices = F.create_map(
-            *[
-                x
-                for free, parts in cuts.items()
-                for x in (
-                    F.lit(_signed(free)),
-                    F.array(*[F.struct(F.lit(_signed(p)).alias("part"), F.lit(_signed(free & ~p)).alias("free")) for p in parts]),
-                )
-            ]
-        )
-        undecided = {free & ~p for free, parts in cuts.items() for p in parts}
+        bits = "filter(sequence(0, 63), b -> (shiftrightunsigned(free, b) & 1L) = 1L)"
+        dealt = f"aggregate(filter({bits}, (b, i) -> i % {radius + 1} = j), 0L, (part, b) -> part | shiftleft(1L, b))"
+        parts = F.expr(f"transform(sequence(0, {radius}), j -> {dealt})")
         keyed = stage(
             keyed.join(large, ["key", "free"])
-            .select("fp", "key", F.explode(F.element_at(choices, F.col("free"))).alias("c"))
+            .select("fp", "key", "free", F.explode(parts).alias("part"))
             .select(
                 "fp",
-                F.col("c.free").alias("free"),
-                F.xxhash64("key", "c.part", F.col("fp").bitwiseAND(F.col("c.part"))).alias("key"),
+                F.col("free").bitwiseAND(F.bitwise_not("part")).alias("free"),
+                F.xxhash64("key", "part", F.col("fp").bitwiseAND(F.col("part"))).alias("key"),
             ),
             "cut-buckets",
         )
