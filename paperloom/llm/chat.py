@@ -96,16 +96,15 @@ def root_paths(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             return state.where("up is null").select("conv", "msg", "turns", "total"), jumps
         before = left
         above = state.select("conv", F.col("msg").alias("up"), F.col("up").alias("_up"), F.col("turns").alias("_turns"), F.col("total").alias("_total"))
-        state = stage(
-            state.join(above, ["conv", "up"], "left").select(
-                "conv",
-                "msg",
-                F.col("_up").alias("up"),
-                (F.col("turns") + F.coalesce("_turns", F.lit(0))).alias("turns"),
-                (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"),
-            ),
-            "paths",
+        # only messages that have not reached their root are joined; the others pass
+        climbed = state.where("up is not null").join(above, ["conv", "up"]).select(
+            "conv",
+            "msg",
+            F.col("_up").alias("up"),
+            (F.col("turns") + F.col("_turns")).alias("turns"),
+            (F.col("total") + F.col("_total")).alias("total"),
         )
+        state = stage(state.where("up is null").unionByName(climbed), "paths")
         jumps.append(state.where("up is not null").select("conv", "msg", "up"))
 
 
