@@ -37,7 +37,7 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(keyword): every distinct ASCII word of the documents, the part names, the segments and the nations."""
+    """(keyword): every distinct word of the documents, the part names, the segments and the nations."""
     parts: list[tuple[str, Column]] = [
         ("documents", F.col("text")),
         ("part", F.concat_ws(" ", "p_name", "p_type")),
@@ -47,7 +47,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name, text in parts:
         rows = table(spark, sf_dir, name).select(
-            F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))).alias("keyword")
+            F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))).alias("keyword")
         )
         out = rows if out is None else out.unionByName(rows)
     return out.distinct()
@@ -55,7 +55,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WORDS_SQL = """words AS (
   SELECT DISTINCT keyword FROM (
-    SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS keyword FROM documents
-    UNION ALL SELECT unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]+')) FROM part
-    UNION ALL SELECT unnest(regexp_extract_all(lower(c_mktsegment), '[a-z]+')) FROM customer
-    UNION ALL SELECT unnest(regexp_extract_all(lower(n_name), '[a-z]+')) FROM nation))"""
+    SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS keyword FROM documents
+    UNION ALL SELECT unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '\\p{L}+')) FROM part
+    UNION ALL SELECT unnest(regexp_extract_all(lower(c_mktsegment), '\\p{L}+')) FROM customer
+    UNION ALL SELECT unnest(regexp_extract_all(lower(n_name), '\\p{L}+')) FROM nation))"""

@@ -107,8 +107,7 @@ def clean_keywords_query(spark, sf):
 
 
 @query(
-    """SELECT c_mktsegment, CAST(floor(c_custkey / 10000) AS BIGINT) AS part,
-       CASE WHEN min(c_custkey) < 10000 THEN 'c_custkey c_name c_nationkey c_acctbal' || chr(10) ELSE '' END ||
+    """SELECT c_mktsegment, 'c_custkey c_name c_nationkey c_acctbal' || chr(10) ||
        string_agg(concat_ws(' ', c_custkey, c_name, c_nationkey,
          coalesce(CAST(CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END AS VARCHAR), 'NaN')), chr(10) ORDER BY c_custkey) AS text
        FROM customer GROUP BY ALL""",
@@ -128,7 +127,7 @@ def flatten_json_query(spark, sf):
 
 
 @query(
-    """SELECT event_id, CAST(0 AS BIGINT) AS part,
+    """SELECT event_id,
        'nk.: ' || json_extract_string(props, '$.k') || chr(10) || 'list0.: ' || event_type || chr(10) || 'flag: True' AS text
        FROM events""",
     name="flatten_json_text",
@@ -142,7 +141,7 @@ def flatten_json_text_query(spark, sf):
 
 
 @query(
-    f"""SELECT conv_id, CAST(0 AS BIGINT) AS part,
+    f"""SELECT conv_id,
         string_agg(chr(10) || '--- Page ' || turn || ' ---' || chr(10) || {cleaned('text')} || chr(10), '' ORDER BY turn) AS text
         FROM conversations GROUP BY conv_id""",
     name="assemble_pages",
@@ -152,7 +151,7 @@ def assemble_pages_query(spark, sf):
 
 
 @query(
-    f"""SELECT conv_id, CAST(0 AS BIGINT) AS part, string_agg(line, chr(10) ORDER BY turn) AS text
+    f"""SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS text
         FROM (SELECT conv_id, turn, {cleaned('text')} AS line FROM conversations) WHERE line <> '' GROUP BY conv_id""",
     name="assemble_paragraphs",
 )
@@ -161,23 +160,25 @@ def assemble_paragraphs_query(spark, sf):
 
 
 @query(
-    f"""SELECT source, part, string_agg(line, chr(10) ORDER BY doc_id) AS text
-        FROM (SELECT source, doc_id, CAST(floor(doc_id / 64) AS BIGINT) AS part, {cleaned('text')} AS line FROM documents)
-        WHERE line <> '' GROUP BY source, part""",
+    f"""SELECT source, string_agg(line, chr(10) ORDER BY doc_id) AS text
+        FROM (SELECT source, doc_id, {cleaned('text')} AS line FROM documents) WHERE line <> '' GROUP BY source""",
     name="assemble_in_parts",
 )
 def assemble_in_parts_query(spark, sf):
-    return assemble_paragraphs(spread(table(spark, sf, "documents")), ["source"], "doc_id", "text", part_rows=64)
+    return assemble_paragraphs(spread(table(spark, sf, "documents")), ["source"], "doc_id", "text")
 
 
 @query(
-    r"""SELECT conv_id, turn, length(trim(regexp_replace(text, '^\s+|\s+$', '', 'g'))) < 10 AS needs_ocr FROM
-        (SELECT conv_id, turn, substr(text, 1, CAST(1 + turn * 4 AS BIGINT)) AS text FROM conversations)""",
+    r"""SELECT conv_id, turn, CAST(page AS INTEGER) AS page, length(trim(regexp_replace(text, '^\s+|\s+$', '', 'g'))) < 10 AS needs_ocr
+        FROM (SELECT conv_id, turn, unnest(range(len(t))) AS page, unnest(t) AS text
+              FROM (SELECT conv_id, turn, regexp_split_to_array(text, '[.]') AS t FROM conversations))""",
     name="flag_short_pages",
 )
 def flag_short_pages_query(spark, sf):
-    df = table(spark, sf, "conversations").withColumn("text", F.expr("substring(text, 1, cast(1 + turn * 4 as int))"))
-    return flag_short_pages(df, "text").select("conv_id", "turn", "needs_ocr")
+    """Every sentence of a turn stands for a page."""
+    pages = F.posexplode(F.split("text", "[.]", -1)).alias("page", "text")
+    df = table(spark, sf, "conversations").select("conv_id", "turn", pages)
+    return flag_short_pages(df, "text").select("conv_id", "turn", "page", "needs_ocr")
 
 
 @query(
@@ -209,7 +210,7 @@ def chunk_recursive_query(spark, sf):
     name="next_chunk_edges",
 )
 def next_chunk_edges_query(spark, sf):
-    return next_chunk_edges(chunk_fixed(spread(table(spark, sf, "documents")), "text", ["doc_id"]), "doc_id")
+    return next_chunk_edges(chunk_fixed(spread(table(spark, sf, "documents")), "text", ["doc_id"]), "doc_id", contiguous=True)
 
 
 @query(
@@ -219,7 +220,7 @@ def next_chunk_edges_query(spark, sf):
     name="next_edges_with_gaps",
 )
 def next_edges_with_gaps_query(spark, sf):
-    return next_chunk_edges(table(spark, sf, "events"), "user_id", "event_id", contiguous=False, bucket_rows=1000)
+    return next_chunk_edges(table(spark, sf, "events"), "user_id", "event_id", bucket_rows=1000)
 
 
 @query(
@@ -289,14 +290,14 @@ def extract_keywords_by_chunk_query(spark, sf):
 
 
 def _document_words(spark, sf):
-    text = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("keyword")
+    text = F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("keyword")
     return spread(table(spark, sf, "documents")).select("doc_id", text)
 
 
 DOC_WORDS_SQL = f"""merged AS (SELECT doc_id, keyword, row_number() OVER (PARTITION BY doc_id ORDER BY keyword) AS rank
   FROM (SELECT DISTINCT doc_id, lower(keyword) AS keyword FROM (
-    SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS keyword FROM documents)
-  WHERE regexp_full_match(keyword, '[A-Za-z]+') AND length(keyword) > 2 AND lower(keyword) NOT IN ({sql_list(KEYWORD_STOP_LIST)}))
+    SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) AS keyword FROM documents)
+  WHERE regexp_full_match(keyword, '\\p{{L}}+') AND length(keyword) > 2 AND lower(keyword) NOT IN ({sql_list(KEYWORD_STOP_LIST)}))
   QUALIFY rank <= 50)"""
 
 
@@ -331,8 +332,8 @@ def keyword_reports_query(spark, sf):
 
 
 @query(
-    f"""SELECT DISTINCT keyword FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS keyword FROM documents)
-        WHERE regexp_full_match(keyword, '[A-Za-z]+') AND length(keyword) > 2
+    f"""SELECT DISTINCT keyword FROM (SELECT unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) AS keyword FROM documents)
+        WHERE regexp_full_match(keyword, '\\p{{L}}+') AND length(keyword) > 2
         AND lower(keyword) NOT IN ({sql_list(KEYWORD_STOP_LIST)})""",
     name="keyword_filter",
 )

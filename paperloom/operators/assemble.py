@@ -1,8 +1,7 @@
-"""Ordered rows to documents, tables to text, nested JSON to lines.
+"""Ordered rows to documents, tables to text, nested JSON to lines: one row per document.
 
-An assembled document is emitted in parts of at most ``part_rows`` input rows, so
-that no document, however many rows it has, must fit into one task.  Documents
-below that size have the single part 0; parts in order make up the document.
+The rows of a document are joined in two steps, runs of ``RUN`` order values first, so the
+last step sees few, already joined texts.
 """
 
 from __future__ import annotations
@@ -13,36 +12,37 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from paperloom.functions.text import clean_lines, row_line, trim_space
 
 PAGE_MARK = "\n--- Page %d ---\n%s\n"  # fixed format
 SHORT_PAGE = 10
-PART_ROWS = 10_000
+RUN = 10_000
 
 
-def assemble_lines(
-    df: DataFrame, keys: Sequence[str], order: str, line: Column, sep: str = "\n", part_rows: int = PART_ROWS
-) -> DataFrame:
-    """Join ``line`` over the rows of each key in ``order`` (an integer, unique per key): keys, part, text."""
-    part = F.floor(F.col(order) / part_rows).cast("long").alias("part")
-    rows = df.select(*keys, part, F.struct(F.col(order).alias("at"), line.alias("line")).alias("_row"))
+def assemble_lines(df: DataFrame, keys: Sequence[str], order: str, line: Column, sep: str = "\n") -> DataFrame:
+    """Join ``line`` over the rows of each key in ``order``: keys, text."""
+    keys = list(keys)
+    at = F.col(order)
+    run = F.floor(at / RUN) if isinstance(df.schema[order].dataType, NumericType) else F.lit(0)
+    rows = df.select(*keys, run.alias("_run"), F.struct(at.alias("at"), line.alias("line")).alias("_row"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list("_row")), lambda r: r["line"]), sep)
-    return rows.groupBy(*keys, "part").agg(joined.alias("text"))
+    runs = rows.groupBy(*keys, "_run").agg(F.struct("_run", joined.alias("text")).alias("_part"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list("_part")), lambda r: r["text"]), sep)
+    return runs.groupBy(*keys).agg(whole.alias("text"))
 
 
-def assemble_pages(df: DataFrame, keys: Sequence[str], page_no: str, text: str, part_rows: int = PART_ROWS) -> DataFrame:
+def assemble_pages(df: DataFrame, keys: Sequence[str], page_no: str, text: str) -> DataFrame:
     """Pages in order, each under a page mark, its text passed through ``clean_lines``."""
     page = F.format_string(PAGE_MARK, F.col(page_no), F.coalesce(clean_lines(F.col(text)), F.lit("")))
-    return assemble_lines(df, keys, page_no, page, "", part_rows)
+    return assemble_lines(df, keys, page_no, page, "")
 
 
-def assemble_paragraphs(
-    df: DataFrame, keys: Sequence[str], order: str, text: str, part_rows: int = PART_ROWS
-) -> DataFrame:
+def assemble_paragraphs(df: DataFrame, keys: Sequence[str], order: str, text: str) -> DataFrame:
     """Paragraphs in order, one per line, cleaned."""
     rows = df.withColumn("_line", clean_lines(F.col(text))).where(F.col("_line") != "")
-    return assemble_lines(rows, keys, order, F.col("_line"), "\n", part_rows)
+    return assemble_lines(rows, keys, order, F.col("_line"), "\n")
 
 
 def flag_short_pages(df: DataFrame, text: str) -> DataFrame:
@@ -57,19 +57,17 @@ def rows_to_text(
     order: str,
     keys: Sequence[str] = (),
     header: bool = False,
-    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """A table as text: cells joined by a space, rows by a line break; ``keys`` name the document and sheet.
 
-    With ``header`` the first part starts with the column names and the lines are cleaned.
+    With ``header`` each text starts with the column names and the lines are cleaned.
     """
     columns = list(columns)
     line = clean_lines(row_line(columns)) if header else row_line(columns)
-    text = assemble_lines(df, list(keys), order, line, "\n", part_rows)
+    text = assemble_lines(df, list(keys), order, line)
     if not header:
         return text
-    names = F.lit(" ".join(columns) + "\n")
-    return text.withColumn("text", F.when(F.col("part") == 0, F.concat(names, F.col("text"))).otherwise(F.col("text")))
+    return text.withColumn("text", F.concat(F.lit(" ".join(columns) + "\n"), "text"))
 
 
 def _leaves(value: object, path: str, compat: bool) -> Iterator[tuple[str, str]]:
@@ -112,7 +110,7 @@ def flatten_json(df: DataFrame, column: str, keys: Sequence[str], compat: bool =
             try:
                 found = None if text is None else _leaves(json.loads(text), "", compat)
                 out.append(found and [{"path": p, "value": v} for p, v in found])
-            except ValueError:
+            except (ValueError, RecursionError):  # deeper than the parser goes
                 out.append(None)
         return pa.array(out, _LEAF)
 
@@ -122,7 +120,7 @@ def flatten_json(df: DataFrame, column: str, keys: Sequence[str], compat: bool =
     )
 
 
-def flat_text(leaves: DataFrame, keys: Sequence[str], part_rows: int = PART_ROWS) -> DataFrame:
+def flat_text(leaves: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The leaves as ``path: value`` lines per document."""
     line = clean_lines(F.concat_ws(": ", "path", "value"))
-    return assemble_lines(leaves, keys, "ord", line, "\n", part_rows)
+    return assemble_lines(leaves, keys, "ord", line, "\n")

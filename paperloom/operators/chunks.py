@@ -103,16 +103,16 @@ def next_chunk_edges(
     chunks: DataFrame,
     key: str = "source",
     chunk_id: str = "chunk_id",
-    contiguous: bool = True,
+    contiguous: bool = False,
     bucket_rows: int = 10_000,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Edges ``(key, *keep, src, dst, relation)`` from each chunk to the following one of the same document.
 
-    Chunk ids from the chunkers above are contiguous from 0, so an edge is a
-    projection of its later chunk: no shuffle.  With gaps, the predecessor is looked
-    up inside id buckets, and a bucket's first chunk takes the last id of the
-    nearest earlier bucket, so no document is sorted in one task.
+    The predecessor is looked up inside id buckets, and a bucket's first chunk takes the last id of the
+    nearest earlier bucket, so no document is sorted in one task.  With
+    ``contiguous``, for whole tables from the chunkers above, whose ids run from 0
+    without gaps, an edge is a projection of its later chunk: no shuffle.
     """
     at = F.col(chunk_id)
     if contiguous:

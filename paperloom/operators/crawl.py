@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,15 +18,20 @@ FOLD_ROUNDS = 16  # rounds after which the written rounds are merged into one ta
 _VISIT = "seed string, url string, depth int, content_hash string"
 
 
-def link_table(pages: DataFrame, rules: DataFrame | None = None, agent: str | None = None) -> DataFrame:
-    """Distinct ``(url, target)`` of same-host page links, URLs normalised."""
-    links = with_column_once(html_links(pages, "html", ["url"]), "link", resolve_url("url", "href"))
+def _page_links(pages: DataFrame, rules: DataFrame | None, agent: str | None, keep: Sequence[str]) -> DataFrame:
+    """(url, target, variant, *keep) of same-host page links, URLs normalised; ``variant`` is the page's own URL."""
+    links = with_column_once(html_links(pages, "html", ["url", *keep]), "link", resolve_url("url", "href"))
     links = links.where(same_host("link", "url"))
     if rules is not None:
         links = filter_allowed(links, rules, "link", agent)
     links = links.where(~is_file_link("link", PAGE_FILE_TYPES))
-    links = links.select(normalize_url("url").alias("url"), normalize_url("link").alias("target"))
-    return links.where(F.col("url") != F.col("target")).distinct()
+    links = links.select(normalize_url("url").alias("url"), normalize_url("link").alias("target"), F.col("url").alias("variant"), *keep)
+    return links.where(F.col("url") != F.col("target"))
+
+
+def link_table(pages: DataFrame, rules: DataFrame | None = None, agent: str | None = None) -> DataFrame:
+    """Distinct ``(url, target)`` of same-host page links, URLs normalised."""
+    return _page_links(pages, rules, agent, []).select("url", "target").distinct()
 
 
 def crawl_reach(
@@ -34,20 +41,23 @@ def crawl_reach(
 
     ``pages``: url, html.  ``seeds``: url, depth (NULL for no limit).  A page whose
     content a seed has already seen is skipped and its links are not followed; of
-    equal pages the smallest (depth, url) stays.  Every round reads written tables
+    equal pages the smallest (depth, url) stays.  A seed that is a file link is not a page.  Every round reads written tables
     only.  Several stored variants of a normalised URL count once.
     """
     spark = pages.sparkSession
-    stored = dedupe_keep_first(
-        pages.select(normalize_url("url").alias("url"), F.col("url").alias("full_url"), "html"), ["url"], ["full_url"]
-    )
-    hashes = materialize(stored.select("url", content_hash("html").alias("content_hash")), "hashes")
-    links = materialize(link_table(stored.select(F.col("full_url").alias("url"), "html"), rules, agent), "links")
+    # hashes and links leave each page's row first; only these small rows are compared
+    hashed = pages.select("url", "html", content_hash("html").alias("content_hash"))
+    variants = hashed.select(normalize_url("url").alias("url"), F.col("url").alias("full_url"), "content_hash")
+    stored = materialize(dedupe_keep_first(variants, ["url"], ["full_url", "content_hash"]), "hashes")
+    hashes = stored.select("url", "content_hash")
+    chosen = stored.select(F.col("full_url").alias("variant"), "content_hash")
+    links = _page_links(hashed, rules, agent, ["content_hash"]).join(chosen, ["variant", "content_hash"], "left_semi")
+    links = materialize(links.select("url", "target").distinct(), "links")
     start = seeds.select(
         F.col("url").alias("seed"),
         normalize_url("url").alias("url"),
         F.col("depth").cast("int").alias("limit"),
-    ).where(F.col("limit").isNull() | (F.col("limit") >= 0))
+    ).where((F.col("limit").isNull() | (F.col("limit") >= 0)) & ~is_file_link("seed", PAGE_FILE_TYPES))
     frontier = materialize(start.distinct(), "frontier")
     met = frontier.select("seed", "url")  # every URL ever put on a frontier
     visited = spark.createDataFrame([], _VISIT)

@@ -8,14 +8,10 @@ from pyspark.sql import functions as F
 from paperloom.functions.labels import CATEGORIES, categorize_by_rules, validate_category
 from paperloom.functions.text import trim_space
 from paperloom.operators.dedupe import dedupe_keep_first
+from paperloom.sources.tables import MISSING
 
 HEADER = "keyword,category"  # fixed value, compared in lower case
 FENCE = "``````"  # fixed value
-# spellings that the CSV reader takes for a missing value (fixed values)
-MISSING = (
-    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
-    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
-)
 
 
 def parse_label_csv(

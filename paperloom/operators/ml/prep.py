@@ -16,7 +16,7 @@ from pyspark.ml.feature import (
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
+from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from paperloom.plans.joins import lookup_join
 from paperloom.plans.materialize import materialize
@@ -38,6 +38,13 @@ def select_features(df: DataFrame, target: str | None = None, supervised: bool =
     return [c for c in df.columns if c != target]
 
 
+def _labelled(df: DataFrame, label: str | None) -> DataFrame:
+    """Add ``_label``, a text that equals itself also where the label is NULL; rows without a label are a class."""
+    if not label:
+        return df
+    return df.withColumn("_label", F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("-")))
+
+
 def split_flags(
     df: DataFrame, id_col: str, label: str | None = None, test_size: float = TEST_SIZE, seed: int = SEED, hot_rows: int = 100_000
 ) -> DataFrame:
@@ -46,13 +53,13 @@ def split_flags(
     Repeatable on any partitioning.  The cut per label is an order statistic of the
     hash, so a label with most of the rows is never sorted in one task.
     """
-    keys = [label] if label else []
-    hashed = df.withColumn("_hash", F.xxhash64(id_col, F.lit(seed)))
+    keys = ["_label"] if label else []
+    hashed = _labelled(df, label).withColumn("_hash", F.xxhash64(id_col, F.lit(seed)))
     cuts = order_statistics(
         hashed, keys, "_hash", {"_cut": (test_size, lambda n: F.ceil(n * F.lit(test_size)) - 1)}, hot_rows=hot_rows
     ).select(*keys, "_cut")
     if not keys:
-        return hashed.withColumn("is_test", F.col("_hash") <= cuts.scalar()).drop("_hash")
+        return hashed.withColumn("is_test", F.col("_hash") <= cuts.scalar()).select(*df.columns, "is_test")
     joined = lookup_join(hashed, materialize(cuts, "cuts"), keys)
     return joined.withColumn("is_test", F.col("_hash") <= F.col("_cut")).select(*df.columns, "is_test")
 
@@ -66,17 +73,18 @@ def train_test_split(
 
 def add_folds(df: DataFrame, order: str, label: str | None = None, folds: int = FOLDS, hot_rows: int = 100_000) -> DataFrame:
     """Add ``fold`` 0..folds-1: contiguous runs in ``order`` (unique), per label when stratified."""
-    keys = [label] if label else []
+    keys = ["_label"] if label else []
+    rows = _labelled(df, label)
 
     def last_rank(i: int):
         return lambda n: (i + 1) * F.floor(n / folds) + F.least(F.lit(i + 1), n % folds) - 1
 
     points = {f"_end{i}": ((i + 1) / folds, last_rank(i)) for i in range(folds - 1)}
-    ends = order_statistics(df, keys, order, points, hot_rows=hot_rows).select(*keys, F.array(*points).alias("_ends"))
+    ends = order_statistics(rows, keys, order, points, hot_rows=hot_rows).select(*keys, F.array(*points).alias("_ends"))
     if keys:
-        rows = lookup_join(df, materialize(ends, "folds"), keys)
+        rows = lookup_join(rows, materialize(ends, "folds"), keys)
     else:
-        rows = df.withColumn("_ends", ends.scalar())
+        rows = rows.withColumn("_ends", ends.scalar())
     fold = F.size(F.filter("_ends", lambda e: F.col(order) > e))
     return rows.withColumn("fold", fold).select(*df.columns, "fold")
 
@@ -117,7 +125,7 @@ def fit_preprocessor(train: DataFrame, features: Sequence[str], scale: bool = Tr
     A category unseen in training becomes all zeros: the index kept for invalid
     values is the one the encoder drops.
     """
-    numeric = [c for c in features if isinstance(train.schema[c].dataType, NumericType)]
+    numeric = [c for c in features if isinstance(train.schema[c].dataType, (NumericType, BooleanType))]
     text = [c for c in features if isinstance(train.schema[c].dataType, StringType)]
     stages, parts = [], []
     if numeric:

@@ -263,23 +263,41 @@ def html_detailed(pages: DataFrame, html: str = "html", url: str = "url", keep:
     return parse_pages(pages, html, [*keep, url]).select(*keep, text.alias("text"))
 
 
+def _decoded(path: Column) -> Column:
+    """Escapes resolved, an empty query or fragment dropped; both sides of a comparison are brought to this form."""
+    plain = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    return F.regexp_replace(plain, r"\??#?\z", "")
+
+
 def filter_allowed(urls: DataFrame, rules: DataFrame, url: str = "url", agent: str | None = None) -> DataFrame:
-    """Keep URLs their host allows: the first rule whose prefix starts the path wins, default allow.
+    """Keep URLs their host allows: the first rule whose prefix starts path and query wins, default allow.
+
+    ``rules``: host, ord, prefix, allow and, optionally, agent (NULL or ``*`` for all) and
+    group.  An agent follows one group: of those that name it, that is whose agent occurs in
+    the text before its first ``/``, the one with the least group number (without numbers, the
+    least ord), else the rules for all.  Escapes count as the characters they stand for, ``*``
+    matches every path and an empty disallowed prefix allows everything.
 
-    ``rules``: host, ord, prefix, allow and, optionally, agent (NULL or ``*`` for all).
     A host's rules become one ordered array, so the join has one row per host and
     emits no rule pairs; a host with many URLs is met map-side when the host table
     is small and otherwise split by adaptive skew handling.
     """
     if "agent" in rules.columns and agent is not None:
-        named = F.lower(F.lit(agent)).contains(F.lower("agent"))
-        own = rules.where(named).select("host").distinct()
+        token = agent.split("/")[0].lower()
         everyone = rules.where(F.col("agent").isNull() | (F.col("agent") == "*"))
-        rules = rules.where(named & (F.col("agent") != "*")).unionByName(everyone.join(own, "host", "left_anti"))
-    ordered = rules.groupBy("host").agg(
-        F.sort_array(F.collect_list(F.struct("ord", "prefix", "allow"))).alias("_rules")
-    )
-    path = F.when(url_path(url) == "", "/").otherwise(url_path(url))
+        named = rules.where((F.col("agent") != "*") & F.lit(token).contains(F.lower("agent")))
+        if "group" not in rules.columns:
+            starts = named.groupBy("host", F.lower("agent").alias("_agent")).agg(F.min("ord").alias("group"))
+            named = named.withColumn("_agent", F.lower("agent")).join(starts, ["host", "_agent"]).drop("_agent")
+        first = named.groupBy("host").agg(F.min("group").alias("group"))
+        columns = ["host", "ord", "prefix", "allow"]
+        own = named.join(first, ["host", "group"], "left_semi").select(*columns)
+        rules = own.unionByName(everyone.join(first, "host", "left_anti").select(*columns))
+    prefix = F.when(F.col("prefix") == "*", "").otherwise(_decoded(F.col("prefix"))).alias("prefix")
+    allow = (F.col("allow") | (F.col("prefix") == "")).alias("allow")
+    ordered = rules.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("ord", prefix, allow))).alias("_rules"))
+    rest = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*(?s)(.*)\z", 1)
+    path = _decoded(F.when(rest == "", "/").otherwise(rest))
     rows = urls.withColumn("_path", path).withColumn("_host", url_host(url))
     joined = rows.join(ordered.withColumnRenamed("host", "_host"), "_host", "left")
     verdict = F.get(F.filter("_rules", lambda r: F.col("_path").startswith(r["prefix"])), F.lit(0))["allow"]

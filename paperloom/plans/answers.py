@@ -16,7 +16,7 @@ def chunk_profile(documents: DataFrame, key: str = "doc_id", by: str = "lang") -
     """Clean, cut into fixed chunks, link the chunks, and profile them per language."""
     clean = documents.select(key, by, clean_lines(F.col("text")).alias("text"))
     chunks = chunk_fixed(clean, "text", [key, by])
-    edges = next_chunk_edges(chunks, key, keep=[by])
+    edges = next_chunk_edges(chunks, key, contiguous=True, keep=[by])
     sizes = chunks.withColumn("chars", F.length("text"))
     profile = aggregate(
         sizes, [by], {"chunk_id": ["count", "max"], "chars": ["sum", "mean"], key: ["nunique"]}, sort=False

@@ -19,7 +19,7 @@ MISSING = (
 CLEANED, PARSED = "_cleaned.txt", "_parsed.txt"
 # -----------------------------------------------------------------------------------
 
-_INTEGER = r"^\s*[+-]?\d{1,18}\s*\z"
+_INTEGER = r"^\s*[+-]?\d{1,19}\s*\z"
 _NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*\z|^\s*[+-]?(inf|Infinity)\s*\z"
 _BOOLEAN = ("True", "False", "TRUE", "FALSE", "true", "false")
 
@@ -55,7 +55,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     for i, name in enumerate(names):
         value = F.col(f"`{name}`")
         checks += [
-            all_match(value.rlike(_INTEGER)).alias(f"i{i}"),
+            all_match(F.when(value.isNotNull(), value.rlike(_INTEGER) & F.trim(value).try_cast("bigint").isNotNull())).alias(f"i{i}"),
             all_match(value.rlike(_NUMBER)).alias(f"d{i}"),
             all_match(value.isin(*_BOOLEAN)).alias(f"b{i}"),
             (F.count(value) < F.count("*")).alias(f"m{i}"),

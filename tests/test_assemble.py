@@ -18,11 +18,14 @@ def test_pages_in_order(spark):
     assert got == {"d": "\n--- Page 1 ---\na\n\n--- Page 2 ---\nb b\n", "e": "\n--- Page 1 ---\n\n"}
 
 
-def test_parts_make_up_the_document(spark):
-    df = spark.range(25).select(F.lit("d").alias("k"), F.col("id").alias("n"), F.col("id").cast("string").alias("t"))
-    parts = assemble_paragraphs(df, ["k"], "n", "t", part_rows=10).orderBy("part").collect()
-    assert [p.part for p in parts] == [0, 1, 2]
-    assert "\n".join(p.text for p in parts) == "\n".join(str(i) for i in range(25))
+def test_one_row_per_document_from_any_order_value(spark):
+    df = spark.range(9_990, 30_010, 1).select(F.lit("d").alias("k"), F.col("id").alias("n"), F.col("id").cast("string").alias("t"))
+    rows = assemble_paragraphs(df, ["k"], "n", "t").collect()
+    assert [(r.k, r.text) for r in rows] == [("d", "\n".join(str(i) for i in range(9_990, 30_010)))]
+    late = spark.createDataFrame([("s", 20_001, "b"), ("s", 20_000, "a")], "sheet string, n int, c string")
+    assert [r.text for r in rows_to_text(late, ["c"], "n", ["sheet"], header=True).collect()] == ["c\na\nb"]
+    by_name = spark.createDataFrame([("k", "b", "2"), ("k", "a", "1")], "k string, n string, t string")
+    assert assemble_paragraphs(by_name, ["k"], "n", "t").first().text == "1\n2"
 
 
 def test_short_pages(spark):
@@ -59,3 +62,8 @@ def test_flatten_json_depth_is_not_bounded(spark):
     row = flatten_json(df, "j", ["i"]).first()
     assert row.path == ".".join("0" * 400) and row.value == "7"
     assert json.loads(deep)
+
+
+def test_json_deeper_than_the_parser_has_no_leaves(spark):
+    df = spark.createDataFrame([(1, "[" * 200_000 + "]" * 200_000), (2, "[3]")], "i int, j string")
+    assert [(r.i, r.value) for r in flatten_json(df, "j", ["i"]).collect()] == [(2, "3")]

@@ -56,7 +56,7 @@ def test_fixed_chunks(spark):
 
 def test_contiguous_edges_need_no_shuffle(spark):
     df = spark.createDataFrame([("d", 0), ("d", 1), ("d", 2), ("e", 0)], "source string, chunk_id int")
-    edges = next_chunk_edges(df)
+    edges = next_chunk_edges(df, contiguous=True)
     assert sorted((r.source, r.src, r.dst) for r in edges.collect()) == [("d", 0, 1), ("d", 1, 2)]
     assert "Exchange" not in edges._jdf.queryExecution().executedPlan().toString()
 
@@ -64,7 +64,7 @@ def test_contiguous_edges_need_no_shuffle(spark):
 def test_edges_with_gaps_across_buckets(spark):
     ids = [0, 1, 9, 10, 35, 36, 99]
     df = spark.createDataFrame([("d", i) for i in ids] + [("e", 50)], "source string, chunk_id int")
-    edges = next_chunk_edges(df, contiguous=False, bucket_rows=10)
+    edges = next_chunk_edges(df, bucket_rows=10)
     assert sorted((r.src, r.dst) for r in edges.collect()) == list(zip(ids, ids[1:]))
 
 

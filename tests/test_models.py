@@ -228,3 +228,17 @@ def test_unsuitable_targets_and_models_are_rejected(machines):
         fit_supervised(machines, "id", "state", "regression", "linear", ["load"])
     with pytest.raises(ValueError):
         fit_supervised(machines, "id", "price", "regression", "svm", ["load"])
+
+
+def test_rows_without_label_stay(spark):
+    df = spark.createDataFrame([(i, [None, "a", "b"][i % 3]) for i in range(30)], "id long, c string")
+    flags = split_flags(df, "id", "c").collect()
+    assert len(flags) == 30 and {c: sum(r.is_test for r in flags if r.c == c) for c in (None, "a", "b")} == {None: 2, "a": 2, "b": 2}
+    folds = add_folds(df, "id", "c").collect()
+    assert len(folds) == 30 and all(sum(r.fold == k and r.c is None for r in folds) == 2 for k in range(5))
+
+
+def test_boolean_features_count(spark):
+    df = spark.createDataFrame([(bool(i % 2), float(i)) for i in range(6)], "b boolean, x double")
+    rows = fit_preprocessor(df, ["b", "x"], scale=False).transform(df).collect()
+    assert [list(r.features) for r in rows] == [[float(r.b), r.x] for r in rows]

@@ -96,6 +96,25 @@ def test_first_matching_rule_wins(spark):
     assert got("OtherBot/1.0") == ["http://h", "http://h/a", "http://h/a/b", "http://o/a"]
 
 
+def test_robots_rules_like_the_standard_parser(spark):
+    from urllib.robotparser import RobotFileParser
+
+    groups = [("foo", [("/search", False)]), ("foobar", [("/", False)]), ("bot", [("/b", True), ("/", False)]),
+              ("*", [("/search?", False), ("/a%20b", False), ("/caf\u00e9", False), ("", False)])]
+    lines, rows = [], []
+    for number, (agent, entries) in enumerate(groups):
+        lines += [f"User-agent: {agent}", *[f"{'Allow' if ok else 'Disallow'}: {path}" for path, ok in entries], ""]
+        rows += [("h", number, 10 * number + i, path, ok, agent) for i, (path, ok) in enumerate(entries)]
+    parser = RobotFileParser()
+    parser.parse(lines)
+    paths = ["", "/", "/search", "/search?q=1", "/a b", "/a%20b/c", "/caf%C3%A9", "/b/x", "/x?y#z"]
+    rules = spark.createDataFrame(rows, "host string, group int, ord int, prefix string, allow boolean, agent string")
+    urls = spark.createDataFrame([(f"http://h{p}",) for p in paths], "url string")
+    for agent in ("foobar/1", "FooBar", "Mozilla/5.0 (bot)", "mybot/2", "other"):
+        got = {r.url for r in filter_allowed(urls, rules, agent=agent).collect()}
+        assert got == {f"http://h{p}" for p in paths if parser.can_fetch(agent, f"http://h{p}")}, agent
+
+
 SITE = [
     ("http://a/x", "<a href='y?q=1'>y</a><a href='/z/'>z</a><a href='http://b/q'>b</a><a href='/f.pdf'>f</a>"),
     ("http://a/y", "same<a href='../x'>x</a> <a href='w'>w</a>"),
@@ -141,3 +160,7 @@ def test_link_scan_stays_in_the_jvm_but_for_the_hrefs(spark, site):
     links = html_links(site.withColumn("page_id", F.lit(1)))
     plan = links._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+
+
+def test_file_link_is_no_seed(spark, site):
+    assert visits(spark, site, [("http://a/f.pdf", None)]) == []

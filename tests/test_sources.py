@@ -115,3 +115,10 @@ def test_new_files_are_processed_once(spark, tmp_path):
         process_new_files(spark, source, "id int, text string", step, target, done)
     process_new_files(spark, source, "id int, text string", step, target, done)
     assert sorted(tuple(r) for r in spark.read.parquet(target).collect()) == [(0, "a 0"), (1, "a 1")]
+
+
+def test_long_integers_keep_all_digits(spark, tmp_path):
+    (tmp_path / "ids.csv").write_text("a,b\n1234567890123456789,99999999999999999999\n1234567890123456790,1\n")
+    df = load_table(spark, str(tmp_path / "ids.csv"))
+    assert dict(df.dtypes) == {"a": "bigint", "b": "double"}
+    assert sorted(r.a for r in df.collect()) == [1234567890123456789, 1234567890123456790]
