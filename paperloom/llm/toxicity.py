@@ -33,6 +33,8 @@ REACH = 3  # words after a negation that it covers
 PREFIXES = (3, 4, 5, 6, 7, 8)
 MIN_ODDS = 3.5
 MIN_ERRORS = 3.0
+STRONG = 0.8  # of the greatest log odds found
+EXPLAINS = 2  # texts that a weaker entry must explain alone
 
 Rules = dict[tuple[str, str], tuple[str, str]]
 
@@ -188,7 +190,8 @@ def learn(
 
     Entries are words, and starts of words, that toxic texts hold far more often than others:
     log odds of at least ``MIN_ODDS``, more than ``MIN_ERRORS`` standard errors from 0, in at least three
-    texts and one in a hundred toxic ones.  Of nested entries the one that says most stays.  NULL labels teach
+    texts and one in a hundred toxic ones.  Of nested entries the one that says most stays; weak
+    ones, which may only keep company with insults, must explain texts that no other entry does.  NULL labels teach
     nothing, an id with several labels counts as toxic, and without both labels there is no
     entry: every score is then the share of toxic labels.
     """
@@ -214,22 +217,46 @@ def learn(
         .withColumn("odds", odds)
         .where((F.col("odds") >= MIN_ODDS) & (F.col("odds") > MIN_ERRORS * error))
         .orderBy(F.desc(F.col("ones") * F.col("odds")), F.desc(F.length("entry")), "entry")
-        .limit(20 * max_entries)
+        .limit(4 * max_entries)
     )
+    strong = stage(strong, "toxicity-entries")
+    # at most 4 * max_entries entries, each with the toxic texts of the sample that hold it
+    held = (
+        taught.where("label = 1")
+        .select(F.xxhash64("text").alias("id"), F.explode(_features("text")).alias("entry"))
+        .join(F.broadcast(strong), "entry")
+        .groupBy("entry", "odds", "ones", "zeros")
+        .agg(F.collect_set("id").alias("ids"))
+    )
+    entries = sorted(held.collect(), key=lambda r: (-r["ones"] * r["odds"], -len(r["entry"]), r["entry"]))
     model = Model(bias=prior)
-    for row in strong.toLocalIterator():
-        entry, weight = row["entry"], min(row["odds"], 8.0)
-        word = entry.rstrip(" ")
-        nested = any(word.startswith(p) for p in model.prefixes)
-        around = entry == word and any(o.startswith(word) for o in [*model.words, *model.prefixes])
-        if not nested and not around and len(model.words) + len(model.prefixes) < max_entries:
-            (model.prefixes if entry == word else model.words)[word] = weight
+    _choose(model, entries, EXPLAINS, max_entries)
     if model.words or model.prefixes:
         measured = _measured(taught, model, ["label"]).toPandas()  # at most 2 * rows rows of three numbers
         _calibrate(model, measured["worst"].to_numpy(), measured["total"].to_numpy(), measured["label"].to_numpy(), base)
     return model
 
 
+def _choose(model: Model, entries: list, least: int, most: int) -> None:
+    """Fill the lexicon: strong entries, then those that explain ``least`` texts which no entry so far does.
+
+    Of the weaker ones, a start of words must not occur in any text that is not toxic.
+    """
+    limit = STRONG * max((r["odds"] for r in entries), default=0.0)
+    explained: set[int] = set()
+    for row in [r for r in entries if r["odds"] >= limit] + [r for r in entries if r["odds"] < limit]:
+        entry, ids = row["entry"], set(row["ids"])
+        word = entry.rstrip(" ")
+        weak = row["odds"] < limit and (len(ids - explained) < least or entry == word and row["zeros"])
+        if weak or len(model.words) + len(model.prefixes) >= most:
+            continue
+        nested = any(word.startswith(p) for p in model.prefixes)
+        around = entry == word and any(o.startswith(word) for o in [*model.words, *model.prefixes])
+        if not nested and not around:
+            (model.prefixes if entry == word else model.words)[word] = min(row["odds"], 8.0)
+            explained |= ids
+
+
 def _calibrate(model: Model, worst: np.ndarray, total: np.ndarray, label: np.ndarray, base: float) -> None:
     """Ridge logistic regression by Newton steps, each label weighted by its share in all labels."""
     x = np.column_stack([np.ones(len(worst)), worst, np.log1p(total)])
