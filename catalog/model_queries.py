@@ -17,8 +17,9 @@ from paperloom.operators.ml.metrics import (
     silhouette,
 )
 from paperloom.operators.ml.prep import add_folds, fit_preprocessor, label_codes, select_features, split_flags, standardize
-from paperloom.operators.ml.supervised import fit_supervised
+from paperloom.operators.ml.supervised import fit_supervised, lasso, linear, ridge, training_shapes
 from paperloom.plans.project import spread
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 
 REGRESSION_FEATURES = ["o_custkey", "o_orderstatus", "o_orderpriority"]
@@ -258,7 +259,6 @@ def _register_model(name: str, module: str, model: str, target: str, features: l
 
 
 SMALL_TREES = {"n_estimators": [5], "max_depth": [3, 5], "learning_rate": [0.1]}
-SMALL_FOREST = {"n_estimators": [10], "max_depth": [None, 5]}
 _register_model("linear_regression", "regression", "linear", "o_totalprice", REGRESSION_FEATURES, None)
 _register_model("ridge_regression", "regression", "ridge", "o_totalprice", REGRESSION_FEATURES, None)
 _register_model("lasso_regression", "regression", "lasso", "o_totalprice", REGRESSION_FEATURES, None)
@@ -273,6 +273,29 @@ _register_model("forest_classification", "classification", "randomforest", "o_or
 def model_predictions(spark, sf):
     """Actual and predicted labels of the test rows."""
     fitted = fit_supervised(
-        _orders(spark, sf), "o_orderkey", "o_orderstatus", "classification", "logistic", CLASS_FEATURES, grid={"C": [1.0]}
+        _orders(spark, sf), "o_orderkey", "o_orderstatus", "classification", "logistic", CLASS_FEATURES
     )
     return fitted.predictions
+
+
+@query(
+    """WITH m AS (SELECT count(*) AS n, avg(l_quantity) AS mx, avg(l_extendedprice) AS my,
+        regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_sxy(l_extendedprice, l_quantity) AS sxy FROM lineitem),
+    w AS (SELECT 'linear' AS model, sxy / sxx AS slope, mx, my FROM m
+      UNION ALL SELECT 'ridge', sxy / (sxx + 1000000), mx, my FROM m
+      UNION ALL SELECT 'lasso', sign(sxy) * greatest(abs(sxy) / n - 5000, 0) / (sxx / n), mx, my FROM m)
+    SELECT model, round(slope, 3) AS slope, round(my - slope * mx, 2) AS intercept FROM w"""
+)
+def linear_closed_forms(spark, sf):
+    """The linear models with one feature on all rows, where the solution is a formula."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("label"))
+    train = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
+    (shape,) = training_shapes(train)
+    made = [
+        ("linear", linear({"fit_intercept": True}, shape)),
+        ("ridge", ridge({"alpha": 1_000_000.0}, shape)),
+        ("lasso", lasso({"alpha": 5_000.0}, shape)),
+    ]
+    found = [(name, float(m.coefficients[0]), float(m.intercept)) for name, e in made for m in [e.fit(train)]]
+    out = spark.createDataFrame(found, "model string, slope double, intercept double")
+    return rounded(rounded(out, 3, "slope"), 2, "intercept")

@@ -261,8 +261,7 @@ def term_statistics_query(spark, sf):
     return stats.drop("n_sentences", "median_sentence", "last_sentence")
 
 
-@query(
-    f"""WITH {TERM_SQL}, typical AS (
+SCORE_SQL = f"""{TERM_SQL}, typical AS (
       SELECT *, max(tf) OVER (PARTITION BY doc_id) AS max_tf,
         avg(CASE WHEN NOT is_stop THEN tf END) OVER (PARTITION BY doc_id)
           + coalesce(stddev_pop(CASE WHEN NOT is_stop THEN tf END) OVER (PARTITION BY doc_id), 0) AS typical FROM stats),
@@ -270,8 +269,11 @@ def term_statistics_query(spark, sf):
       SELECT doc_id, term, tf, greatest(tf_upper, tf_acronym) / (1 + ln(tf)) AS casing, ln(ln(3)) AS pos, tf / typical AS freq,
         1 + (CASE WHEN n_left > 0 THEN d_left / n_left ELSE 0 END + CASE WHEN n_right > 0 THEN d_right / n_right ELSE 0 END)
           * tf / max_tf AS rel FROM typical WHERE NOT is_stop),
-    weighed AS (SELECT *, rel * pos / (casing + freq / rel + 1 / rel) AS w FROM features)
-    SELECT doc_id, term, tf, round(w / ((1 + w) * tf), 9) AS score FROM weighed""",
+    weighed AS (SELECT *, rel * pos / (casing + freq / rel + 1 / rel) AS w FROM features)"""
+
+
+@query(
+    f"WITH {SCORE_SQL} SELECT doc_id, term, tf, round(w / ((1 + w) * tf), 9) AS score FROM weighed",
     name="score_terms",
 )
 def score_terms_query(spark, sf):
@@ -279,6 +281,19 @@ def score_terms_query(spark, sf):
     return rounded(score_terms(stats, ["doc_id"]), 9, "score")
 
 
+@query(
+    f"""WITH {SCORE_SQL}, top AS (SELECT doc_id, term FROM weighed
+      QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(w / ((1 + w) * tf), 12), term) <= 20),
+    kept AS (SELECT doc_id, term FROM top
+      WHERE regexp_full_match(term, '\\p{{L}}+') AND length(term) > 2 AND term NOT IN ({sql_list(KEYWORD_STOP_LIST)}))
+    SELECT doc_id, term AS keyword FROM kept""",
+    name="keyword_set",
+)
+def keyword_set_query(spark, sf):
+    """The keywords of every document without the similarity step."""
+    return extract_keywords(table(spark, sf, "documents"), ["doc_id"], dedup_limit=1.0).select("doc_id", "keyword")
+
+
 @query(name="extract_keywords")
 def extract_keywords_query(spark, sf):
     return extract_keywords(table(spark, sf, "documents"), ["doc_id"])

@@ -88,10 +88,14 @@ def aggregate(
     plain = [(c, fn, out) for c, fn, out in outputs if fn != "median"]
     aggregates = [registry[fn](c, order_by).alias(f"_out_{out}") for c, fn, out in plain]
     result = rows.groupBy(*keys).agg(*(aggregates or [F.count("*").alias("_rows")]))
-    for column, fn, out in outputs:
-        if fn == "median":
-            medians = quantiles(rows, keys, column, {f"_out_{out}": 0.5}, hot_rows=hot_rows).drop("n")
-            result = result.join(medians, keys, "left")
+    medians = [(c, out) for c, fn, out in outputs if fn == "median"]
+    if medians:
+        # all columns in one long table: one set of passes, however many medians
+        values = [F.struct(F.lit(i).alias("_i"), F.col(c).cast("double").alias("_x")) for i, (c, _) in enumerate(medians)]
+        long = rows.select(*keys, F.inline(F.array(*values)))
+        found = quantiles(long, [*keys, "_i"], "_x", {"_q": 0.5}, hot_rows=hot_rows)
+        wide = [F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"_out_{out}") for i, (_, out) in enumerate(medians)]
+        result = result.join(found.groupBy(*keys).agg(*wide), keys, "left")
     result = result.select(*keys, *[F.col(f"_out_{out}").alias(out) for _, _, out in outputs])
     return result.orderBy(*keys) if sort else result
 

@@ -15,11 +15,11 @@ _LOCAL_DIRS: dict[str, str] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only on a local master."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's ``spark.checkpoint.dir`` or the folder set on its context; a temporary one only on a local master."""
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = context.applicationId

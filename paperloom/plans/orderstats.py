@@ -105,9 +105,11 @@ def order_statistics(
         bucketed = rows.withColumn("_b", _bucket(cuts, n_cuts))
         return _pick_by_bucket(bucketed, [], points)
 
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), _sketch(shares).alias("_cuts"))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     share_of_all = rows.agg(F.count("*") / max_hot_keys).scalar()
-    hot = sizes.where(F.col("_n") > F.greatest(F.lit(float(hot_rows)), share_of_all)).select(*keys, "_cuts")
+    hot_keys = sizes.where(F.col("_n") > F.greatest(F.lit(float(hot_rows)), share_of_all)).select(*keys)
+    # only hot keys pay for a sketch
+    hot = rows.join(F.broadcast(hot_keys), keys).groupBy(*keys).agg(_sketch(shares).alias("_cuts"))
     marked = rows.join(F.broadcast(hot), keys, "left")
     cold = (
         marked.where(F.col("_cuts").isNull())
