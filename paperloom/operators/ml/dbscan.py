@@ -244,7 +244,8 @@ def dbscan(
     """``(id, cluster)``: -1 for noise; clusters numbered from 0 by their smallest core id.
 
     ``id_col`` must be numeric and unique: it stands for the row order.  A border
-    point takes the lowest cluster among its core neighbours.
+    point takes the lowest cluster among its core neighbours.  A row with a NULL
+    coordinate is near nothing: noise.
     """
     dims = range(len(columns))
     side = eps / math.sqrt(len(columns)) * _SAFETY
@@ -252,7 +253,7 @@ def dbscan(
     raw = df.select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
     xs = [f"x{i}" for i in dims]
     raw = raw.select("id", *[(F.col(x) + F.lit(0.0)).alias(x) for x in xs])  # -0.0 and 0.0 are one place
-    places = raw.groupBy(*xs).agg(F.min("id").alias("uid"), F.count("*").alias("w"))
+    places = raw.dropna(subset=xs).groupBy(*xs).agg(F.min("id").alias("uid"), F.count("*").alias("w"))
     cell = F.array(*[F.floor(F.col(x) / side) for x in xs])
     points = materialize(places.withColumn("cell", cell), "places")
     cells = materialize(_boxes(points, ["cell"], dims), "cells")
@@ -328,5 +329,6 @@ def dbscan(
     labels = lookup_join(labels, materialize(numbered, "numbers"), ["component"])
     place_labels = points.select("uid", *xs).join(labels.select("uid", "cluster"), "uid", "left")
     place_labels = materialize(place_labels.select(*xs, F.coalesce("cluster", F.lit(NOISE)).alias("cluster")), "labels")
-    return lookup_join(raw, place_labels, xs).select(F.col("id").alias(id_col), "cluster")
+    labelled = lookup_join(raw, place_labels, xs, "left")
+    return labelled.select(F.col("id").alias(id_col), F.coalesce("cluster", F.lit(NOISE)).alias("cluster"))
 

@@ -196,3 +196,9 @@ def test_forest_flags_the_far_points(spark):
     assert ((rows.score > threshold) == (rows.label == "Anomaly")).all()
     counts = anomaly_counts(spark.createDataFrame(rows)).first()
     assert (counts.anomaly_count, counts.normal_count) == (20, 380)
+
+
+def test_null_coordinates_are_noise(spark):
+    rows = [(i, 0.0, 0.1 * (i % 3)) for i in range(10)] + [(10, None, 1.0), (11, None, None)]
+    got = dict(dbscan(spark.createDataFrame(rows, "id long, x double, y double"), "id", ["x", "y"], eps=0.5, min_samples=3).collect())
+    assert got == {**{i: 0 for i in range(10)}, 10: -1, 11: -1}
