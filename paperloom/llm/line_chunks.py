@@ -4,11 +4,15 @@ A rolling hash over the hashes of the last lines decides where a chunk ends, so
 line moves only the chunks around it and a passage shared by two texts falls into the same
 chunks in both.  Chunks of several lines that occur again, compared byte by byte, stay only
 where they occur first.
+
+Chunks leave the edges of a repeated passage and passages that hold no whole chunk.  Whole
+runs of repeated lines are found by their pairs of neighbouring lines: a run of two lines or
+more occurs earlier only if each of its pairs does, so no run is missed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +47,14 @@ def line_chunks(data: bytes, window: int = 2, divisor: int = 3) -> list[tuple[in
     return out
 
 
-def _places(rows: DataFrame, window: int, divisor: int, min_lines: int) -> DataFrame:
-    """(doc_id, _ka, _kb, first, size, hash, bytes) of chunks of at least ``min_lines`` lines."""
+def line_pairs(data: bytes) -> list[tuple[int, int, bytes]]:
+    """(first line, 2, bytes) of each two neighbouring lines of a text; lines count from 1."""
+    lines = data.split(b"\n")
+    return [(at, 2, a + b"\n" + b) for at, (a, b) in enumerate(zip(lines, lines[1:]), 1)]
+
+
+def _places(rows: DataFrame, pieces: Callable[[bytes], list[tuple[int, int, bytes]]], min_lines: int) -> DataFrame:
+    """(doc_id, _ka, _kb, first, size, hash, bytes) of pieces of at least ``min_lines`` lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -53,7 +63,7 @@ def _places(rows: DataFrame, window: int, divisor: int, min_lines: int) -> DataF
             found = [
                 (row, first, size, xxhash.xxh64_intdigest(body, 42), len(body))
                 for row, data in enumerate(batch.column(3).to_pylist())
-                for first, size, body in line_chunks(data, window, divisor)
+                for first, size, body in pieces(data)
                 if size >= min_lines
             ]
             row, first, size, digest, count = (np.array(x, np.uint64) for x in (zip(*found) if found else [[]] * 5))
@@ -102,10 +112,14 @@ def repeated_chunks(
 
     "First" is by document id (NULL last), then by content, then by line.
     """
+    return _repeated(docs, lambda data: line_chunks(data, window, divisor), min_lines, doc_id, text)
+
+
+def _repeated(docs: DataFrame, pieces: Callable[[bytes], list[tuple[int, int, bytes]]], min_lines: int, doc_id: str, text: str) -> DataFrame:
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).select("doc_id", "text", *row_key())
     long_enough = keyed.where(F.col("text").contains("\n"))
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *KEY, "first").alias("place")
-    places = _places(long_enough, window, divisor, min_lines).select(place, "size", "hash", "bytes")
+    places = _places(long_enough, pieces, min_lines).select(place, "size", "hash", "bytes")
     places = stage(places, "line-chunks")
     same = ["hash", "bytes"]
     again = places.groupBy(*same).agg(F.min("place").alias("owner"), F.max("place").alias("latest"))
@@ -141,6 +155,34 @@ def drop_repeated_chunks(
     """
     gone = repeated_chunks(docs, window, divisor, min_lines, doc_id, text)
     removed = stage(gone.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("first", "size"))).alias("removed")), "removed-chunks")
+    return _cut(docs, removed, doc_id, text)
+
+
+def _runs(firsts: pa.Array) -> pa.Array:
+    """The runs (first, size) of lines that sorted pairs cover."""
+    out = []
+    for starts in firsts.to_pylist():
+        lines = np.union1d(starts, np.add(starts, 1))
+        cuts = np.flatnonzero(np.diff(lines) > 1) + 1
+        out.append([{"first": int(run[0]), "size": len(run)} for run in np.split(lines, cuts)])
+    return pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("size", pa.int32())])))
+
+
+def drop_repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every row of ``docs`` without the lines of runs of two lines or more that occur earlier, beside ``removed``.
+
+    All such runs go, wherever they start and end; of every line that is removed an earlier
+    copy stays.  "Earlier" and all else are as with ``drop_repeated_chunks``; ``removed`` has
+    the longest runs of removed lines.
+    """
+    gone = _repeated(docs, line_pairs, 2, doc_id, text)
+    runs = F.arrow_udf(_runs, "array<struct<first:int,size:int>>")
+    removed = gone.groupBy(*KEY).agg(F.sort_array(F.collect_list("first")).alias("firsts")).select(*KEY, runs("firsts").alias("removed"))
+    return _cut(docs, stage(removed, "removed-runs"), doc_id, text)
+
+
+def _cut(docs: DataFrame, removed: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(_row, removed): the rows of ``docs`` without the lines of ``removed`` (_ka, _kb, removed)."""
     ka, kb = row_key(doc_id, text)
     rows = boxed(docs, _ka=ka, _kb=kb).join(removed.hint("merge"), KEY, "left")
     lines = F.split(F.col("_row").getField(text), "\n", -1)

@@ -81,8 +81,8 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without the multi-line chunks that occur earlier."""
-    cleaned = line_chunks.drop_repeated_chunks(table(spark, sf_dir, "documents"))
+    """Documents without the runs of two lines or more that occur earlier."""
+    cleaned = line_chunks.drop_repeated_runs(table(spark, sf_dir, "documents"))
     return cleaned.select(
         "_row.doc_id",
         "_row.text",
