@@ -26,7 +26,8 @@ WALK = 64  # steps; fewer than one date in 10**25 needs more
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 SECRET = r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])|(?:password|passwd|secret|token)\s?[=:]\s?[0-9A-Za-z]{8,}"
 IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
-CARD = r"\d(?:[ -]?\d){12,18}(?![0-9A-Za-z])"
+# the digits of a date or of a phone number that follow a card are not the card's
+CARD = r"\d(?:[ -]?\d){12,18}(?![0-9A-Za-z]|/\d|[-.]\d{2}[-.]\d|[ .-]\d{3}[ .-]\d{4}(?!\d))"
 PHONE = r"(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![0-9A-Za-z])"
 ABROAD = r"\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?![0-9A-Za-z])"
 SSN = r"\d{3}-\d{2}-\d{4}(?![0-9A-Za-z-])"
@@ -35,7 +36,12 @@ DATE = r"\d{4}([-/.])\d{2}\1\d{2}(?![0-9A-Za-z])|\d{2}([-/.])\d{2}\2\d{4}(?![0-9
 
 KINDS = ("email", "secret", "iban", "phone", "abroad", "ssn", "ipv4", "date", "card")
 _PATTERNS = (EMAIL, SECRET, IBAN, PHONE, ABROAD, SSN, IPV4, DATE.replace(r"\1", "[-/.]").replace(r"\2", "[-/.]"), CARD)
-ANY = r"(?<![0-9A-Za-z+(@.-])(?:" + "|".join(_PATTERNS) + ")"
+#: no kind starts within a word; these do not start after such characters either
+_NOT_AFTER = {"phone": r"(?<!\+)(?<!\d[.-])", "abroad": r"(?<!\+)", "ssn": r"(?<!\d-)", "ipv4": r"(?<!\d\.)"}
+_STARTED = [f"{_NOT_AFTER.get(kind, '')}(?:{pattern})" for kind, pattern in zip(KINDS, _PATTERNS)]
+ANY = r"(?<![0-9A-Za-z])(?:" + "|".join(_STARTED) + ")"
+#: what is looked for again beside or instead of a bank account number
+INNER = r"(?<![0-9A-Za-z])(?:" + "|".join(p for kind, p in zip(KINDS, _STARTED) if kind != "iban") + ")"
 
 
 def _hash(key: str, part: Column, step: Column, size: int) -> Column:
@@ -128,12 +134,22 @@ def _padded(number: Column, width: int) -> Column:
     return F.lpad(number.cast("string"), width, "0")
 
 
+def _is_card(value: Column) -> Column:
+    digits = _digits(value)
+    return F.length(digits).between(13, 19) & (_luhn(digits) == 0)
+
+
+def _is_iban(value: Column) -> Column:
+    plain = F.replace(value, F.lit(" "), F.lit(""))
+    return F.length(plain).between(15, 34) & (_mod97(plain) == 1)
+
+
 def _card(value: Column, key: str) -> Column:
     digits = _digits(value)
     body = F.substr(digits, F.lit(2), F.length(digits) - 2)
     fresh = F.concat(F.substr(digits, F.lit(1), F.lit(1)), permuted_text(body, key))
     check = (10 - _luhn(F.concat(fresh, F.lit("0")))) % 10
-    return F.when(F.length(digits).between(13, 19) & (_luhn(digits) == 0), _in_places(value, F.concat(fresh, check.cast("string"))))
+    return F.when(_is_card(value), _in_places(value, F.concat(fresh, check.cast("string"))))
 
 
 def _iban(value: Column, key: str) -> Column:
@@ -141,7 +157,7 @@ def _iban(value: Column, key: str) -> Column:
     fresh = permuted_text(F.substr(plain, F.lit(5), F.length(plain)), key)
     zero = F.concat(F.substr(plain, F.lit(1), F.lit(2)), F.lit("00"), fresh)
     made = F.concat(F.substr(plain, F.lit(1), F.lit(2)), _padded(98 - _mod97(zero), 2), fresh)
-    return F.when(F.length(plain).between(15, 34) & (_mod97(plain) == 1), _in_places(value, made, "[0-9A-Z]"))
+    return F.when(_is_iban(value), _in_places(value, made, "[0-9A-Z]"))
 
 
 def _phone(value: Column, key: str) -> Column:
@@ -239,6 +255,39 @@ def _kind(value: Column) -> Column:
     return out
 
 
+def _pieces(value: Column) -> Column:
+    """What was found, cut into pieces: a span with a check that also holds other words or digits gives the valid part of its own.
+
+    The part starts and ends at a blank or hyphen; the first and then the longest one is taken.
+    """
+    at = F.sequence(F.lit(1), F.length(value))
+    joint = lambda i: F.substr(value, i, F.lit(1)).rlike("^[ -]?$")
+    part = lambda p: F.substr(value, p["start"], p["size"])
+    ends = F.filter(at, lambda i: joint(i + 1))
+    starts = F.filter(at, lambda i: (i == 1) | joint(i - 1))
+    places = F.flatten(
+        F.transform(
+            starts, lambda i: F.transform(F.filter(F.reverse(ends), lambda e: e - i >= 12), lambda e: F.struct(i.alias("start"), (e - i + 1).alias("size")))
+        )
+    )
+    valid = F.filter(
+        places,
+        lambda p: F.when(part(p).rlike(f"^(?:{IBAN})$"), _is_iban(part(p))).when(part(p).rlike(f"^(?:{CARD})$"), _is_card(part(p))).otherwise(F.lit(False)),
+    )
+    inner = lambda text: F.flatten(
+        F.zip_with(F.split(text, INNER, -1), F.concat(F.regexp_extract_all(text, F.lit(INNER), F.lit(0)), F.array(F.lit(""))), lambda a, b: F.array(a, b))
+    )
+
+    def cut(p: Column) -> Column:
+        before, after = F.substr(value, F.lit(1), p["start"] - 1), F.substr(value, p["start"] + p["size"], F.length(value))
+        return F.concat(inner(before), F.array(part(p)), inner(after))
+
+    chosen = F.flatten(F.transform(F.slice(valid, 1, 1), cut))
+    split = F.when(F.size(chosen) > 0, chosen).otherwise(inner(value))
+    checked = value.rlike(f"^(?:{IBAN})$") & ~_is_iban(value) | value.rlike(f"^(?:{CARD})$") & ~_is_card(value)
+    return F.when(checked, split).otherwise(F.array(value))
+
+
 def _pseudonym(kind: Column, value: Column, key: str) -> Column:
     """The value's pseudonym, or NULL when it fails the checks of its kind."""
     out = None
@@ -259,17 +308,18 @@ def pseudonymize(docs: DataFrame, key: str = "paperloom", text: str = "text") ->
     # numbered names: no name of the input can meet one from here
     rows = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
     body = f"_c{docs.columns.index(text)}"
-    seen = F.when(F.col(body).rlike(r"[0-9@=]"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
+    seen = F.regexp_extract_all(body, F.lit(ANY), F.lit(0))
     # the generators keep a list from being made anew at each of its uses
     listed = rows.select("*", F.explode(F.array(F.coalesce(seen, F.array().cast("array<string>")))).alias("_seen"))
-    kinds = F.transform("_seen", lambda value: F.struct(_kind(value).alias("kind"), value.alias("old")))
-    sorted_out = listed.select(*rows.columns, F.explode(F.array(kinds)).alias("_kinds"))
-    made = F.transform(
-        "_kinds", lambda k: F.struct(k["kind"].alias("kind"), k["old"].alias("old"), _pseudonym(k["kind"], k["old"], key).alias("new"))
-    )
+    cut = listed.select(*rows.columns, F.explode(F.array(F.transform("_seen", _pieces))).alias("_seen"))
+    kinds = F.transform("_seen", lambda span: F.transform(span, lambda value: F.struct(_kind(value).alias("kind"), value.alias("old"))))
+    sorted_out = cut.select(*rows.columns, F.explode(F.array(kinds)).alias("_kinds"))
+    renamed = lambda k: F.struct(k["kind"].alias("kind"), k["old"].alias("old"), _pseudonym(k["kind"], k["old"], key).alias("new"))
+    made = F.transform("_kinds", lambda span: F.transform(span, renamed))
     done = sorted_out.select(*rows.columns, F.explode(F.array(made)).alias("_made"))
-    new = F.concat(F.transform("_made", lambda m: F.coalesce(m["new"], m["old"])), F.array(F.lit("")))
+    new = F.transform("_made", lambda span: F.array_join(F.transform(span, lambda m: F.coalesce(m["new"], m["old"])), ""))
+    new = F.concat(new, F.array(F.lit("")))
     joined = F.array_join(F.zip_with(F.split(body, ANY, -1), new, lambda a, b: F.concat(a, b)), "")
     out = F.when(F.size("_made") > 0, joined).otherwise(F.col(body))
     row = F.struct(*[(out if c == body else F.col(c)).alias(name) for c, name in zip(rows.columns, docs.columns)])
-    return done.select(row.alias("_row"), F.filter("_made", lambda m: m["new"].isNotNull()).alias("found"))
+    return done.select(row.alias("_row"), F.filter(F.flatten("_made"), lambda m: m["new"].isNotNull()).alias("found"))
