@@ -1,7 +1,8 @@
 """Homomorphic fingerprints of documents: sums of wide vectors hashed from their paragraphs.
 
-A paragraph (a line of the text) gives two vectors of ``LANES`` 16-bit numbers, and a
-document's state is the sum over its paragraphs, modulo 2**16 in every lane:
+A paragraph (a line of the text) gives two vectors of ``LANES`` numbers, and a document's
+state is the sum over its paragraphs, modulo 2**16 in every lane of the proof and in 64 bits
+in every lane of the sketch, which is read as a number and must not wrap:
 
 * ``proof``: uniform numbers drawn from the paragraph's SHAKE-128 stream.  Two documents have
   the same sum only if they hold the same paragraphs equally often, in any order.
@@ -10,7 +11,7 @@ document's state is the sum over its paragraphs, modulo 2**16 in every lane:
   about one part in the square root of ``LANES``.
 
 Sums can be extended and shortened: adding or subtracting a paragraph's vectors inserts or
-deletes it.  The printed fingerprint is the SHA-256 of both sums.
+deletes it.  The printed fingerprint is the SHA-256 of both sums, of the sketch's modulo 2**16.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ class State:
 
     def __init__(self, proof: np.ndarray | None = None, sketch: np.ndarray | None = None):
         self.proof = np.zeros(LANES, np.uint16) if proof is None else proof
-        self.sketch = np.zeros(LANES, np.int16) if sketch is None else sketch
+        self.sketch = np.zeros(LANES, np.int64) if sketch is None else sketch
 
     def __add__(self, other: State) -> State:
         return State(self.proof + other.proof, self.sketch + other.sketch)
@@ -81,13 +82,13 @@ def states(texts: list[bytes]) -> list[State]:
     cuts = np.concatenate([[0], np.cumsum(used)])[np.searchsorted(starts, bounds)]
     out = []
     for text, a, b in zip(texts, cuts[:-1], cuts[1:]):
-        sketch = np.bincount(lane[a:b], sign[a:b], LANES).astype(np.int64).astype(np.int16)
+        sketch = np.bincount(lane[a:b], sign[a:b], LANES).astype(np.int64)
         out.append(State(_proof(text.split(b"\n")) if text else None, sketch))
     return out
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, proof, sketch): the digest of every whole text and its sums as 16-bit lanes.
+    """(doc_id, fingerprint, proof, sketch): the digest of every whole text and its sums, as 16-bit and 64-bit lanes.
 
     NULL counts as empty.  Equal texts have equal rows; the order of paragraphs does not matter.
     """
@@ -100,7 +101,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                     batch.column(0),
                     pa.array([s.digest() for s in found]),
                     pa.array([s.proof.astype("<u2").tobytes() for s in found], pa.binary()),
-                    pa.array([s.sketch.astype("<i2").tobytes() for s in found], pa.binary()),
+                    pa.array([s.sketch.astype("<i8").tobytes() for s in found], pa.binary()),
                 ],
                 names=["doc_id", "fingerprint", "proof", "sketch"],
             )
