@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, decontaminate, langid, line_chunks, multiset_hash, packing, pii, simhash, sparse_suffix, toxicity
+from paperloom.llm import (
+    chat,
+    decontaminate,
+    kmeans_tree,
+    langid,
+    line_chunks,
+    multiset_hash,
+    oracles,
+    packing,
+    pii,
+    repair,
+    simhash,
+    sparse_suffix,
+    spelling,
+    toxicity,
+)
 from paperloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +111,21 @@ def op10_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse_suffix.repeated_passages(table(spark, sf_dir, "documents"), least=50)
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with planted faults: what is wrong and the cheapest repair."""
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents, their more frequent spelling one edit away and where such steps end."""
+    return spelling.variants(table(spark, sf_dir, "documents"), least_letters=5, least=3, times=2)
+
+
+def op13_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for every vector whose id is divisible by 100."""
+    return kmeans_tree.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
@@ -107,6 +137,9 @@ QUERIES: dict[str, Query] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_line_chunks": op9_line_chunks,
     "op10_sparse_suffix": op10_sparse_suffix,
+    "op11_repair": op11_repair,
+    "op12_spelling": op12_spelling,
+    "op13_kmeans_tree": op13_kmeans_tree,
 }
 
 OP8_SQL = r"""
@@ -159,4 +192,6 @@ FROM c GROUP BY conv_id
 ORACLES: dict[str, str] = {
     "op4_chat": OP4_SQL,
     "op8_decontaminate": OP8_SQL,
+    "op11_repair": oracles.OP11_SQL,
+    "op12_spelling": oracles.OP12_SQL,
 }
