@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import stage
 
-SAMPLE = 32_768
+SAMPLE = 8_192
 LEAF_SAMPLE = 48
 BRANCHES = 12
 CALIBRATION = 256
@@ -137,20 +137,22 @@ def _stacked(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
-def nearest_in_block(queries: np.ndarray, vectors: np.ndarray, ids: list[list[int]], k: int) -> list[list[tuple[float, int]]]:
-    """Per query the k nearest (distance, id) of a block.
+def nearest_in_block(
+    queries: np.ndarray, vectors: np.ndarray, ids: list[list[int]], k: int, within: np.ndarray | None = None
+) -> list[list[tuple[float, int]]]:
+    """Per query the k nearest (distance, id) of a block, none farther than its entry in ``within``.
 
     Products give candidates within a rounding bound of the k-th; their distances are then taken exactly.
     """
     norms, out = (vectors**2).sum(1), []
-    for q in queries:
+    for q, limit in zip(queries, within if within is not None else np.full(len(queries), np.inf)):
         squares = norms - 2 * (vectors @ q) + q @ q
-        bound = np.inf
+        bound = limit * limit
         if len(squares) > k:
-            bound = np.partition(squares, k - 1)[k - 1] + 2 * ROUNDING * (norms.max() + q @ q)
-        near = np.flatnonzero(squares <= bound)
+            bound = min(bound, np.partition(squares, k - 1)[k - 1])
+        near = np.flatnonzero(squares <= bound + 2 * ROUNDING * (norms.max() + q @ q))
         exact = np.sqrt(((vectors[near] - q) ** 2).sum(1))
-        out.append(sorted((float(d), i) for d, at in zip(exact, near) for i in ids[at])[:k])
+        out.append(sorted((float(d), i) for d, at in zip(exact, near) if d <= limit for i in ids[at])[:k])
     return out
 
 
@@ -214,10 +216,9 @@ class Index:
         return distinct.mapInArrow(run, "ka long, kb long, vector array<double>, ids array<long>, leaf int")
 
     def _visits(self, queries: DataFrame, reach: float | None) -> DataFrame:
-        """(ka, kb, vector, leaf): the leaves each query visits first or, given ``reach``, the further ones.
+        """(ka, kb, vector, kth, leaf): the leaves each query visits first or, given ``reach``, the further ones.
 
-        ``queries``: ka, kb, vector, and for the further leaves the k-th distance found so far.  The first leaves go on until
-        they hold k + 1 ids.
+        ``queries``: ka, kb, vector, kth; kth is the k-th distance found so far.  The first leaves go on until they hold k + 1 ids.
         """
         tree, width, leaf_ids, enough = self.tree, self.width, self.leaf_ids, self.k + 1
 
@@ -248,11 +249,11 @@ class Index:
                                 ranked.append(leaf)
                     leaves.append(ranked)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:3], pa.array(leaves, pa.list_(pa.int32()))], names=["ka", "kb", "vector", "leaves"]
+                    [*batch.columns, pa.array(leaves, pa.list_(pa.int32()))], names=["ka", "kb", "vector", "kth", "leaves"]
                 )
 
-        visited = queries.mapInArrow(run, "ka long, kb long, vector array<double>, leaves array<int>")
-        return visited.select(*KEY, "vector", F.explode("leaves").alias("leaf"))
+        visited = queries.mapInArrow(run, "ka long, kb long, vector array<double>, kth double, leaves array<int>")
+        return visited.select(*KEY, "vector", "kth", F.explode("leaves").alias("leaf"))
 
     def _search(self, visits: DataFrame) -> DataFrame:
         """(ka, kb, score, id): of every visited block the nearest ids of each query."""
@@ -264,7 +265,7 @@ class Index:
         group = F.pmod(F.xxhash64(*KEY), F.col("groups")).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         held = self.vectors.join(dealt, "leaf").select("leaf", part.alias("part"), every("groups").alias("group"), "vector", "ids")
-        asked = visits.join(dealt, "leaf").select("leaf", group.alias("group"), every("parts").alias("part"), *KEY, "vector")
+        asked = visits.join(dealt, "leaf").select("leaf", group.alias("group"), every("parts").alias("part"), *KEY, "vector", "kth")
         width, k = self.width, self.k + 1
 
         def meet(asked: pa.Table, held: pa.Table) -> pa.Table:
@@ -272,11 +273,13 @@ class Index:
             if held.num_rows and asked.num_rows:
                 vectors = _stacked(held.column("vector").combine_chunks(), width)
                 queries = _stacked(asked.column("vector").combine_chunks(), width)
-                found = nearest_in_block(queries, vectors, held.column("ids").to_pylist(), k)
+                # what is farther than the k-th hit so far is no result, so few rows leave a block
+                found = nearest_in_block(queries, vectors, held.column("ids").to_pylist(), k, asked.column("kth").to_numpy())
             sizes = [len(f) for f in found]
             keys = [np.repeat(asked.column(c).to_numpy(), sizes) if found else np.zeros(0, np.int64) for c in KEY]
-            score, ids = zip(*[hit for f in found for hit in f]) if found else ([], [])
-            return pa.table({"ka": keys[0], "kb": keys[1], "score": pa.array(score, pa.float64()), "id": pa.array(ids, pa.int64())})
+            hits = [hit for f in found for hit in f]
+            score, ids = pa.array([d for d, _ in hits], pa.float64()), pa.array([i for _, i in hits], pa.int64())
+            return pa.table({"ka": keys[0], "kb": keys[1], "score": score, "id": ids})
 
         by = ["leaf", "part", "group"]
         return asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(meet, "ka long, kb long, score double, id long")
@@ -340,7 +343,8 @@ class Index:
         queries = stage(rows.groupBy(*KEY).agg(F.first("vector").alias("vector")), "queries")
         if queries.isEmpty():
             return self.spark.createDataFrame([], schema)
-        start = stage(self._best(self._search(self._visits(queries, None))), "first-hits")
+        unknown = queries.withColumn("kth", F.lit(math.inf))
+        start = stage(self._best(self._search(self._visits(unknown, None))), "first-hits")
         kth = start.select(*KEY, F.element_at("hits", -1)["score"].alias("kth"))
         first = stage(queries.join(kth, KEY).select(*KEY, "vector", "kth"), "first-distances")
         self.reach = self.calibrate(first, sample, recall)
