@@ -8,14 +8,9 @@ from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Model, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -24,13 +19,13 @@ from paperloom.operators.impute import cardinality_guard, impute
 from paperloom.operators.ml.metrics import classification_report, regression_metrics
 from paperloom.operators.ml.prep import (
     FOLDS,
-    SEED,
     TEST_SIZE,
     add_folds,
     fit_preprocessor,
     select_features,
     split_flags,
 )
+from paperloom.operators.ml.trees import search_boosted, search_forest
 from paperloom.plans.materialize import ensure_checkpointing, materialize
 
 # --- fixed values: must equal the expected output ---------------------------------
@@ -49,7 +44,6 @@ LASSO_ITERATIONS = 10_000
 LOGISTIC_ITERATIONS = 2_000
 # -----------------------------------------------------------------------------------
 
-DEEPEST_TREE = 30  # Spark's limit; stands for "no limit"
 COLS = {"featuresCol": "features", "labelCol": "label"}
 
 
@@ -90,18 +84,6 @@ def lasso(p: Mapping, shape: TrainingShape) -> Estimator:
     )
 
 
-def boosted_regression(p: Mapping, shape: TrainingShape) -> Estimator:
-    return GBTRegressor(
-        maxIter=p["n_estimators"], maxDepth=p["max_depth"], stepSize=p["learning_rate"], seed=SEED, **COLS
-    )
-
-
-def forest_regression(p: Mapping, shape: TrainingShape) -> Estimator:
-    return RandomForestRegressor(
-        numTrees=p["n_estimators"], maxDepth=p["max_depth"] or DEEPEST_TREE, seed=SEED, featureSubsetStrategy="all", **COLS
-    )
-
-
 def logistic(p: Mapping, shape: TrainingShape) -> Estimator:
     """Inverse penalty ``C`` on the summed loss is ``1 / (C n)`` on the mean loss."""
     return LogisticRegression(
@@ -109,29 +91,18 @@ def logistic(p: Mapping, shape: TrainingShape) -> Estimator:
     )
 
 
-def boosted_classification(p: Mapping, shape: TrainingShape) -> Estimator:
-    binary = GBTClassifier(
-        maxIter=p["n_estimators"], maxDepth=p["max_depth"], stepSize=p["learning_rate"], seed=SEED, **COLS
-    )
-    return binary if shape.classes <= 2 else OneVsRest(classifier=binary, **COLS)
-
-
-def forest_classification(p: Mapping, shape: TrainingShape) -> Estimator:
-    return RandomForestClassifier(
-        numTrees=p["n_estimators"], maxDepth=p["max_depth"] or DEEPEST_TREE, seed=SEED, **COLS
-    )
-
-
 Builder = Callable[[Mapping, TrainingShape], Estimator]
-MODELS: dict[tuple[str, str], Builder] = {
+TreeSearch = Callable[[DataFrame, str, Sequence[Mapping], int], tuple[list[float], Model]]
+#: a builder fits one point of a grid; a search of trees fits the points of a grid together
+MODELS: dict[tuple[str, str], Builder | TreeSearch] = {
     ("regression", "linear"): linear,
     ("regression", "ridge"): ridge,
     ("regression", "lasso"): lasso,
-    ("regression", "xgboost"): boosted_regression,
-    ("regression", "randomforest"): forest_regression,
+    ("regression", "xgboost"): search_boosted,
+    ("regression", "randomforest"): search_forest,
     ("classification", "logistic"): logistic,
-    ("classification", "xgboost"): boosted_classification,
-    ("classification", "randomforest"): forest_classification,
+    ("classification", "xgboost"): search_boosted,
+    ("classification", "randomforest"): search_forest,
 }
 
 
@@ -179,11 +150,15 @@ def grid_search(
     with ThreadPool(parallelism) as pool:
         results = pool.map(run, jobs, chunksize=1)
     means = [sum(results[c * folds : (c + 1) * folds]) / folds for c in range(len(candidates))]
+    best, scores = _ranked(train, candidates, means)
+    return Search(dict(candidates[best]), scores, build(candidates[best], whole).fit(train))
+
+
+def _ranked(train: DataFrame, candidates: Sequence[Mapping], means: Sequence[float]) -> tuple[int, DataFrame]:
+    """The place of the first best candidate, and all scores."""
     best = max(range(len(candidates)), key=lambda c: (means[c], -c))
     rows = [(str(dict(candidates[c])), float(means[c]), c == best) for c in range(len(candidates))]
-    scores = train.sparkSession.createDataFrame(rows, "params string, mean_score double, best boolean")
-    model = build(candidates[best], whole).fit(train)
-    return Search(dict(candidates[best]), scores, model)
+    return best, train.sparkSession.createDataFrame(rows, "params string, mean_score double, best boolean")
 
 
 @dataclass
@@ -247,12 +222,17 @@ def fit_supervised(
             rows = rows.withColumn("label", F.col(target).cast("double"))
         else:
             rows = encoder.transform(rows.withColumn("_target", F.col(target).cast("string")))
-        return preprocessor.transform(rows).select("features", "label", "fold")
+        return preprocessor.transform(rows).select("features", "label", "fold", F.xxhash64(id_col).alias("row"))
 
     table = materialize(prepared(add_folds(train, id_col, stratify, folds)), "train")
     build = MODELS[module, model_type]
     candidates = expand_grid(grid if grid is not None else GRIDS[module, model_type])
-    search = grid_search(table, module, build, candidates, folds, parallelism)
+    if build in (search_boosted, search_forest):
+        means, fitted = build(table, module, candidates, folds)
+        best, scores = _ranked(table, candidates, means)
+        search = Search(dict(candidates[best]), scores, fitted)
+    else:
+        search = grid_search(table, module, build, candidates, folds, parallelism)
 
     stages = [*preprocessor.stages, search.model]
     if encoder is not None:
