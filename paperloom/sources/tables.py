@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StringType, StructType
 
 from paperloom.functions.urls import base_name
+from paperloom.sources.csv_splits import read_csv_splits
 
 # --- fixed values: must equal the expected output ---------------------------------
 # spellings that the table readers take for a missing value
@@ -78,10 +79,10 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def _read_csv(spark: SparkSession, path: str, schema: StructType | str | None) -> DataFrame:
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    if schema is not None:
-        return missing_to_null(reader.option("nullValue", "").schema(schema).csv(path))
-    return infer_types(missing_to_null(reader.option("inferSchema", False).csv(path)))
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    rows = missing_to_null(read_csv_splits(spark, path, schema))
+    return rows if schema is not None else infer_types(rows)
 
 
 def _read_json(spark: SparkSession, path: str, schema: StructType | str | None) -> DataFrame:
