@@ -6,8 +6,9 @@ chunks in both.  Chunks of several lines that occur again, compared byte by byte
 where they occur first.
 
 Chunks leave the edges of a repeated passage and passages that hold no whole chunk.  Whole
-runs of repeated lines are found by their pairs of neighbouring lines: a run of two lines or
-more occurs earlier only if each of its pairs does, so no run is missed.
+runs of repeated lines are found by their pairs of neighbouring lines that are not blank: a run
+of two such lines or more occurs earlier only if each of its pairs, with the blank lines between, does,
+so no run is missed.  Blank lines alone are no evidence of a copy and never make a run.
 """
 
 from __future__ import annotations
@@ -48,9 +49,10 @@ def line_chunks(data: bytes, window: int = 2, divisor: int = 3) -> list[tuple[in
 
 
 def line_pairs(data: bytes) -> list[tuple[int, int, bytes]]:
-    """(first line, 2, bytes) of each two neighbouring lines of a text; lines count from 1."""
+    """(first line, number of lines, bytes) from each line that is not blank to the next such one; lines count from 1."""
     lines = data.split(b"\n")
-    return [(at, 2, a + b"\n" + b) for at, (a, b) in enumerate(zip(lines, lines[1:]), 1)]
+    filled = [at for at, line in enumerate(lines) if line.strip()]
+    return [(a + 1, b - a + 1, b"\n".join(lines[a : b + 1])) for a, b in zip(filled, filled[1:])]
 
 
 def _places(rows: DataFrame, pieces: Callable[[bytes], list[tuple[int, int, bytes]]], min_lines: int) -> DataFrame:
@@ -158,26 +160,31 @@ def drop_repeated_chunks(
     return _cut(docs, removed, doc_id, text)
 
 
-def _runs(firsts: pa.Array) -> pa.Array:
-    """The runs (first, size) of lines that sorted pairs cover."""
+def _runs(pairs: pa.Array) -> pa.Array:
+    """The runs (first, size) of lines that pairs (first, size), sorted, cover."""
     out = []
-    for starts in firsts.to_pylist():
-        lines = np.union1d(starts, np.add(starts, 1))
-        cuts = np.flatnonzero(np.diff(lines) > 1) + 1
-        out.append([{"first": int(run[0]), "size": len(run)} for run in np.split(lines, cuts)])
+    for spans in pairs.to_pylist():
+        runs: list[list[int]] = []
+        for span in spans:
+            first, end = span["first"], span["first"] + span["size"]
+            if runs and first <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], end)
+            else:
+                runs.append([first, end])
+        out.append([{"first": a, "size": b - a} for a, b in runs])
     return pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("size", pa.int32())])))
 
 
 def drop_repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row of ``docs`` without the lines of runs of two lines or more that occur earlier, beside ``removed``.
+    """Every row of ``docs`` without the lines of runs of two filled lines or more that occur earlier, beside ``removed``.
 
-    All such runs go, wherever they start and end; of every line that is removed an earlier
+    All such runs go, with the blank lines inside, wherever they start and end; of every line that is removed an earlier
     copy stays.  "Earlier" and all else are as with ``drop_repeated_chunks``; ``removed`` has
     the longest runs of removed lines.
     """
     gone = _repeated(docs, line_pairs, 2, doc_id, text)
     runs = F.arrow_udf(_runs, "array<struct<first:int,size:int>>")
-    removed = gone.groupBy(*KEY).agg(F.sort_array(F.collect_list("first")).alias("firsts")).select(*KEY, runs("firsts").alias("removed"))
+    removed = gone.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("first", "size"))).alias("pairs")).select(*KEY, runs("pairs").alias("removed"))
     return _cut(docs, stage(removed, "removed-runs"), doc_id, text)
 
 

@@ -47,3 +47,16 @@ def test_edge_rows(spark):
     texts = {r["_row"].doc_id: r["_row"].text for r in rows if r["_row"].doc_id in (1, 3, 4, 8)}
     assert texts[3] is None and texts[4] == "" and texts[8] == "one" and "Third" in texts[1]
     assert L.drop_repeated_runs(empty(spark)).count() == 0
+
+
+def cleaned(spark, *texts):
+    rows = L.drop_repeated_runs(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).select("_row.doc_id", "_row.text").collect()
+    return [r.text for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_blank_lines_are_no_run(spark):
+    first, paragraphs = "alpha one\n\n\nbeta two", "Intro\n\ngamma three\n\n\ndelta four"
+    code = "x1\n}\n\ny1\n}\n\nz1"
+    assert cleaned(spark, first, paragraphs, code) == [first, paragraphs, code]
+    # blank lines within a repeated run go with it, those around it stay
+    assert cleaned(spark, "a\n\nb\nc", "x\n\na\n\nb\nc\n\ny", "a\nb") == ["a\n\nb\nc", "x\n\n\ny", "a\nb"]

@@ -1,0 +1,20 @@
+import pytest
+
+from paperloom.llm import pii
+
+HOSTILE = ["a@b" + ".cc" * 40_000, "a." * 50_000, "password: " + "x&" * 50_000]
+
+
+@pytest.mark.parametrize("text", HOSTILE, ids=range(len(HOSTILE)))
+def test_long_hostile_texts_pass(spark, text):
+    rows = pii.pseudonymize(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("_row.text").collect()
+    assert len(rows[0].text) == len(text)
+
+
+def test_what_stayed_in_clear(spark):
+    given = ["Password: correcthorse9", "PASSWORD=abcdefgh1", "password: Tr0ub4dor&3xyzABC", "jürgen.müller@example.de"]
+    rows = pii.pseudonymize(spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")).select("_row.*").collect()
+    texts = [r.text for r in sorted(rows, key=lambda r: r.doc_id)]
+    assert all(a != b and len(a) == len(b) for a, b in zip(given, texts))
+    assert "3xyzABC" not in texts[2] and texts[2].startswith("password: ") and texts[2][19] == "&"
+    assert texts[3].endswith("@example.de") and "rgen" not in texts[3] and "ller" not in texts[3]
