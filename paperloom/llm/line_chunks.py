@@ -5,10 +5,12 @@ line moves only the chunks around it and a passage shared by two texts falls int
 chunks in both.  Chunks of several lines that occur again, compared byte by byte, stay only
 where they occur first.
 
-Chunks leave the edges of a repeated passage and passages that hold no whole chunk.  Whole
-runs of repeated lines are found by their pairs of neighbouring lines that are not blank: a run
-of two such lines or more occurs earlier only if each of its pairs, with the blank lines between, does,
-so no run is missed.  Blank lines alone are no evidence of a copy and never make a run.
+Chunks leave the edges of a repeated passage and passages that hold no whole chunk.  An exact
+completion follows: each pair of neighbouring lines that are not blank is looked up as well, where
+no removed chunk holds it already.  A run of two such lines or more occurs earlier only if each of its
+pairs, with the blank lines between, does, so no run is missed.  The first occurrence of a pair
+never lies in a removed chunk, as the chunk's own first occurrence holds the pair earlier; leaving those
+pairs out therefore loses nothing.  Blank lines alone are no evidence of a copy and never make a run.
 """
 
 from __future__ import annotations
@@ -55,51 +57,83 @@ def line_pairs(data: bytes) -> list[tuple[int, int, bytes]]:
     return [(a + 1, b - a + 1, b"\n".join(lines[a : b + 1])) for a, b in zip(filled, filled[1:])]
 
 
-def _places(rows: DataFrame, pieces: Callable[[bytes], list[tuple[int, int, bytes]]], min_lines: int) -> DataFrame:
-    """(doc_id, _ka, _kb, first, size, hash, bytes) of pieces of at least ``min_lines`` lines."""
+def filled_chunks(data: bytes, window: int = 2, divisor: int = 3) -> list[tuple[int, int, bytes]]:
+    """The chunks of a text that hold three filled lines or more, without blank lines at their ends.
+
+    One of two filled lines is a pair of ``line_pairs``.
+    """
+    out = []
+    for first, _, body in line_chunks(data, window, divisor):
+        lines = body.split(b"\n")
+        filled = [at for at, line in enumerate(lines) if line.strip()]
+        if len(filled) > 2:
+            a, b = filled[0], filled[-1] + 1
+            out.append((first + a, b - a, b"\n".join(lines[a:b])))
+    return out
+
+
+Pieces = Callable[[bytes], list[tuple[int, int, bytes]]]
+
+
+def _places(rows: DataFrame, chunks: Pieces, pairs: Pieces | None, min_lines: int) -> DataFrame:
+    """(doc_id, _ka, _kb, first, size, hash, bytes, whole) of chunks (whole) and pairs of at least ``min_lines`` lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in slices(batches, "text"):
             found = [
-                (row, first, size, xxhash.xxh64_intdigest(body, 42), len(body))
+                (row, first, size, xxhash.xxh64_intdigest(body, 42), len(body), pieces is chunks)
                 for row, data in enumerate(batch.column(3).to_pylist())
+                for pieces in (chunks, pairs)
+                if pieces is not None
                 for first, size, body in pieces(data)
                 if size >= min_lines
             ]
-            row, first, size, digest, count = (np.array(x, np.uint64) for x in (zip(*found) if found else [[]] * 5))
+            row, first, size, digest, count, whole = (np.array(x, np.uint64) for x in (zip(*found) if found else [[]] * 6))
             kept = [batch.column(i).take(pa.array(row.astype(np.int64))) for i in range(3)]
-            rest = [pa.array(x) for x in (first.astype(np.int32), size.astype(np.int32), digest.view(np.int64), count.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*kept, *rest], names=["doc_id", *KEY, "first", "size", "hash", "bytes"])
+            rest = [pa.array(x) for x in (first.astype(np.int32), size.astype(np.int32), digest.view(np.int64), count.astype(np.int32), whole.astype(bool))]
+            yield pa.RecordBatch.from_arrays([*kept, *rest], names=["doc_id", *KEY, "first", "size", "hash", "bytes", "whole"])
 
-    schema = f"doc_id {field_type(rows, 'doc_id')}, _ka long, _kb long, first int, size int, hash long, bytes int"
+    schema = f"doc_id {field_type(rows, 'doc_id')}, _ka long, _kb long, first int, size int, hash long, bytes int, whole boolean"
     return rows.select("doc_id", *KEY, utf8("text").alias("text")).mapInArrow(run, schema)
 
 
-def _bodies(rows: DataFrame, item: str) -> DataFrame:
-    """One row (_ka, _kb, *item, body) for each chunk listed in ``marks`` of a row's text."""
+def _open_marks(first: np.ndarray, size: np.ndarray, owns: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Which marks of one text to look up: all but later copies of pairs whose lines all lie in later copies of chunks."""
+    ends = first + size
+    covered = np.zeros(int(ends.max()) + 1, np.int64)
+    for a, b in zip(first[whole & ~owns], ends[whole & ~owns]):
+        covered[a:b] = 1
+    held = np.concatenate([[0], np.cumsum(covered)])
+    return owns | whole | (held[ends] - held[first] < size)
+
+
+def _bodies(rows: DataFrame) -> DataFrame:
+    """One row (_ka, _kb, first, size, hash, bytes, owns, whole, body) for each open mark in ``marks`` of a row's text."""
+    names = ["first", "size", "hash", "bytes", "owns", "whole"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             marks = batch.column(3)
             counts = np.diff(marks.offsets.to_numpy())
-            row = np.repeat(np.arange(len(counts)), counts)
             listed = marks.flatten()
-            first, size = (listed.field(i).to_pylist() for i in range(2))
-            bodies, lines, at = [], [], -1
-            texts = batch.column(2)
-            for r, f, n in zip(row.tolist(), first, size):
-                if r != at:
-                    lines, at = texts[r].as_py().split(b"\n"), r
-                bodies.append(b"\n".join(lines[f - 1 : f - 1 + n]))
-            keys = [batch.column(i).take(pa.array(row)) for i in range(2)]
-            yield pa.RecordBatch.from_arrays(
-                [*keys, *[listed.field(i) for i in range(listed.type.num_fields)], pa.array(bodies, pa.binary())],
-                names=[*KEY, *[listed.type.field(i).name for i in range(listed.type.num_fields)], "body"],
-            )
-
-    return rows.select(*KEY, utf8("text").alias("text"), "marks").mapInArrow(run, f"_ka long, _kb long, {item}, body binary")
+            fields = [listed.field(name).to_numpy(zero_copy_only=False) for name in names]
+            kept, bodies, start = [], [], 0
+            for row, count in enumerate(counts.tolist()):
+                first, size, _, _, owns, whole = (x[start : start + count] for x in fields)
+                chosen = np.flatnonzero(_open_marks(first, size, owns, whole))
+                lines = batch.column(2)[row].as_py().split(b"\n")
+                bodies += [b"\n".join(lines[f - 1 : f - 1 + n]) for f, n in zip(first[chosen].tolist(), size[chosen].tolist())]
+                kept.append(chosen + start)
+                start += count
+            at = np.concatenate(kept)
+            keys = [batch.column(i).take(pa.array(np.repeat(np.arange(len(counts)), counts)[at])) for i in range(2)]
+            taken = listed.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*keys, *[taken.field(x) for x in names], pa.array(bodies, pa.binary())], names=[*KEY, *names, "body"])
+
+    schema = "_ka long, _kb long, first int, size int, hash long, bytes int, owns boolean, whole boolean, body binary"
+    return rows.select(*KEY, utf8("text").alias("text"), "marks").mapInArrow(run, schema)
 
 
 def repeated_chunks(
@@ -114,27 +148,27 @@ def repeated_chunks(
 
     "First" is by document id (NULL last), then by content, then by line.
     """
-    return _repeated(docs, lambda data: line_chunks(data, window, divisor), min_lines, doc_id, text)
+    return _repeated(docs, lambda data: line_chunks(data, window, divisor), None, min_lines, doc_id, text)
 
 
-def _repeated(docs: DataFrame, pieces: Callable[[bytes], list[tuple[int, int, bytes]]], min_lines: int, doc_id: str, text: str) -> DataFrame:
+def _repeated(docs: DataFrame, chunks: Pieces, pairs: Pieces | None, min_lines: int, doc_id: str, text: str) -> DataFrame:
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).select("doc_id", "text", *row_key())
     long_enough = keyed.where(F.col("text").contains("\n"))
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *KEY, "first").alias("place")
-    places = _places(long_enough, pieces, min_lines).select(place, "size", "hash", "bytes")
+    places = _places(long_enough, chunks, pairs, min_lines).select(place, "size", "hash", "bytes", "whole")
     places = stage(places, "line-chunks")
-    same = ["hash", "bytes"]
+    same = ["hash", "bytes", "whole"]
     again = places.groupBy(*same).agg(F.min("place").alias("owner"), F.max("place").alias("latest"))
     again = stage(again.where("owner <> latest").select(*same, "owner"), "repeated-chunks")
     suspects = places.join(again, same).select(
         "place._ka", "place._kb", "place.first", "size", *same, (F.col("place") == F.col("owner")).alias("owns")
     )
     per_row = suspects.distinct().groupBy(*KEY).agg(
-        F.collect_list(F.struct("first", "size", *same, "owns")).alias("marks")
+        F.collect_list(F.struct("first", "size", "hash", "bytes", "owns", "whole")).alias("marks")
     )
     # merged at every size: a plan that changes with the size of one side is hard to provision for
     marked = keyed.join(stage(per_row, "suspect-rows").hint("merge"), KEY)
-    bodies = stage(_bodies(marked, "first int, size int, hash long, bytes int, owns boolean"), "suspect-bodies")
+    bodies = stage(_bodies(marked), "suspect-bodies")
     owned = bodies.where("owns").groupBy(*same).agg(F.first("body").alias("owned"))
     others = bodies.where("not owns").join(stage(owned, "owner-bodies"), same)
     return others.where(F.col("body") == F.col("owned")).select(*KEY, "first", "size").distinct()
@@ -160,10 +194,10 @@ def drop_repeated_chunks(
     return _cut(docs, removed, doc_id, text)
 
 
-def _runs(pairs: pa.Array) -> pa.Array:
-    """The runs (first, size) of lines that pairs (first, size), sorted, cover."""
+def _runs(found: pa.Array) -> pa.Array:
+    """The runs (first, size) of lines that spans (first, size), sorted, cover."""
     out = []
-    for spans in pairs.to_pylist():
+    for spans in found.to_pylist():
         runs: list[list[int]] = []
         for span in spans:
             first, end = span["first"], span["first"] + span["size"]
@@ -175,16 +209,21 @@ def _runs(pairs: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("size", pa.int32())])))
 
 
-def drop_repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_repeated_runs(
+    docs: DataFrame, window: int = 2, divisor: int = 3, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """Every row of ``docs`` without the lines of runs of two filled lines or more that occur earlier, beside ``removed``.
 
-    All such runs go, with the blank lines inside, wherever they start and end; of every line that is removed an earlier
-    copy stays.  "Earlier" and all else are as with ``drop_repeated_chunks``; ``removed`` has
-    the longest runs of removed lines.
+    Content-defined chunks that occur earlier go first; pairs of lines complete them at the edges.  All
+    such runs go, with the blank lines inside, wherever they start and end; of every line that is removed an earlier
+    copy stays.  The result does not depend on ``window`` and ``divisor``, only the work does.  Lines are removed after
+    a comparison of bytes; should two different chunks agree in hash and length, the pairs inside the later one stay.
+    "Earlier" and all else are as with ``drop_repeated_chunks``; ``removed`` has the longest runs of removed lines.
     """
-    gone = _repeated(docs, line_pairs, 2, doc_id, text)
+    gone = _repeated(docs, lambda data: filled_chunks(data, window, divisor), line_pairs, 2, doc_id, text)
     runs = F.arrow_udf(_runs, "array<struct<first:int,size:int>>")
-    removed = gone.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("first", "size"))).alias("pairs")).select(*KEY, runs("pairs").alias("removed"))
+    spans = gone.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("first", "size"))).alias("spans"))
+    removed = spans.select(*KEY, runs("spans").alias("removed"))
     return _cut(docs, stage(removed, "removed-runs"), doc_id, text)
 
 

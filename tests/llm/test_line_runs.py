@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from edges import docs, empty
 
 from paperloom.llm import line_chunks as L
@@ -60,3 +61,56 @@ def test_blank_lines_are_no_run(spark):
     assert cleaned(spark, first, paragraphs, code) == [first, paragraphs, code]
     # blank lines within a repeated run go with it, those around it stay
     assert cleaned(spark, "a\n\nb\nc", "x\n\na\n\nb\nc\n\ny", "a\nb") == ["a\n\nb\nc", "x\n\n\ny", "a\nb"]
+
+
+def slow_with_blanks(texts):
+    """As ``slow``, for runs that start and end with filled lines and hold two of them or more."""
+    places = [(i, at) for i, lines in enumerate(texts) for at in range(len(lines)) if lines[at].strip()]
+    gone = set()
+    for n, (i, at) in enumerate(places):
+        for j, start in places[:n]:
+            size = 0
+            while at + size < len(texts[i]) and start + size < len(texts[j]) and texts[i][at + size] == texts[j][start + size]:
+                size += 1
+            while size and not texts[i][at + size - 1].strip():
+                size -= 1
+            if sum(1 for x in texts[i][at : at + size] if x.strip()) > 1:
+                gone |= {(i, at + k) for k in range(size)}
+    return ["\n".join(x for at, x in enumerate(lines) if (i, at) not in gone) for i, lines in enumerate(texts)]
+
+
+def test_blank_lines_braces_and_copies_by_brute_force(spark):
+    rng = random.Random(5)
+    parts = [[rng.choice(["}", "", "", f"w{k} {i}", f"v{i % 3}"]) for i in range(rng.randint(3, 14))] for k in range(6)]
+    texts = []
+    for _ in range(30):
+        lines = []
+        for _ in range(rng.randint(1, 4)):
+            lines += rng.choice(parts) if rng.random() < 0.7 else [f"own {rng.random()}", ""]
+        texts.append(lines)
+    texts += [texts[3], texts[3] + texts[5]]
+    assert cleaned(spark, *["\n".join(x) for x in texts]) == slow_with_blanks(texts)
+
+
+def test_chunks_of_any_size_give_the_same_lines(spark):
+    rng = random.Random(9)
+    shared = [f"line {i}" for i in range(60)]
+    texts = ["\n".join(shared[rng.randint(0, 20) : rng.randint(25, 60)] + [f"own {rng.random()}"]) for _ in range(20)]
+    source = docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    found = [
+        sorted(L.drop_repeated_runs(source, divisor=d).select("_row.doc_id", "_row.text").collect()) for d in (2, 3, 50)
+    ]
+    assert found[0] == found[1] == found[2]
+
+
+def test_copies_are_removed_by_their_chunks():
+    text = "\n".join(f"line {i}" for i in range(200)).encode()
+    chunks, pairs = L.filled_chunks(text), L.line_pairs(text)
+    held = {f + k for f, n, _ in chunks for k in range(n)}
+    first, size = (np.array([p[i] for p in chunks + pairs]) for i in range(2))
+    whole = np.arange(len(first)) < len(chunks)
+    open_marks = L._open_marks(first, size, np.zeros(len(first), bool), whole)
+    assert open_marks[whole].all()
+    assert [p[0] for p, o in zip(pairs, open_marks[~whole]) if o] == [f for f, _, _ in pairs if not {f, f + 1} <= held]
+    assert open_marks[~whole].mean() < 0.5  # chunks remove most of a copy
+    assert L._open_marks(first, size, np.ones(len(first), bool), whole).all()  # owners are always read
