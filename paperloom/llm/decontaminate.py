@@ -299,6 +299,15 @@ def _covered(starts: Column, size: Column) -> Column:
     return F.aggregate(starts, zero, step, lambda acc: acc["n"])
 
 
+#: words as they are cut from lower-cased texts, with the capitals that are lowered
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def longer_items(items: DataFrame, least: int, text: str = "text") -> DataFrame:
+    """The items of at least ``least`` words.  NULL has none."""
+    return items.where(F.regexp_count(text, F.lit(WORD)) >= least)
+
+
 def contamination(
     docs: DataFrame,
     items: DataFrame,
