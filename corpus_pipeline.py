@@ -9,12 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, line_chunks, near_text, packing, toxicity
+from paperloom.llm import decontaminate, line_chunks, packing, simhash, toxicity
 from paperloom.llm.common import boxed, row_key, stage, table, unboxed
 
 KEY = ["_ka", "_kb"]
 LEAST_ITEM_WORDS = 5
-WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # as decontaminate cuts them
 
 
 def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
@@ -43,14 +42,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose 5-word shingles are similar by 0.8 or more: the one with the least id, once."""
+    """One document of each group of ``simhash.near_duplicates`` (3-word shingles, at most 3 differing bits): the one with the least id, once.
+
+    Of rows that agree in id and text the least by lang, source and further columns stays.
+    """
     ka, kb = row_key()
-    keyed = docs.select("doc_id", "text", ka, kb)
-    found = near_text.near_duplicates(keyed.select(F.struct("doc_id", *KEY).alias("doc_id"), "text"), size=5, least=0.8)
-    named = found.select("doc_id.*", F.col("component_id").alias("kept"))
+    keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ka, kb).alias("doc_id"), "text")
+    found = simhash.near_duplicates(keyed, shingle=3, radius=3)
+    others = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id.*")
     # copies of a row meet in their task first, then in one exchange that the join below goes on with
-    once = _keyed(docs).groupBy(*KEY).agg(F.first("_row").alias("_row"))
-    return _without(once, named.where(~F.struct("doc_id", *KEY).eqNullSafe(F.col("kept"))))
+    once = _keyed(docs).groupBy(*KEY).agg(F.min("_row").alias("_row"))
+    return _without(once, others)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +62,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ka, kb = row_key()
     keyed = docs.select(F.struct(ka, kb).alias("doc_id"), "text")
-    items = table(spark, sf_dir, "benchmark").where(F.regexp_count("text", F.lit(WORDS)) >= LEAST_ITEM_WORDS)
+    items = decontaminate.longer_items(table(spark, sf_dir, "benchmark"), LEAST_ITEM_WORDS)
     found = decontaminate.contamination(keyed, items, size=10)
     return _without(_keyed(docs), found.where("n_hit > 0").select("doc_id.*"))
 
