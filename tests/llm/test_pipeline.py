@@ -1,9 +1,9 @@
 from edges import docs, empty
 
 import corpus_pipeline as P
-from paperloom.llm import decontaminate, packing, toxicity
+from paperloom.llm import decontaminate, packing, simhash, toxicity
 from paperloom.llm.common import stage
-from test_near_text import slow
+from test_simhash import groups_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,8 +27,13 @@ def test_stages_on_the_documents(spark):
     before, after = made["line_dedup"]
     assert before.count() == after.count() and after.where("n_chars <> length(text)").count() == 0
     before, after = made["near_dedup"]
-    # one document of each group of texts that pairs of 5-word Jaccard 0.8 or more connect, by brute force
-    assert sorted(r.doc_id for r in after.collect()) == sorted(slow([(r.doc_id, r.text) for r in before.collect()]))
+    # one document of each group that pairs of fingerprints of at most 3 differing bits connect, by brute force
+    prints = {r.doc_id: simhash.fingerprint((r.text or "").encode(), 3) for r in before.collect()}
+    group = groups_of(set(prints.values()), 3)
+    least = {}
+    for i in sorted(prints):
+        least.setdefault(group[prints[i]], i)
+    assert sorted(r.doc_id for r in after.collect()) == sorted(least.values())
     before, after = made["decontamination"]
     clean = decontaminate.contamination(before, spark.read.parquet(f"{SF}/benchmark.parquet")).where("n_hit = 0")
     assert sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in after.collect())
@@ -52,6 +57,13 @@ def test_edge_rows(spark):
     assert P.pack(spark, source, SF).where("start = 0").count() == len(rows)
 
 
+def test_equal_rows_leave_the_least_of_their_other_columns(spark):
+    rows = [(5, "same text here", "fr", "b"), (5, "same text here", "en", "c"), (5, "same text here", "en", "a"), (None, "same text here", "aa", "a")]
+    for given in (rows, rows[::-1]):
+        kept = P.drop_near_duplicates(spark, docs(spark, given), SF).collect()
+        assert [(r.doc_id, r.lang, r.source) for r in kept] == [(5, "en", "a")]
+
+
 def test_empty_table(spark):
     for _, apply in P.STAGES:
         assert apply(spark, empty(spark), SF).count() == 0
