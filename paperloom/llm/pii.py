@@ -23,8 +23,12 @@ ROUNDS = 8
 WALK = 64  # steps; fewer than one date in 10**25 needs more
 
 # fixed values: what each kind looks like
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-SECRET = r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])|(?:password|passwd|secret|token)\s?[=:]\s?[0-9A-Za-z]{8,}"
+# the bounds are those of a valid address, so that a hostile text costs neither stack nor time; local parts may hold Latin letters beyond ASCII
+EMAIL = r"[0-9A-Za-z\u00C0-\u024F][0-9A-Za-z\u00C0-\u024F._%+-]{0,63}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,126}\.[A-Za-z]{2,63}"
+SECRET = (
+    r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])|gh[opsu]_[0-9A-Za-z]{20,64}(?![0-9A-Za-z])"
+    r"|sk[-_](?:live|test)[-_][0-9A-Za-z]{16,64}(?![0-9A-Za-z])|(?i:password|passwd|secret|token)\s?[=:]\s?[0-9A-Za-z]{8,}"
+)
 IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
 # the digits of a date or of a phone number that follow a card are not the card's
 CARD = r"\d(?:[ -]?\d){12,18}(?![0-9A-Za-z]|/\d|[-.]\d{2}[-.]\d|[ .-]\d{3}[ .-]\d{4}(?!\d))"
@@ -37,7 +41,7 @@ DATE = r"\d{4}([-/.])\d{2}\1\d{2}(?![0-9A-Za-z])|\d{2}([-/.])\d{2}\2\d{4}(?![0-9
 KINDS = ("email", "secret", "iban", "phone", "abroad", "ssn", "ipv4", "date", "card")
 _PATTERNS = (EMAIL, SECRET, IBAN, PHONE, ABROAD, SSN, IPV4, DATE.replace(r"\1", "[-/.]").replace(r"\2", "[-/.]"), CARD)
 #: no kind starts within a word; these do not start after such characters either
-_NOT_AFTER = {"phone": r"(?<!\+)(?<!\d[.-])", "abroad": r"(?<!\+)", "ssn": r"(?<!\d-)", "ipv4": r"(?<!\d\.)"}
+_NOT_AFTER = {"email": r"(?<![\u00C0-\u024F])", "phone": r"(?<!\+)(?<!\d[.-])", "abroad": r"(?<!\+)", "ssn": r"(?<!\d-)", "ipv4": r"(?<!\d\.)"}
 _STARTED = [f"{_NOT_AFTER.get(kind, '')}(?:{pattern})" for kind, pattern in zip(KINDS, _PATTERNS)]
 ANY = r"(?<![0-9A-Za-z])(?:" + "|".join(_STARTED) + ")"
 #: what is looked for again beside or instead of a bank account number
@@ -238,7 +242,7 @@ def _email(value: Column, key: str) -> Column:
 
 
 def _secret(value: Column, key: str) -> Column:
-    head = F.regexp_extract(value, r"^(AKIA|[a-z]+\s?[=:]\s?)", 1)
+    head = F.regexp_extract(value, r"^(AKIA|gh[opsu]_|sk[-_](?:live|test)[-_]|[A-Za-z]+\s?[=:]\s?)", 1)
     rest = F.substr(value, F.length(head) + 1, F.length(value))
     return F.concat(head, F.when(rest.rlike("^[0-9a-f]+$"), permuted_text(rest, key, True)).otherwise(permuted_text(rest, key)))
 

@@ -77,3 +77,33 @@ def test_edge_rows_and_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan
     text = "mail a1@x.org " * 20_000
     assert len(run(spark, [text])[0][1]) == 20_000
+
+
+def test_addresses_with_latin_letters_are_replaced_whole(spark):
+    (text, found), (cjk, _) = run(spark, ["an jürgen.müller@example.de, ja", "请联系jane@mail.com"])
+    assert [(f.kind, f.old) for f in found] == [("email", "jürgen.müller@example.de")]
+    assert re.fullmatch(r"an [a-z]ü[a-z]{4}\.[a-z]ü[a-z]{4}@example\.de, ja", text) and text != "an jürgen.müller@example.de, ja"
+    assert re.fullmatch(r"请联系[a-z]{4}@mail\.com", cjk) and "jane" not in cjk
+
+
+def test_secrets_in_any_case_and_marked_tokens(spark):
+    values = ["Password: correcthorse9", "PASSWORD=abcdefgh1", "ghp_" + "a1B2c3D4e5" * 3 + "abcdef", "sk-live-" + "9f8E7d6C" * 3]
+    for value, (text, found) in zip(values, run(spark, values)):
+        head = re.match(r"\w+[=:] ?|ghp_|sk-live-", value).group()
+        assert [f.kind for f in found] == ["secret"] and text.startswith(head) and len(text) == len(value) and text != value
+
+
+HOSTILE = ["a.", "a@b.cc.", "a@b" + ".cc" * 500 + " ", "1", "1 ", "1-", "1.", "AB12 ", "+44 ", "(212) ", "token=", "a@", "0f", "ghp_a", "é"]
+
+
+def test_patterns_take_time_in_proportion_on_hostile_texts(spark):
+    texts = spark.createDataFrame([((u * 100_000)[:100_000],) for u in HOSTILE] + [("a@b" + ".cc" * 30_000,)], "t string")
+    pieces = texts.select("t", F.split("t", pii.ANY, -1).alias("between"), F.regexp_extract_all("t", F.lit(pii.ANY), F.lit(0)).alias("found"))
+    assert pieces.where(F.size("between") == F.size("found") + 1).count() == len(HOSTILE) + 1
+
+
+def test_hostile_texts_keep_their_length(spark):
+    texts = [(u * 10_000)[:10_000] for u in HOSTILE[:4]] + ["a@b" + ".cc" * 30_000]
+    out = run(spark, texts)
+    assert [len(text) for text, _ in out] == [len(text) for text in texts]
+    assert [bool(found) for _, found in out] == [False, True, True, False, True]
