@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom.plans.orderstats import quantiles
 
@@ -25,6 +26,21 @@ def _skew(name: str) -> Column:
     return F.when(n > 2, F.skewness(name) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
+def _last_value(name: str, order: str, order_type: T.DataType) -> Column:
+    """``idxmax`` of a column that has no negative (text, dates): the least order among its largest values."""
+    if name == order:
+        return F.max(name)
+    if isinstance(order_type, T.DateType):
+        back = -F.unix_date(order)
+    elif isinstance(order_type, T.TimestampType):
+        back = -F.unix_micros(order)
+    elif isinstance(order_type, T.NumericType):
+        back = -F.col(order)
+    else:
+        raise ValueError("idxmax of text or dates needs an order_by of numbers, dates or timestamps")
+    return F.max_by(order, F.when(F.col(name).isNotNull(), F.struct(F.col(name).alias("x"), back.alias("back"))))
+
+
 # name -> builder(column, order column); callers may add their own
 AGGREGATES: dict[str, AggBuilder] = {
     "sum": lambda c, o: F.coalesce(F.sum(c), F.lit(0)),
@@ -64,7 +80,8 @@ def aggregate(
 
     Output columns keep the input name when every column has one function, else
     they are ``column_function``.  ``first``, ``last``, ``idxmin`` and ``idxmax``
-    follow ``order_by``, as a table has no row order of its own.  ``median`` is
+    follow ``order_by``, as a table has no row order of its own; of equal extremes
+    the one with the least ``order_by`` counts.  ``median`` is
     exact and computed without holding a large group in one task.
     """
     registry = {**AGGREGATES, **(functions or {})}
@@ -86,7 +103,13 @@ def aggregate(
     rows = df.dropna(subset=keys)
     # work under private names so that an output may reuse an input column's name
     plain = [(c, fn, out) for c, fn, out in outputs if fn != "median"]
-    aggregates = [registry[fn](c, order_by).alias(f"_out_{out}") for c, fn, out in plain]
+
+    def built(column: str, fn: str) -> Column:
+        if registry[fn] is AGGREGATES["idxmax"] and not isinstance(df.schema[column].dataType, T.NumericType):
+            return _last_value(column, order_by, df.schema[order_by].dataType)
+        return registry[fn](column, order_by)
+
+    aggregates = [built(c, fn).alias(f"_out_{out}") for c, fn, out in plain]
     result = rows.groupBy(*keys).agg(*(aggregates or [F.count("*").alias("_rows")]))
     medians = [(c, out) for c, fn, out in outputs if fn == "median"]
     if medians:

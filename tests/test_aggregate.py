@@ -1,3 +1,5 @@
+import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -140,6 +142,18 @@ def test_impute(spark):
     assert [r.n for r in rows] == [1.0, 2.0, 4.0, 1.0, 2.0] and [r.d for r in rows] == [1.0, 3.0, 4.0, 3.0, 4.0]
 
 
+def test_extremes_of_text_dates_and_truths(spark):
+    day = lambda d: datetime.date(2024, 1, d)
+    rows = [("a", "x", day(3), True, 4), ("a", "z", day(9), None, 3), ("a", "z", day(9), True, 1), ("b", None, None, None, 7), ("b", "é", day(2), False, 8)]
+    df = spark.createDataFrame(rows, "g string, s string, d date, t boolean, ord int").withColumn("at", F.date_add(F.lit("2020-01-01"), F.col("ord")))
+    out = aggregate(df, ["g"], {c: ["idxmin", "idxmax"] for c in ("s", "d", "t")}, order_by="ord").collect()
+    assert [tuple(r) for r in out] == [("a", 4, 1, 4, 1, 1, 1), ("b", 8, 8, 8, 8, 8, 8)]
+    by_day = aggregate(df, ["g"], {"s": "idxmax", "at": "idxmax"}, order_by="at").collect()
+    assert [(r.s, r["at"]) for r in by_day] == [(datetime.date(2020, 1, 2), datetime.date(2020, 1, 5)), (datetime.date(2020, 1, 9), datetime.date(2020, 1, 9))]
+    with pytest.raises(ValueError):
+        aggregate(df, ["g"], {"d": "idxmax"}, order_by="s")
+
+
 def test_cardinality_guard(spark):
     df = spark.range(30).select(F.col("id").alias("many"), (F.col("id") % 3).alias("few"), F.lit("s").alias("text"))
     cardinality_guard(df, "many", "regression")
