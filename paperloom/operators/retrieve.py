@@ -20,7 +20,16 @@ EMPTY_COLLECTION = "The document collection is empty. Please run the ingestion s
 NO_HITS = "I could not find any relevant information in the documents to answer your question."
 # -----------------------------------------------------------------------------------
 
-Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]
+MEETING_CELLS = 1 << 20  # scores that a task holds at once
+GROUP = 16  # columns whose maximum stands for them when the k-th best score is bounded
+MANY_TIES = 8  # beyond this many times ``k`` candidates a query is settled by itself
+
+#: (queries, vectors) -> scores of all pairs; how far they may be from the exact ones, per query; exact scores of single pairs
+Scorer = tuple[
+    Callable[[np.ndarray, np.ndarray], np.ndarray],
+    Callable[[np.ndarray, np.ndarray], np.ndarray],
+    Callable[[np.ndarray, np.ndarray], np.ndarray] | None,
+]
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -31,12 +40,81 @@ def _dot(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return queries @ vectors.T
 
 
+def _near(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """One minus the expanded square; its cancellation is bounded by ``_near_error``."""
+    squares = np.einsum("ij,ij->i", queries, queries)[:, None] + np.einsum("ij,ij->i", vectors, vectors)
+    return 1.0 - (squares - 2.0 * (queries @ vectors.T))
+
+
+def _near_error(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    reach = np.sqrt(np.einsum("ij,ij->i", queries, queries)) + np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max())
+    return (4 * queries.shape[1] + 32) * np.finfo(float).eps * (1.0 + reach**2)
+
+
 def _one_minus_l2(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    out = np.empty((len(queries), len(vectors)))
-    for i, query in enumerate(queries):  # differences, not the expanded square: no cancellation
-        delta = vectors - query
-        out[i] = 1.0 - np.einsum("ij,ij->i", delta, delta)
-    return out
+    delta = vectors - queries  # differences, not the expanded square: no cancellation
+    return 1.0 - np.einsum("ij,ij->i", delta, delta)
+
+
+_BY_DOT: Scorer = _dot, lambda queries, vectors: np.zeros(len(queries)), None
+_BY_L2: Scorer = _near, _near_error, _one_minus_l2
+
+
+def _kth_at_least(scores: np.ndarray, k: int) -> np.ndarray:
+    """Per row a value that at least ``k`` scores reach: the k-th largest maximum over groups of columns."""
+    width = scores.shape[1] // GROUP
+    if width > GROUP * k:
+        maxima = scores[:, : width * GROUP].reshape(len(scores), GROUP, width).max(axis=1)
+        scores = np.concatenate([maxima, scores[:, width * GROUP :]], axis=1)
+    return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+
+
+def _first_k(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest scores, of equal ones the first places; NaN is never one."""
+    known = np.flatnonzero(~np.isnan(scores))
+    scores = scores[known]
+    if len(known) <= k:
+        return known
+    floor = np.partition(scores, len(scores) - k)[len(scores) - k]
+    above, tied = np.flatnonzero(scores > floor), np.flatnonzero(scores == floor)
+    return known[np.concatenate([above, tied[: k - len(above)]])]
+
+
+def best_pairs(queries: np.ndarray, vectors: np.ndarray, scorer: Scorer, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of the ``k`` best vectors per query, as places, and a few more; a tie goes to the earlier vector.
+
+    All pairs are scored in slices of ``MEETING_CELLS``; what the quick scores leave open is scored exactly.  Scores
+    are rounded, so that equal vectors tie whatever their place in a block.
+    """
+    score_all, error, exact = scorer
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    step = max(1, MEETING_CELLS // max(1, len(vectors)))
+    finite = bool(np.isfinite(vectors).all())
+    for at in range(0, len(queries), step):
+        part = queries[at : at + step]
+        with np.errstate(invalid="ignore", over="ignore"):
+            scores = score_all(part, vectors)
+        if len(vectors) <= k:
+            q, v = np.indices(scores.shape).reshape(2, -1)
+            alone = np.zeros(0, int)
+        else:
+            with np.errstate(invalid="ignore", over="ignore"):
+                floor = _kth_at_least(scores, k)
+                slack = 2 * error(part, vectors) + 2e-12 + 4 * np.finfo(float).eps * np.abs(floor)
+                q, v = np.nonzero(scores >= (floor - slack)[:, None])
+            # many ties, or no bound on the error: the whole row is scored exactly
+            many = (np.bincount(q, minlength=len(part)) > MANY_TIES * k) | ~np.isfinite(floor + slack)
+            if not finite:
+                many[:] = True
+            q, v, alone = q[~many[q]], v[~many[q]], np.flatnonzero(many)
+        with np.errstate(invalid="ignore", over="ignore"):
+            value = scores[q, v] if exact is None else exact(part[q], vectors[v])
+            found.append((q + at, v, np.round(value, 12)))
+            for row in alone:
+                whole = np.round(scores[row] if exact is None else exact(part[row], vectors), 12)
+                chosen = _first_k(whole, k)
+                found.append((np.full(len(chosen), row + at), chosen, whole[chosen]))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def _top_k(
@@ -61,16 +139,10 @@ def _top_k(
         return ordered.groupby("_qid", sort=False).head(k)
 
     def best_of_block(block: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
-        # rounded, so that equal vectors tie whatever their place in a block
-        scores = np.round(scorer(_matrix(probes["_q"]), _matrix(block["_v"])), 12)
+        block = block.sort_values("_vid")  # a tie goes to the smaller id
+        q, v, scores = best_pairs(_matrix(probes["_q"]), _matrix(block["_v"]), scorer, k)
         ids, qids = block["_vid"].to_numpy(), probes["_qid"].to_numpy()
-        if len(ids) > k:
-            # the k-th best score and everything tied with it: ties are broken by id at the end
-            floor = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
-            q, v = np.nonzero(scores >= floor[:, None])
-        else:
-            q, v = np.indices(scores.shape).reshape(2, -1)
-        return best_of(pd.DataFrame({"_qid": qids[q], "_vid": ids[v], "relevance": scores[q, v]}))
+        return best_of(pd.DataFrame({"_qid": qids[q], "_vid": ids[v], "relevance": scores}))
 
     schema = f"_qid {query_type}, _vid {types[vector_id]}, relevance double"
     partial = meet_in_blocks(lhs, rhs, "_vid", "_qid", best_of_block, schema, max_broadcast_rows, rows_per_block, best_of)
@@ -94,10 +166,10 @@ def topk_dot(
 ) -> DataFrame:
     """The ``k`` vectors with the largest dot product per query: query_id, vector id, relevance, rank.
 
-    Each task scores blocks of vectors against the queries with one matrix product
-    and keeps ``k`` rows per query, so the shuffle carries partial top lists only.
+    Each task scores blocks of vectors against the queries with matrix products of
+    bounded size and keeps ``k`` rows per query, so the shuffle carries partial top lists only.
     """
-    return _top_k(queries, vectors, _dot, k, query_id, vector_id, embedding, max_broadcast_rows, rows_per_block)
+    return _top_k(queries, vectors, _BY_DOT, k, query_id, vector_id, embedding, max_broadcast_rows, rows_per_block)
 
 
 def topk_l2(
@@ -112,7 +184,7 @@ def topk_l2(
 ) -> DataFrame:
     """The ``k`` nearest vectors by squared Euclidean distance; relevance is one minus it."""
     return _top_k(
-        queries, vectors, _one_minus_l2, k, query_id, vector_id, embedding, max_broadcast_rows, rows_per_block
+        queries, vectors, _BY_L2, k, query_id, vector_id, embedding, max_broadcast_rows, rows_per_block
     )
 
 
@@ -123,8 +195,10 @@ def expand_neighbors(nodes: DataFrame, edges: DataFrame, node: str = "node", gro
     both = edges.select(F.col("src").alias(node), F.col("dst").alias("_other")).unionByName(
         edges.select(F.col("dst").alias(node), F.col("src").alias("_other"))
     )
-    reached = top.join(both, node).select(*group, F.col("_other").alias(node))
-    return top.unionByName(reached).distinct()
+    # one pass over the nodes, which may come from a costly search
+    met = top.join(both.withColumn("_met", F.lit(True)), node, "left")
+    reached = F.when(F.col("_met"), F.array(node, "_other")).otherwise(F.array(node))
+    return met.select(*group, F.explode(reached).alias(node)).distinct()
 
 
 def graph_retrieve(
