@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import html as html_entities
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from paperloom.functions.text import NO_TITLE
 from paperloom.plans.project import with_column_once
@@ -26,6 +29,8 @@ TEXT_HEAD = "URL: %s\nTitle: %s\n"
 TREE_HEAD = "URL: %s\nDomain: %s\nTitle: %s\n"
 # -----------------------------------------------------------------------------------
 
+PIECE_BYTES = 1 << 18  # of pages that a task walks at a time
+
 # HTML elements that never have content (HTML Living Standard, with the obsolete ones)
 VOID_TAGS = frozenset(
     "area base basefont bgsound br col command embed frame hr image img input isindex keygen link "
@@ -215,10 +220,31 @@ def _walk_batch(htmls: pa.Array) -> pa.Array:
     return pa.array(pages, _PAGE_TYPE)
 
 
+def _in_pieces(batch: pa.RecordBatch, html: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``PIECE_BYTES`` of pages, or one page: the texts of nested elements take a multiple of it."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(html)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(batch):
+        before = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + PIECE_BYTES, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def parse_pages(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("page_id", "url")) -> DataFrame:
     """keep, title, elements; the operators below are projections of it, with no shuffle."""
-    walk = F.arrow_udf(_walk_batch, f"struct<title:string,elements:array<{_ELEMENT}>>")
-    parsed = pages.select(*keep, walk(html).alias("_page"))
+    keep = list(keep)
+    given = pages.select(F.col(html).cast("string").alias("_html"), *keep)
+    page = StructType.fromDDL(f"_page struct<title:string,elements:array<{_ELEMENT}>>")
+    schema = StructType([*page.fields, *given.schema.fields[1:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in _in_pieces(batch, 0):
+                walked = _walk_batch(piece.column(0))
+                yield pa.RecordBatch.from_arrays([walked, *piece.columns[1:]], names=["_page", *piece.schema.names[1:]])
+
+    parsed = given.mapInArrow(run, schema)
     return parsed.select(*keep, F.coalesce("_page.title", F.lit(NO_TITLE)).alias("title"), "_page.elements")
 
 
