@@ -223,6 +223,41 @@ def summed(parts: RDD) -> np.ndarray:
     return parts.treeReduce(lambda a, b: a + b, depth=3)
 
 
+# places: rows of equal bins --------------------------------------------------------------
+@dataclass
+class Places:
+    """The different rows of bins.  Trees cannot tell rows of a place apart, so sums by place stand for its rows."""
+
+    keys: np.ndarray
+    bins: np.ndarray
+
+    @staticmethod
+    def radix(bins: Bins) -> np.ndarray:
+        return np.cumprod([1, *np.diff(bins.offsets)[:-1]], dtype=np.int64)
+
+    @staticmethod
+    def found(chunks: RDD, bins: Bins, most: int) -> Places | None:
+        """The places of a table; none beyond ``most``."""
+        sizes = np.diff(bins.offsets)
+        if not len(sizes) or not most or math.prod(sizes.tolist()) >= 1 << 62:
+            return None
+        radix = Places.radix(bins)
+
+        def both(a: np.ndarray | None, b: np.ndarray | None) -> np.ndarray | None:
+            if a is None or b is None:
+                return None
+            union = np.union1d(a, b)
+            return union if len(union) <= most else None
+
+        keys = chunks.map(lambda c: np.unique(c.bins.astype(np.int64) @ radix)).treeReduce(both, depth=3)
+        if keys is None or len(keys) > most:
+            return None
+        return Places(keys, (keys[:, None] // radix % sizes).astype(np.uint8))
+
+    def of(self, bins: Bins, data: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.keys, data.astype(np.int64) @ Places.radix(bins))
+
+
 Weights = Callable[[Chunk], list[np.ndarray]]
 
 
@@ -340,6 +375,78 @@ class Together:
         return np.stack([(value * out).sum(1), out.sum(1)], 1)
 
 
+class Placed(Together):
+    """Boosting over places: ``rows`` and, for numbers, ``total`` and ``inner`` hold sums by fold and place.
+
+    Classes: ``rows`` is (folds + 1) x classes x places.  Numbers: rows, sums of labels less ``center`` as multiples of the
+    quantum, and squares about their mean, each (folds + 1) x 1 x places.  The last fold is of rows that no fit leaves out.
+    """
+
+    def __init__(self, places: Places, stats: list[np.ndarray], center: float, fits: Sequence[Boost], classes: int, base: np.ndarray, quantum: float):
+        self.stats, self.center = stats, center
+        self.left_out = [f.fold for f in fits]
+        self.kept = [s.sum(axis=0) - np.stack([s[f] if f >= 0 else np.zeros_like(s[0]) for f in self.left_out]) for s in stats]
+        none = np.zeros(len(places.keys))
+        super().__init__(Chunk(places.bins, none, none, none), fits, classes, base, quantum)
+
+    def turn(self) -> None:
+        scores, rows = self.chunk.scores, self.kept[0]
+        if self.classes:
+            g = h = 0.0
+            for k in range(self.classes):
+                one, weight = _gradients(scores, np.full(scores.shape[-1], float(k)), self.classes, self.quantum)
+                g, h = g + rows[:, k : k + 1] * one, h + rows[:, k : k + 1] * weight
+        else:
+            g = self.kept[1] - rows * (np.rint((scores - self.center) / self.quantum) * self.quantum)
+            h = rows * np.maximum(np.rint(1.0 / self.quantum), 1) * self.quantum
+        shape = (-1, scores.shape[-1])
+        self.weights = [g.reshape(shape), h.reshape(shape)]
+        self.node = None
+
+    def quality(self) -> np.ndarray:
+        guess, out = boosted_scores(self.chunk.scores, self.classes), []
+        for i, fold in enumerate(self.left_out):
+            if fold < 0:
+                out.append((0.0, 0.0))
+                continue
+            rows = self.stats[0][fold]
+            if self.classes:
+                value = rows[guess[i].astype(int), np.arange(rows.shape[1])].sum()
+            else:
+                mean = np.divide(self.stats[1][fold][0], rows[0], out=np.zeros(rows.shape[1]), where=rows[0] > 0)
+                value = (self.stats[2][fold][0] + rows[0] * (guess[i] - self.center - mean) ** 2).sum()
+            out.append((value, rows.sum()))
+        return np.array(out)
+
+
+def place_sums(chunks: RDD, bins: Bins, places: Places, folds: int, classes: int, center: float, quantum: float) -> list[np.ndarray]:
+    """What ``Placed`` needs, added up in one pass, and one more for numbers."""
+    size = len(places.keys)
+
+    def by_place(values: Callable[[Chunk, np.ndarray], list[tuple[np.ndarray, np.ndarray | None]]], width: int, parts: int) -> np.ndarray:
+        def run(held: Iterator[Chunk]) -> Iterator[np.ndarray]:
+            total = np.zeros((parts, (folds + 1) * width * size))
+            for c in held:
+                fold = np.where((c.fold >= 0) & (c.fold < folds), c.fold, folds).astype(np.int64)
+                place = places.of(bins, c.bins)
+                for part, (kind, w) in enumerate(values(c, fold * size + place)):
+                    total[part] += np.bincount((fold * width + kind) * size + place, w, total.shape[1])
+            yield total
+
+        return summed(chunks.mapPartitions(run)).reshape(parts, folds + 1, width, size)
+
+    if classes:
+        return list(by_place(lambda c, at: [(c.label.astype(np.int64), None)], classes, 1))
+
+    def label(c: Chunk) -> np.ndarray:
+        return np.rint((c.label - center) / quantum) * quantum
+
+    rows, total = by_place(lambda c, at: [(0, None), (0, label(c))], 1, 2)
+    mean = np.divide(total, rows, out=np.zeros_like(total), where=rows > 0).ravel()
+    (inner,) = by_place(lambda c, at: [(0, (c.label - center - mean[at]) ** 2)], 1, 1)
+    return [rows, total, inner]
+
+
 class Passes:
     """The same over all chunks of an RDD: a pass adds up a level, and the scores are a new state in every round.
 
@@ -424,7 +531,8 @@ def boost(
     def split(made: list[Trees], i: int) -> list[Trees]:
         return [_joined(t, i * outputs + o, {}) for t in made for o in range(outputs)]
 
-    if rows > local_rows:
+    places = Places.found(chunks, bins, local_rows) if rows > local_rows else None
+    if rows > local_rows and places is None:
         made, scored = boost_rounds(Passes(chunks, fits, classes, base, quantum), bins, fits, rounds, outputs, marks)
         return [split(made, i) for i in range(len(fits))], scored
 
@@ -432,17 +540,31 @@ def boost(
     by_depth = sorted(range(len(fits)), key=lambda i: -fits[i].depth)
     shares = [by_depth[g::groups] for g in range(groups)]
 
+    def finished(share: int, side: Together) -> Iterator[tuple[int, list[Trees], dict[int, np.ndarray]]]:
+        made, scored = boost_rounds(side, bins, [fits[i] for i in shares[share]], rounds, outputs, marks)
+        for at, i in enumerate(shares[share]):
+            yield i, split(made, at), {m: s[at] for m, s in scored.items()}
+
     def run(item: tuple[int, Iterator[Chunk]]) -> Iterator[tuple[int, list[Trees], dict[int, np.ndarray]]]:
         share, parts = item
         parts = list(parts)
         chunk = Chunk(*[np.concatenate([getattr(c, k) for c in parts]) for k in ("bins", "label", "fold", "row")])
-        own = [fits[i] for i in shares[share]]
-        made, scored = boost_rounds(Together(chunk, own, classes, base[shares[share]], quantum), bins, own, rounds, outputs, marks)
-        for at, i in enumerate(shares[share]):
-            yield i, split(made, at), {m: s[at] for m, s in scored.items()}
+        return finished(share, Together(chunk, [fits[i] for i in shares[share]], classes, base[shares[share]], quantum))
+
+    if places is not None:
+        center = 0.0 if classes else float(np.mean(base))
+        stats = place_sums(chunks, bins, places, max(f.fold for f in fits) + 1, classes, center, quantum)
+        held = chunks.context.broadcast((places.keys, places.bins, stats))  # at most ``local_rows`` places
 
-    dealt = chunks.flatMap(lambda c: [(g, c) for g in range(groups)]).groupByKey(groups, partitionFunc=lambda g: g)
-    found = sorted(dealt.flatMap(run).collect(), key=lambda r: r[0])  # fitted models
+        def run_placed(share: int) -> Iterator[tuple[int, list[Trees], dict[int, np.ndarray]]]:
+            at, (keys, data, sums) = shares[share], held.value
+            return finished(share, Placed(Places(keys, data), sums, center, [fits[i] for i in at], classes, base[at], quantum))
+
+        tasks = chunks.context.parallelize(range(groups), groups).flatMap(run_placed)
+    else:
+        dealt = chunks.flatMap(lambda c: [(g, c) for g in range(groups)]).groupByKey(groups, partitionFunc=lambda g: g)
+        tasks = dealt.flatMap(run)
+    found = sorted(tasks.collect(), key=lambda r: r[0])  # fitted models
     return [t for _, t, _ in found], {m: np.stack([s[m] for _, _, s in found]) for m in marks}
 
 
@@ -492,13 +614,19 @@ def forest(
     rule = Rule(0.0, 1.0, 1e-12 * (1.0 if classes else max(largest, 1e-150) ** 2), features)
 
     def weights(c: Chunk, chosen: slice | np.ndarray = slice(None)) -> list[np.ndarray]:
-        times = np.where(c.fold != fold[chosen][:, None], draws(c.row, number[chosen]), 0)
+        return weights_of(c, np.where(c.fold != fold[chosen][:, None], draws(c.row, number[chosen]), 0))
+
+    def weights_of(c: Chunk, times: np.ndarray) -> list[np.ndarray]:
         if classes:
             return [*[times * (c.label == k) for k in range(classes)], times]
         return [times * (np.rint((c.label - center) / quantum) * quantum), times]
 
     trees = Trees.stumps(len(keys), channels, mixed(number.astype(np.uint64) + np.uint64(7)))
 
+    places = Places.found(chunks, bins, local_rows) if rows > local_rows else None
+    if places is not None:
+        return _forest_of_places(chunks, bins, places, folds, n_trees, depth, weights_of, channels, rule)
+
     def totals(held: Iterator[Chunk]) -> Iterator[np.ndarray]:
         yield sum((np.stack([w.sum(1) for w in weights(c)], 1) for c in held), np.zeros((len(keys), channels + 1)))
 
@@ -525,6 +653,41 @@ def forest(
     return {key: _joined(trees, i, subtrees) for i, key in enumerate(keys)}
 
 
+def _forest_of_places(
+    chunks: RDD, bins: Bins, places: Places, folds: Sequence[int], n_trees: int, depth: int, weights_of: Callable[[Chunk, np.ndarray], list[np.ndarray]], channels: int, rule: Rule
+) -> dict[tuple[int, int], Trees]:
+    """The forest of a table with few places: a task adds up the draws of some trees by fold and place and grows them."""
+    size, parts = len(places.keys), max(folds) + 2
+    groups = min(n_trees, 2 * chunks.context.defaultParallelism)
+    held = chunks.context.broadcast((places.keys, places.bins))
+
+    def compact(c: Chunk) -> tuple[np.ndarray, ...]:
+        fold = np.where((c.fold >= 0) & (c.fold < parts - 1), c.fold, parts - 1).astype(np.int64)
+        return (fold * size + Places(*held.value).of(bins, c.bins)).astype(np.int64), c.label, c.row
+
+    def run(item: tuple[int, Iterator]) -> Iterator[tuple[tuple[int, int], Trees]]:
+        group, given = item
+        own = np.arange(group, n_trees, groups)
+        total = np.zeros((len(own), channels + 1, parts * size))
+        for at, label, row in given:
+            c = Chunk(np.zeros((0, 0)), label, np.zeros(0), row)
+            for i, tree in enumerate(own):
+                for channel, w in enumerate(weights_of(c, draws(row, np.array([tree])))):
+                    total[i, channel] += np.bincount(at, w[0], parts * size)
+        for i, tree in enumerate(own):
+            by_fold = total[i].reshape(channels + 1, parts, size)
+            for fold in folds:
+                inside = by_fold.sum(axis=1) - (by_fold[:, fold] if fold >= 0 else 0)
+                seen = inside[-1] > 0
+                root = Trees.stumps(1, channels, mixed(np.array([tree], np.uint64) + np.uint64(7)))
+                root.value[:] = _values(inside.sum(axis=1)[None], rule)
+                grown = grow_alone(bins, held.value[1][seen], list(inside[:, seen]), rule, root, depth)
+                yield (fold, int(tree)), _joined(grown, 0, {})
+
+    dealt = chunks.map(compact).flatMap(lambda c: [(g, c) for g in range(groups)]).groupByKey(groups, partitionFunc=lambda g: g)
+    return dict(dealt.flatMap(run).collect())  # fitted models
+
+
 def _finished(chunks: RDD, bins: Bins, trees: Trees, small: list[tuple[int, int, int]], weights, rule: Rule, depth: int) -> dict[int, Trees]:
     """node -> the tree below it, each grown in one task from the rows that reach it."""
     spots: dict[int, list[tuple[int, int]]] = {}
