@@ -63,9 +63,15 @@ def token_table(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
     )
 
 
-def term_statistics(df: DataFrame, key: Sequence[str], text: str, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> DataFrame:
-    """Per document and term: tf, upper-case and acronym counts, sentence spread and neighbour counts."""
+def term_statistics(
+    df: DataFrame, key: Sequence[str], text: str, stop_words: Sequence[str] = ENGLISH_STOP_WORDS, placed: bool = False
+) -> DataFrame:
+    """Per document and term: tf, upper-case and acronym counts, sentence spread and neighbour counts.
+
+    Texts are dealt by ``key`` (unless they are ``placed`` so already), so that no token is shuffled.
+    """
     key = list(key)
+    df = df if placed else by_document(df, key, text)
     number = F.col("term").rlike(r"^[\p{N}.,]+\z")
     acronym = F.col("token").rlike(r"^\p{Lu}{2,}\z")
     proper = F.col("token").rlike(r"^\p{Lu}") & ~acronym & (F.col("pos") > 0)
@@ -157,7 +163,7 @@ def rank_terms(
 ) -> DataFrame:
     """keys, rank, keyword, score: the ``top_n`` best scored, mutually dissimilar terms of each document."""
     key = list(key)
-    scored = score_terms(term_statistics(df, key, text, stop_words), key)
+    scored = score_terms(term_statistics(df, key, text, stop_words, placed=True), key)
     ordered = F.sort_array(F.collect_list(F.struct(F.round("score", 12).alias("score"), "term")))
     taken = scored.groupBy(*key).agg(_distinct_words(ordered, dedup_limit, top_n).alias("_taken"))
     out = taken.select(*key, F.posexplode("_taken").alias("_at", "_t"))
