@@ -10,6 +10,7 @@ from paperloom.operators.aggregate import aggregate
 from paperloom.operators.chunks import chunk_fixed, chunk_recursive, next_chunk_edges
 from paperloom.operators.embed import embed, fit_embedder
 from paperloom.operators.retrieve import build_context, hybrid_search
+from paperloom.plans.materialize import materialize
 
 
 def chunk_profile(documents: DataFrame, key: str = "doc_id", by: str = "lang") -> DataFrame:
@@ -32,9 +33,11 @@ def answer_contexts(
 
     ``questions``: question_id, text.
     """
-    chunks = chunk_recursive(documents, "text", [key])
+    # cut and embedded once: the fit, two searches and the lookup of the texts read what was written
+    chunks = materialize(chunk_recursive(documents, "text", [key]), "chunks")
     model = fit_embedder(chunks)
-    vectors = embed(chunks, model).withColumn("node", F.concat_ws("#", key, "chunk_id"))
+    nodes = embed(chunks, model).select(F.concat_ws("#", key, "chunk_id").alias("node"), "embedding")
+    vectors = materialize(nodes, "vectors")
     asked = embed(questions.select(F.col(question_id).alias("query_id"), "text"), model)
     texts = chunks.select(F.concat_ws("#", key, "chunk_id").alias("node"), "text")
     hits = hybrid_search(asked, vectors, texts, None, k, vector_id="node")
