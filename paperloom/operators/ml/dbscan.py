@@ -269,7 +269,8 @@ def dbscan(
     meet = sparse.alias("s").join(near.alias("g"), F.col("s.cell") == F.col("g.a")).select(
         F.col("s.uid").alias("uid"), F.struct(*[F.col(f"s.{x}") for x in xs]).alias("s"), F.col("g.b").alias("cell")
     )
-    close = _for_parts(meet, hot).join(points.select(*here, "w", F.struct(*xs).alias("t")), here).where(
+    # joins that carry points are never broadcast: their files are small, their rows are not
+    close = _for_parts(meet, hot).join(points.select(*here, "w", F.struct(*xs).alias("t")).hint("merge"), here).where(
         _d2("s", "t", dims) <= limit
     )
     counted = close.groupBy("uid").agg(F.sum("w").alias("seen"))
@@ -293,7 +294,7 @@ def dbscan(
     )
     sparse_edges = (
         _for_parts(from_sparse, hot)
-        .join(core.select(*here, F.struct(*xs).alias("t")), here)
+        .join(core.select(*here, F.struct(*xs).alias("t")).hint("merge"), here)
         .where(_d2("s", "t", dims) <= limit)
         .select("a", F.col("cell").alias("b"))
         .distinct()
@@ -310,7 +311,7 @@ def dbscan(
     border = border.select(F.col("s.uid").alias("uid"), F.struct(*[F.col(f"s.{x}") for x in xs]).alias("s"), F.col("g.b").alias("cell"))
     reached = (
         _for_parts(border, hot)
-        .join(core.select(*here, F.struct(*xs).alias("t")), here)
+        .join(core.select(*here, F.struct(*xs).alias("t")).hint("merge"), here)
         .where(_d2("s", "t", dims) <= limit)
         .select("uid", "cell")
         .distinct()
@@ -327,7 +328,7 @@ def dbscan(
 
     numbered = number_rows(components.select("component").distinct().orderBy("component"), "cluster")
     labels = lookup_join(labels, materialize(numbered, "numbers"), ["component"])
-    place_labels = points.select("uid", *xs).join(labels.select("uid", "cluster"), "uid", "left")
+    place_labels = points.select("uid", *xs).join(labels.select("uid", "cluster").hint("merge"), "uid", "left")
     place_labels = materialize(place_labels.select(*xs, F.coalesce("cluster", F.lit(NOISE)).alias("cluster")), "labels")
     labelled = lookup_join(raw, place_labels, xs, "left")
     return labelled.select(F.col("id").alias(id_col), F.coalesce("cluster", F.lit(NOISE)).alias("cluster"))
