@@ -8,11 +8,13 @@ by document, serves them all.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions.similar import dissimilar_places
 from paperloom.functions.text import KEYWORD_STOP_LIST, clean_for_keywords, keyword_ok
 from paperloom.operators.chunks import chunk_fixed
 
@@ -128,24 +130,15 @@ def score_terms(stats: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def _distinct_words(candidates: Column, limit: float, top: int) -> Column:
-    """Fold over candidates in score order; skip one too similar to a word already taken; stop at ``top``."""
-
-    def similar(a: Column, b: Column) -> Column:
-        # similarity above the limit means fewer than (1 - limit) * longest edits, which bounds
-        # the length difference and lets the edit distance stop early (-1 beyond its bound)
-        longest = F.greatest(F.length(a), F.length(b))
-        bound = F.ceil(longest * F.lit(1 - limit) - 1e-9).cast("int") - 1
-        near = F.abs(F.length(a) - F.length(b)) <= bound
-        return near & (F.call_function("levenshtein", a, b, bound) >= 0)
-
-    empty = F.array().cast("array<struct<score:double,term:string>>")
-    return F.aggregate(
-        candidates,
-        empty,
-        lambda taken, c: F.when(
-            (F.size(taken) >= top) | F.exists(taken, lambda t: similar(t["term"], c["term"])), taken
-        ).otherwise(F.concat(taken, F.array(c))),
-    )
+    """The candidates in score order; one too similar to a word already taken is skipped; at most ``top``."""
+    if limit >= 1:
+        return F.slice(candidates, 1, top)
+
+    def places(words: pa.Array) -> pa.Array:
+        return pa.array([dissimilar_places(row.values.to_pylist(), limit, top) for row in words], pa.list_(pa.int32()))
+
+    taken = F.arrow_udf(places, "array<int>")(candidates["term"])
+    return F.transform(taken, lambda place: F.get(candidates, place))
 
 
 def by_document(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
@@ -159,13 +152,25 @@ def by_document(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
 
 
 def rank_terms(
-    df: DataFrame, key: Sequence[str], text: str, top_n: int, dedup_limit: float, stop_words: Sequence[str]
+    df: DataFrame,
+    key: Sequence[str],
+    text: str,
+    top_n: int,
+    dedup_limit: float,
+    stop_words: Sequence[str],
+    suitable: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """keys, rank, keyword, score: the ``top_n`` best scored, mutually dissimilar terms of each document."""
+    """keys, rank, keyword, score: the ``top_n`` best scored, mutually dissimilar terms of each document.
+
+    Of the terms taken only the ``suitable`` ones are then numbered.
+    """
     key = list(key)
     scored = score_terms(term_statistics(df, key, text, stop_words, placed=True), key)
     ordered = F.sort_array(F.collect_list(F.struct(F.round("score", 12).alias("score"), "term")))
-    taken = scored.groupBy(*key).agg(_distinct_words(ordered, dedup_limit, top_n).alias("_taken"))
+    listed = scored.groupBy(*key).agg(ordered.alias("_listed"))
+    taken = listed.select(*key, _distinct_words(F.col("_listed"), dedup_limit, top_n).alias("_taken"))
+    if suitable is not None:
+        taken = taken.withColumn("_taken", F.filter("_taken", lambda t: suitable(t["term"])))
     out = taken.select(*key, F.posexplode("_taken").alias("_at", "_t"))
     return out.select(
         *key, (F.col("_at") + 1).alias("rank"), F.col("_t")["term"].alias("keyword"), F.col("_t")["score"].alias("score")
@@ -184,10 +189,9 @@ def extract_keywords(
     ``key`` names one document (one row of ``df``).
     """
     clean = by_document(df, key, text).withColumn(text, clean_for_keywords(text))
-    ranked = rank_terms(clean, key, text, top_n, dedup_limit, ENGLISH_STOP_WORDS)
-    kept = ranked.where(keyword_ok("keyword", KEYWORD_STOP_LIST))
-    again = Window.partitionBy(*key).orderBy(F.col("rank"))
-    return kept.withColumn("rank", F.row_number().over(again))
+    return rank_terms(
+        clean, key, text, top_n, dedup_limit, ENGLISH_STOP_WORDS, lambda word: keyword_ok(word, KEYWORD_STOP_LIST)
+    )
 
 
 def extract_keywords_by_chunk(
