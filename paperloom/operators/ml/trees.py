@@ -172,6 +172,12 @@ class Rule:
     features: int = 0
 
 
+def _looked_at(usable: np.ndarray, rule: Rule, path: np.ndarray) -> np.ndarray:
+    """Which features (nodes x features) a node looks at: the first ones that can be cut, in a random order per node."""
+    order = mixed(mixed(path)[:, None] + np.arange(1, usable.shape[1] + 1, dtype=np.uint64))
+    return np.where(usable, order, np.uint64(2**64 - 1)).argsort(1).argsort(1) < rule.features
+
+
 def best_cuts(sums: np.ndarray, bins: Bins, rule: Rule, path: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(gain, feature, cut, sums of both sides) per node of ``sums`` (nodes x bins x channels, weight last)."""
     running = sums.cumsum(axis=1)
@@ -187,12 +193,8 @@ def best_cuts(sums: np.ndarray, bins: Bins, rule: Rule, path: np.ndarray) -> tup
     gain = worth(left) + worth(right) - worth(whole)[:, None]
     fits = ~bins.last & (left[..., -1] >= rule.least_weight) & (right[..., -1] >= rule.least_weight) & (gain > rule.least_gain)
     if rule.features:
-        # random order of features per node; the first ones that can be cut are looked at
-        n = len(bins.cuts)
-        order = mixed(mixed(path)[:, None] + np.arange(1, n + 1, dtype=np.uint64))
         usable = np.logical_or.reduceat(fits, bins.offsets[:-1], axis=1)
-        place = np.where(usable, order, np.uint64(2**64 - 1)).argsort(1).argsort(1)
-        fits &= (place < rule.features)[:, bins.feature]
+        fits &= _looked_at(usable, rule, path)[:, bins.feature]
     gain = np.where(fits, gain, -np.inf)
     best, rows = gain.argmax(1), np.arange(len(gain))
     feature = bins.feature[best]
@@ -576,29 +578,100 @@ def draws(row: np.ndarray, trees: np.ndarray) -> np.ndarray:
     return np.searchsorted(edges, u, side="right").astype(float)
 
 
-def grow_alone(bins: Bins, data: np.ndarray, weights: list[np.ndarray], rule: Rule, root: Trees, depth: int) -> Trees:
-    """A tree grown to ``depth`` levels below its root from rows that one task holds."""
-    node, nodes, trees = np.zeros(len(data), np.int64), np.zeros(1, np.int64), root
-    given = [w[None] for w in weights]
+def _sorted_cuts(
+    held: np.ndarray, data: np.ndarray, weights: np.ndarray, starts: np.ndarray, rule: Rule, path: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``best_cuts`` finds, from rows in order of node and bin: only bins that a node's rows have are looked at.
+
+    ``held`` (features x rows) has the rows of each node, from ``starts`` on, ordered by each feature's bin; weights are rows x channels.
+    """
+    nodes, features = len(path), len(held)
+    sizes = np.diff(starts)
+    node = np.repeat(np.arange(nodes), sizes)
+    found = []
+    for f in range(features):
+        bin_of, running = data[held[f], f], weights[held[f]].cumsum(axis=0)
+        before = np.concatenate([np.zeros_like(running[:1]), running[starts[1:-1] - 1]])
+        if f == 0:
+            whole = running[starts[1:] - 1] - before
+        ends = np.flatnonzero((bin_of[1:] != bin_of[:-1]) & (node[1:] == node[:-1]))
+        found.append((node[ends], np.full(len(ends), f), bin_of[ends], running[ends] - before[node[ends]]))
+    at, feature, cut, left = (np.concatenate(c) for c in zip(*found))
+    right = whole[at] - left
+
+    def worth(s: np.ndarray) -> np.ndarray:
+        weight = s[..., -1] + rule.penalty
+        return np.divide((s[..., :-1] ** 2).sum(-1), weight, out=np.zeros_like(weight), where=weight > 0)
+
+    gain = worth(left) + worth(right) - worth(whole)[at]
+    fits = (left[:, -1] >= rule.least_weight) & (right[:, -1] >= rule.least_weight) & (gain > rule.least_gain)
+    if rule.features:
+        usable = np.zeros((nodes, features), bool)
+        usable[at[fits], feature[fits]] = True
+        fits &= _looked_at(usable, rule, path)[at, feature]
+    chosen = np.flatnonzero(fits)
+    best, first = np.full(nodes, -np.inf), np.full(nodes, -1)
+    np.maximum.at(best, at[chosen], gain[chosen])
+    chosen = chosen[gain[chosen] == best[at[chosen]]][::-1]
+    first[at[chosen]] = chosen  # of equal gains the first in order of feature and bin stays
+    good = np.flatnonzero(first >= 0)
+    first = first[good]
+    return good, feature[first], cut[first], np.stack([left[first], right[first]], 1)
+
+
+def grow_alone(data: np.ndarray, weights: list[np.ndarray], rule: Rule, root: Trees, depth: int) -> Trees:
+    """A tree grown to ``depth`` levels below its root from rows that one task holds.
+
+    Rows stay sorted by node and by each feature's bin, so a level takes time by its rows and not by its nodes times all bins.
+    """
+    trees, nodes, given = root, np.zeros(1, np.int64), np.stack(weights, 1)
+    rows = np.flatnonzero(given[:, -1] > 0)
+    held = np.stack([rows[data[rows, f].argsort(kind="stable")] for f in range(data.shape[1])]) if data.shape[1] else np.zeros((0, 0), int)
+    starts = np.array([0, len(rows)])
     for _ in range(depth):
-        slots = np.full(len(trees.feature), -1, np.int64)
-        children = []
-        step = max(1, PASS_CELLS // (bins.total * len(given)))
-        for at in range(0, len(nodes), step):
-            part = nodes[at : at + step]
-            slots[:] = -1
-            slots[part] = np.arange(len(part))
-            sums = add_up(bins, data, slots[node][None], given, len(part))
-            below, _ = grow_level(trees, bins, rule, part, sums)
-            children.append(below)
-            slots = np.full(len(trees.feature), -1, np.int64)
-        node = trees.route(data, node, 1)
-        nodes = np.concatenate(children)
-        if not len(nodes):
+        if not held.size:
+            break
+        good, feature, cut, sides = _sorted_cuts(held, data, given, starts, rule, trees.path[nodes])
+        if not len(good):
             break
+        sizes = np.diff(starts)
+        node = np.repeat(np.arange(len(nodes)), sizes)
+        nodes = trees.split(nodes[good], feature, cut, _values(sides, rule))
+        # rows of the nodes that were cut stay, those that go left before the others
+        kept = np.zeros(len(sizes), bool)
+        kept[good] = True
+        inside, sizes = kept[node], sizes[good]
+        held = held[:, inside]
+        begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        owner = np.repeat(np.arange(len(good)), sizes)
+        at = held[0]
+        goes_right = np.zeros(len(data), bool)
+        goes_right[at] = data[at, feature[owner]] > cut[owner]
+        right = goes_right[held]
+        rights = right.cumsum(axis=1) - right
+        rights -= rights[:, begin][:, owner]  # those before a row within its node
+        lefts = sizes - np.add.reduceat(right[0], begin, dtype=np.int64)
+        place = np.arange(len(owner))
+        place = np.where(right, (begin + lefts)[owner] + rights, place - rights)
+        moved = np.empty_like(held)
+        np.put_along_axis(moved, place, held, axis=1)
+        held = moved
+        starts = np.concatenate([np.column_stack([begin, begin + lefts]).ravel(), [len(owner)]])
     return trees
 
 
+def _forest_terms(classes: int, center: float, largest: float, rows: int, features: int) -> tuple[Callable[[Chunk, np.ndarray], list[np.ndarray]], Rule]:
+    """What a chunk's rows weigh when drawn so many times, and how a forest's nodes are cut."""
+    quantum = _quantum(1.0 if classes else largest, 4 * rows)
+
+    def weights_of(c: Chunk, times: np.ndarray) -> list[np.ndarray]:
+        if classes:
+            return [*[times * (c.label == k) for k in range(classes)], times]
+        return [times * (np.rint((c.label - center) / quantum) * quantum), times]
+
+    return weights_of, Rule(0.0, 1.0, 1e-12 * (1.0 if classes else max(largest, 1e-150) ** 2), features)
+
+
 def forest(
     chunks: RDD, bins: Bins, folds: Sequence[int], n_trees: int, depth: int, classes: int, center: float, largest: float, rows: int, features: int, local_rows: int = LOCAL_ROWS
 ) -> dict[tuple[int, int], Trees]:
@@ -610,22 +683,16 @@ def forest(
     keys = [(f, t) for f in folds for t in range(n_trees)]
     fold, number = (np.array(c) for c in zip(*keys))
     channels = classes or 1
-    quantum = _quantum(1.0 if classes else largest, 4 * rows)
-    rule = Rule(0.0, 1.0, 1e-12 * (1.0 if classes else max(largest, 1e-150) ** 2), features)
+    weights_of, rule = _forest_terms(classes, center, largest, rows, features)
 
     def weights(c: Chunk, chosen: slice | np.ndarray = slice(None)) -> list[np.ndarray]:
         return weights_of(c, np.where(c.fold != fold[chosen][:, None], draws(c.row, number[chosen]), 0))
 
-    def weights_of(c: Chunk, times: np.ndarray) -> list[np.ndarray]:
-        if classes:
-            return [*[times * (c.label == k) for k in range(classes)], times]
-        return [times * (np.rint((c.label - center) / quantum) * quantum), times]
-
     trees = Trees.stumps(len(keys), channels, mixed(number.astype(np.uint64) + np.uint64(7)))
 
     places = Places.found(chunks, bins, local_rows) if rows > local_rows else None
     if places is not None:
-        return _forest_of_places(chunks, bins, places, folds, n_trees, depth, weights_of, channels, rule)
+        return dict(_trees_of_places(chunks, bins, places, folds, n_trees, depth, weights_of, channels, rule).collect())  # fitted models
 
     def totals(held: Iterator[Chunk]) -> Iterator[np.ndarray]:
         yield sum((np.stack([w.sum(1) for w in weights(c)], 1) for c in held), np.zeros((len(keys), channels + 1)))
@@ -653,12 +720,12 @@ def forest(
     return {key: _joined(trees, i, subtrees) for i, key in enumerate(keys)}
 
 
-def _forest_of_places(
+def _trees_of_places(
     chunks: RDD, bins: Bins, places: Places, folds: Sequence[int], n_trees: int, depth: int, weights_of: Callable[[Chunk, np.ndarray], list[np.ndarray]], channels: int, rule: Rule
-) -> dict[tuple[int, int], Trees]:
-    """The forest of a table with few places: a task adds up the draws of some trees by fold and place and grows them."""
+) -> RDD:
+    """((fold, tree number), tree) of a table with few places: a task adds up the draws of some trees by fold and place and grows them."""
     size, parts = len(places.keys), max(folds) + 2
-    groups = min(n_trees, 2 * chunks.context.defaultParallelism)
+    groups = min(n_trees, 3 * chunks.context.defaultParallelism)
     held = chunks.context.broadcast((places.keys, places.bins))
 
     def compact(c: Chunk) -> tuple[np.ndarray, ...]:
@@ -678,14 +745,13 @@ def _forest_of_places(
             by_fold = total[i].reshape(channels + 1, parts, size)
             for fold in folds:
                 inside = by_fold.sum(axis=1) - (by_fold[:, fold] if fold >= 0 else 0)
-                seen = inside[-1] > 0
                 root = Trees.stumps(1, channels, mixed(np.array([tree], np.uint64) + np.uint64(7)))
                 root.value[:] = _values(inside.sum(axis=1)[None], rule)
-                grown = grow_alone(bins, held.value[1][seen], list(inside[:, seen]), rule, root, depth)
-                yield (fold, int(tree)), _joined(grown, 0, {})
+                grown = grow_alone(held.value[1], list(inside), rule, root, depth)
+                yield (fold, int(tree)), grown
 
     dealt = chunks.map(compact).flatMap(lambda c: [(g, c) for g in range(groups)]).groupByKey(groups, partitionFunc=lambda g: g)
-    return dict(dealt.flatMap(run).collect())  # fitted models
+    return dealt.flatMap(run)
 
 
 def _finished(chunks: RDD, bins: Bins, trees: Trees, small: list[tuple[int, int, int]], weights, rule: Rule, depth: int) -> dict[int, Trees]:
@@ -711,7 +777,7 @@ def _finished(chunks: RDD, bins: Bins, trees: Trees, small: list[tuple[int, int,
         root = Trees.stumps(1, trees.value.shape[1], trees.path[[place]])
         root.value[0] = trees.value[place]
         stacked = [np.concatenate(w) for w in zip(*given)]
-        return place, grow_alone(bins, np.concatenate(data), stacked, rule, root, depth - depth_of[place])
+        return place, grow_alone(np.concatenate(data), stacked, rule, root, depth - depth_of[place])
 
     tasks = max(chunks.getNumPartitions(), min(len(small), 4 * chunks.context.defaultParallelism))
     return dict(chunks.flatMap(sent).groupByKey(tasks).map(finish).collect())
@@ -863,20 +929,66 @@ def search_boosted(train: DataFrame, module: str, candidates: Sequence[Mapping],
     return means, TreeModel.of(table.bins, chosen, table.classes, float(base[whole]), rate, outputs, 1 << 30)
 
 
-def search_forest(train: DataFrame, module: str, candidates: Sequence[Mapping], folds: int) -> tuple[list[float], TreeModel]:
-    """Mean score of every point, and the best one's model on all rows, from one forest per fold and one of all rows."""
+def _place_quality(
+    table: TreeTable, places: Places, folds: int, counts: Sequence[int], depths: Sequence[int], center: float, features: int
+) -> np.ndarray:
+    """(sum of squared errors or hits, rows) by fold, count and depth: the trees stay in the tasks that grow them.
+
+    Only their values by place are added up, as multiples of a power of two, so that the order of trees does not matter.
+    """
+    classes, channels = table.classes, table.classes or 1
+    weights_of, rule = _forest_terms(classes, center, table.largest, table.rows, features)
+    stats = place_sums(table.chunks, table.bins, places, folds, classes, center, _quantum(1.0 if classes else table.largest, 4 * table.rows))
+    grown = _trees_of_places(table.chunks, table.bins, places, range(folds), counts[-1], depths[-1], weights_of, channels, rule)
+    held = table.chunks.context.broadcast((places.bins, stats))  # at most ``local_rows`` places
+    quantum = _quantum(1.0 if classes else table.largest, counts[-1])
+
+    def values(trees: Iterator[tuple[tuple[int, int], Trees]]) -> Iterator[tuple[int, np.ndarray]]:
+        data = held.value[0]
+        total = np.zeros((folds, len(counts), len(depths), len(data), channels))
+        for (fold, number), tree in trees:
+            node, level = np.zeros((1, len(data)), np.int64), 0
+            for i, depth in enumerate(depths):
+                node = tree.route(data, node, depth - level)
+                level = depth
+                total[fold, np.searchsorted(counts, number, side="right"), i] += np.rint(tree.value[node[0]] / quantum) * quantum
+        yield from enumerate(total)
+
+    def quality(item: tuple[int, np.ndarray]) -> tuple[int, np.ndarray]:
+        fold, total = item
+        mean = total.cumsum(axis=0) / np.array(counts)[:, None, None, None]
+        rows, at = held.value[1][0][fold], np.arange(total.shape[2])
+        if classes:
+            value = rows[mean.argmax(3), at]
+        else:
+            label = np.divide(held.value[1][1][fold][0], rows[0], out=np.zeros(rows.shape[1]), where=rows[0] > 0)
+            value = held.value[1][2][fold][0] + rows[0] * (mean[..., 0] - label) ** 2
+        return fold, np.stack([value.sum(2), np.full(value.shape[:2], rows.sum())], 2)
+
+    found = grown.mapPartitions(values).reduceByKey(lambda a, b: a + b, folds).map(quality).collect()
+    return np.stack([q for _, q in sorted(found, key=lambda r: r[0])])
+
+
+def search_forest(train: DataFrame, module: str, candidates: Sequence[Mapping], folds: int, local_rows: int = LOCAL_ROWS) -> tuple[list[float], TreeModel]:
+    """Mean score of every point, and the best one's model on all rows, from one forest per fold and one of all rows.
+
+    Only the forest of the best point comes to the driver, cut at its depth; where the table has many places, one fold's at a time.
+    """
     table = tree_table(train, module, folds)
     counts = sorted({c["n_estimators"] for c in candidates})
     no_limit = 1 << 20
     depths = sorted({c["max_depth"] or no_limit for c in candidates})
     features = max(1, int(math.sqrt(len(table.bins.cuts)))) if table.classes else 0
     center = 0.0 if table.classes else table.means[-1]
-    made = forest(table.chunks, table.bins, [*range(folds), -1], counts[-1], depths[-1], table.classes, center, table.largest, table.rows, features)
-    scored = []
-    for fold in range(folds):
-        held = table.chunks.context.broadcast([made[fold, t] for t in range(counts[-1])])  # a fitted model
 
-        def quality(chunks: Iterator[Chunk], fold=fold, held=held) -> Iterator[np.ndarray]:
+    def grown(fold: int, n_trees: int, depth: int) -> list[Trees]:
+        made = forest(table.chunks, table.bins, [fold], n_trees, depth, table.classes, center, table.largest, table.rows, features, local_rows)
+        return [made[fold, t] for t in range(n_trees)]
+
+    def row_quality(fold: int) -> np.ndarray:
+        held = table.chunks.context.broadcast(grown(fold, counts[-1], depths[-1]))  # a fitted model
+
+        def quality(chunks: Iterator[Chunk]) -> Iterator[np.ndarray]:
             total = np.zeros((len(counts), len(depths), 2))
             for c in chunks:
                 rows = np.flatnonzero(c.fold == fold)
@@ -887,14 +999,21 @@ def search_forest(train: DataFrame, module: str, candidates: Sequence[Mapping],
             yield total
 
         table_classes = table.classes
-        scored.append(summed(table.chunks.mapPartitions(quality)))
+        found = summed(table.chunks.mapPartitions(quality))
         held.unpersist()
-    table.chunks.unpersist()
-    totals = np.stack(scored)
+        return found
+
+    places = Places.found(table.chunks, table.bins, local_rows)
+    if places is None:
+        totals = np.stack([row_quality(fold) for fold in range(folds)])
+    else:
+        totals = _place_quality(table, places, folds, counts, depths, center, features)
     means = [
         _mean_scores(totals[:, counts.index(c["n_estimators"]), depths.index(c["max_depth"] or no_limit)], table.classes) for c in candidates
     ]
     best = max(range(len(candidates)), key=lambda i: (means[i], -i))
     point = candidates[best]
-    chosen = [made[-1, t] for t in range(point["n_estimators"])]
-    return means, TreeModel.of(table.bins, chosen, table.classes, center, 1.0, 0, point["max_depth"] or no_limit)
+    depth = point["max_depth"] or no_limit
+    chosen = grown(-1, point["n_estimators"], depth)
+    table.chunks.unpersist()
+    return means, TreeModel.of(table.bins, chosen, table.classes, center, 1.0, 0, depth)

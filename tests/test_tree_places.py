@@ -75,3 +75,50 @@ def test_forest_by_place(tables, label, monkeypatch):
             m.setattr(T, "_finished", None)
             few = grown(depth, FEW)
         assert want.keys() == few.keys() and all(same(want[k], few[k]) for k in want)
+
+
+@pytest.mark.parametrize("label,module", [("number", "regression"), ("two", "classification"), ("three", "classification")])
+def test_forest_scores_by_place(spark, label, module, monkeypatch):
+    """Trees that only score stay with the tasks; the driver gets the best point's forest, cut at its depth."""
+    target = {"number": Y, "two": CLASS > 0, "three": CLASS}[label]
+    rows = [(list(map(float, x)), float(y), int(f), i) for i, (x, y, f) in enumerate(zip(X, target, FOLD))]
+    df = spark.createDataFrame(rows, "f array<double>, label double, fold int, row long").repartition(3)
+    train = materialize(df.select(array_to_vector("f").alias("features"), "label", "fold", "row"))
+    points = [{"n_estimators": n, "max_depth": d} for n in (3, 7) for d in (None, 2, 4)]
+    asked, forest = [], T.forest
+
+    def noted(chunks, bins, folds, n_trees, depth, *more):
+        asked.append((list(folds), n_trees, depth))
+        return forest(chunks, bins, folds, n_trees, depth, *more)
+
+    monkeypatch.setattr(T, "forest", noted)
+    means, model = T.search_forest(train, module, points, 3)
+    best = points[max(range(len(points)), key=lambda i: (means[i], -i))]
+    assert asked == [([-1], best["n_estimators"], best["max_depth"] or 1 << 20)]
+    by_rows, plain = T.search_forest(train, module, points, 3, 0)
+    assert np.allclose(means, by_rows, rtol=1e-9)
+    assert model.transform(train).collect() == plain.transform(train).collect()
+
+
+@pytest.mark.parametrize("classes,looked_at", [(0, 0), (2, 2), (3, 1), (3, 0)])
+def test_sorted_rows_give_the_cuts_of_histograms(classes, looked_at):
+    rng = np.random.default_rng(classes)
+    data = np.column_stack([rng.integers(9, size=400), rng.integers(2, size=400), np.zeros(400), rng.integers(5, size=400)]).astype(np.uint8)
+    bins = T.Bins([np.arange(n - 1.0) for n in (9, 2, 1, 5)])
+    times = rng.poisson(1.0, 400).astype(float)
+    label = rng.integers(max(classes, 9), size=400)
+    weights = [*[times * (label == k) for k in range(classes)], times] if classes else [times * label, times]
+    rule = T.Rule(0.0, 1.0, 1e-12, looked_at)
+
+    def root():
+        return T.Trees.stumps(1, max(classes, 1), np.array([7], np.uint64))
+
+    got, want = T.grow_alone(data, weights, rule, root(), 6), root()
+    nodes = want.roots
+    for _ in range(6):
+        slots = np.full(len(want.feature), -1)
+        slots[nodes] = np.arange(len(nodes))
+        sums = T.add_up(bins, data, slots[want.route(data, np.zeros((1, 400), int))], [w[None] for w in weights], len(nodes))
+        nodes, _ = T.grow_level(want, bins, rule, nodes, sums)
+    assert len(want.feature) > 60
+    assert all(np.array_equal(getattr(got, k), getattr(want, k)) for k in ("feature", "cut", "left", "value", "path"))
