@@ -258,7 +258,7 @@ TERM_SQL = f"""clean AS (SELECT doc_id, {KEYWORD_CLEAN} AS text FROM documents),
 )
 def term_statistics_query(spark, sf):
     stats = term_statistics(_clean_documents(spark, sf), ["doc_id"], "text")
-    return stats.drop("n_sentences", "median_sentence", "last_sentence")
+    return stats.drop("n_sentences", "median_sentence", "last_sentence", "max_tf", "typical_tf", "all_sentences")
 
 
 SCORE_SQL = f"""{TERM_SQL}, typical AS (

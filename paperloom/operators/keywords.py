@@ -2,8 +2,8 @@
 
 The five features and the score follow Campos et al., "YAKE! Keyword extraction
 from single documents using multiple local features", Information Sciences 509
-(2020).  Every feature is a grouped aggregate over a token table.  One exchange,
-by document, serves them all.
+(2020).  The JVM cuts texts into tokens, and the features of a document's terms
+are counted in Arrow batches.  One exchange, by document, serves them all.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.similar import dissimilar_places
+from paperloom.functions.terms import TERM_FEATURES, TOTALS, term_features
 from paperloom.functions.text import KEYWORD_STOP_LIST, clean_for_keywords, keyword_ok
 from paperloom.operators.chunks import chunk_fixed
+from paperloom.plans.project import with_column_once
 
 # --- fixed values: must equal the expected output ---------------------------------
 TOP_N = 20
@@ -42,91 +44,83 @@ _SENTENCE_END = r"(?<=[.!?])\s+|\n+"
 _TOKEN = r"[\p{L}\p{N}]+(?:[-'’][\p{L}\p{N}]+)*"
 
 
-def token_table(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
-    """keys, sentence, pos, token, left, right: one row per token with its neighbours in the sentence.
+def _sentences(texts: Column) -> Column:
+    """An array of (sentence, tokens, terms) of some texts; terms are the tokens in lower case."""
 
-    Neighbours come from the token array itself, so no window over a document is needed.
-    """
-    sentences = df.select(*key, F.posexplode(F.split(F.col(text), _SENTENCE_END)).alias("sentence", "_s"))
-    tokens = sentences.select(
-        *key, "sentence", F.regexp_extract_all("_s", F.lit(_TOKEN), F.lit(0)).alias("_t")
-    )
-    items = F.transform(
-        "_t",
-        lambda t, i: F.struct(
-            t.alias("token"),
-            F.lower(t).alias("term"),
-            F.lower(F.get(F.col("_t"), i - 1)).alias("left"),
-            F.lower(F.get(F.col("_t"), i + 1)).alias("right"),
-        ),
-    )
-    return tokens.select(*key, "sentence", F.posexplode(items).alias("pos", "_i")).select(
-        *key, "sentence", "pos", "_i.token", "_i.term", "_i.left", "_i.right"
+    def cut(text: Column) -> Column:
+        return F.transform(
+            F.split(text, _SENTENCE_END),
+            lambda s, i: F.struct(i.alias("sentence"), F.regexp_extract_all(s, F.lit(_TOKEN), F.lit(0)).alias("tokens")),
+        )
+
+    return F.transform(
+        F.flatten(F.transform(texts, cut)),
+        lambda s: F.struct(s["sentence"].alias("sentence"), s["tokens"].alias("tokens"), F.transform(s["tokens"], F.lower).alias("terms")),
     )
 
 
+def _document_terms(df: DataFrame, key: Sequence[str], text: str, stop_words: Sequence[str]) -> DataFrame:
+    """keys, _terms: one row per document with the features of all its terms.  Rows of one key are one document."""
+    documents, stop = df.groupBy(*key).agg(F.collect_list(text).alias("_texts")), frozenset(stop_words)
+
+    def counted(sentences: pa.Array) -> pa.Array:
+        return term_features(sentences, stop)
+
+    kind = f"array<struct<{','.join(f'{name}:{of}' for name, of in TERM_FEATURES.items())}>>"
+    terms = F.arrow_udf(counted, kind)(_sentences(F.col("_texts")))
+    return documents.select(*key, terms.alias("_terms"))
+
+
 def term_statistics(
     df: DataFrame, key: Sequence[str], text: str, stop_words: Sequence[str] = ENGLISH_STOP_WORDS, placed: bool = False
 ) -> DataFrame:
-    """Per document and term: tf, upper-case and acronym counts, sentence spread and neighbour counts.
+    """Per document and term: tf, upper-case and acronym counts, sentence spread and neighbour counts, and ``TOTALS`` of the document.
 
     Texts are dealt by ``key`` (unless they are ``placed`` so already), so that no token is shuffled.
     """
     key = list(key)
-    df = df if placed else by_document(df, key, text)
-    number = F.col("term").rlike(r"^[\p{N}.,]+\z")
-    acronym = F.col("token").rlike(r"^\p{Lu}{2,}\z")
-    proper = F.col("token").rlike(r"^\p{Lu}") & ~acronym & (F.col("pos") > 0)
-    tokens = token_table(df, key, text).where(~number)
-    stats = tokens.groupBy(*key, "term").agg(
-        F.count("*").alias("tf"),
-        F.count_if(proper).alias("tf_upper"),
-        F.count_if(acronym).alias("tf_acronym"),
-        F.array_sort(F.collect_set("sentence")).alias("_sentences"),
-        F.count("left").alias("n_left"),
-        F.count("right").alias("n_right"),
-        F.size(F.collect_set("left")).alias("d_left"),
-        F.size(F.collect_set("right")).alias("d_right"),
-    )
-    size = F.size("_sentences")
-    median = (
-        F.element_at("_sentences", F.floor((size + 1) / 2).cast("int"))
-        + F.element_at("_sentences", F.floor(size / 2).cast("int") + 1)
-    ) / 2
-    is_stop = F.col("term").isin(*stop_words) | (F.length("term") < 3)
-    return stats.select(
-        *key, "term", "tf", "tf_upper", "tf_acronym",
-        size.alias("n_sentences"),
-        median.alias("median_sentence"),
-        F.element_at("_sentences", -1).alias("last_sentence"),
-        "n_left", "n_right", "d_left", "d_right",
-        is_stop.alias("is_stop"),
-    )
+    documents = _document_terms(df if placed else by_document(df, key, text), key, text, stop_words)
+    return documents.select(*key, F.explode("_terms").alias("_t")).select(*key, "_t.*")
 
 
-def score_terms(stats: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Add ``score`` to content terms; smaller is better."""
-    document = Window.partitionBy(*key)
-    content_tf = F.when(~F.col("is_stop"), F.col("tf"))
-    spread = F.coalesce(F.stddev_pop(content_tf).over(document), F.lit(0.0))
-    rows = stats.select(
-        "*",
-        F.max("tf").over(document).alias("_max_tf"),
-        (F.avg(content_tf).over(document) + spread).alias("_typical_tf"),
-        (F.max("last_sentence").over(document) + 1).alias("_all_sentences"),
-    ).where(~F.col("is_stop"))
+Once = Callable[[Column, Callable[[Column], Column]], Column]
+
+
+def _by_element(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` within a lambda, where Spark would compute ``value`` again at every mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _score(term: Callable[[str], Column], once: Once = lambda value, use: use(value)) -> Column:
+    """The score of a content term; ``term`` gives its features and the totals of its document by name."""
 
     def diversity(distinct: str, total: str) -> Column:
-        return F.when(F.col(total) > 0, F.col(distinct) / F.col(total)).otherwise(0.0)
+        return F.when(term(total) > 0, term(distinct) / term(total)).otherwise(0.0)
 
-    casing = F.greatest("tf_upper", "tf_acronym") / (1 + F.log("tf"))
-    position = F.log(F.log(3 + F.col("median_sentence")))
-    frequency = F.col("tf") / F.col("_typical_tf")
-    relatedness = 1 + (diversity("d_left", "n_left") + diversity("d_right", "n_right")) * F.col("tf") / F.col("_max_tf")
-    sentence_spread = F.col("n_sentences") / F.col("_all_sentences")
-    weight = (relatedness * position) / (casing + frequency / relatedness + sentence_spread / relatedness)
-    score = weight / ((1 + weight) * F.col("tf"))
-    return rows.select(*key, "term", "tf", score.alias("score"))
+    def weight(relatedness: Column) -> Column:
+        return (relatedness * position) / (casing + frequency / relatedness + sentence_spread / relatedness)
+
+    casing = F.greatest(term("tf_upper"), term("tf_acronym")) / (1 + F.log(term("tf")))
+    position = F.log(F.log(3 + term("median_sentence")))
+    frequency = term("tf") / term("typical_tf")
+    sentence_spread = term("n_sentences") / term("all_sentences")
+    relatedness = 1 + (diversity("d_left", "n_left") + diversity("d_right", "n_right")) * term("tf") / term("max_tf")
+    return once(once(relatedness, weight), lambda w: w / ((1 + w) * term("tf")))
+
+
+def score_terms(stats: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Add ``score`` to content terms; smaller is better.  Terms that carry the ``TOTALS`` of their document need no window."""
+    if not set(TOTALS) <= set(stats.columns):
+        document = Window.partitionBy(*key)
+        content_tf = F.when(~F.col("is_stop"), F.col("tf"))
+        spread = F.coalesce(F.stddev_pop(content_tf).over(document), F.lit(0.0))
+        stats = stats.select(
+            "*",
+            F.max("tf").over(document).alias("max_tf"),
+            (F.avg(content_tf).over(document) + spread).alias("typical_tf"),
+            (F.max("last_sentence").over(document) + 1).alias("all_sentences"),
+        )
+    return stats.where(~F.col("is_stop")).select(*key, "term", "tf", _score(F.col).alias("score"))
 
 
 def _distinct_words(candidates: Column, limit: float, top: int) -> Column:
@@ -165,9 +159,13 @@ def rank_terms(
     Of the terms taken only the ``suitable`` ones are then numbered.
     """
     key = list(key)
-    scored = score_terms(term_statistics(df, key, text, stop_words, placed=True), key)
-    ordered = F.sort_array(F.collect_list(F.struct(F.round("score", 12).alias("score"), "term")))
-    listed = scored.groupBy(*key).agg(ordered.alias("_listed"))
+    # the terms of a document stay one array, so nothing is grouped again
+    documents = _document_terms(df, key, text, stop_words)
+    content = F.filter("_terms", lambda t: ~t["is_stop"])
+    scored = F.transform(
+        content, lambda t: F.struct(F.round(_score(t.getField, _by_element), 12).alias("score"), t["term"].alias("term"))
+    )
+    listed = with_column_once(documents, "_listed", F.sort_array(scored))
     taken = listed.select(*key, _distinct_words(F.col("_listed"), dedup_limit, top_n).alias("_taken"))
     if suitable is not None:
         taken = taken.withColumn("_taken", F.filter("_taken", lambda t: suitable(t["term"])))
