@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 
-BLOCK = 256  # words that are compared with each other at once
+BLOCK, LEAST = 256, 24  # words of a list that are compared with each other at once
+PAIRS = 1 << 19  # pairs of words that are looked at together
 WORD_BITS = 64  # words up to this length fit one machine word
+WIDTHS = (0, 8, 16, 32, WORD_BITS)  # words are padded to the next of these lengths
 
 
 def _bounds(longest: np.ndarray, limit: float) -> np.ndarray:
@@ -38,74 +40,155 @@ def _long_distance(a: np.ndarray, b: np.ndarray, bound: int) -> bool:
 
 
 def _distances(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Edit distances of the rows of ``a`` and ``b`` (padded code points, lengths 1 to 64): bit vectors after Myers and Hyyro."""
-    one = np.uint64(1)
-    powers = one << np.arange(a.shape[1], dtype=np.uint64)
-    last = (n_a - 1).astype(np.uint64)
-    up, down = np.full(len(a), ~np.uint64(0)), np.zeros(len(a), np.uint64)
+    """Edit distances of the rows of ``a`` and ``b`` (padded letters, 8 to 64 of them, 1 or more used): bit vectors after Myers and Hyyro."""
+    kind = np.dtype(f"u{a.shape[1] // 8}").type
+    one, last = kind(1), (n_a - 1).astype(kind)
+    up, down = np.full(len(a), ~kind(0)), np.zeros(len(a), kind)
     score, out = n_a.copy(), n_a.copy()
     for j in range(int(n_b.max())):
-        same = np.where(a == b[:, j, None], powers, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+        same = np.packbits(a == b[:, j, None], axis=1, bitorder="little").view(kind)[:, 0]
         vertical = same | down
         horizontal = (((same & up) + up) ^ up) | same
         plus, minus = down | ~(horizontal | up), up & horizontal
-        score = score + ((plus >> last) & one).astype(np.int64) - ((minus >> last) & one).astype(np.int64)
+        score += ((plus >> last) & one).astype(np.int64) - ((minus >> last) & one).astype(np.int64)
         plus, minus = (plus << one) | one, minus << one
         up, down = minus | ~(vertical | plus), plus & vertical
         out = np.where(n_b == j + 1, score, out)
     return out
 
 
+class Words:
+    """Letters, lengths and bit sets of some words side by side."""
+
+    def __init__(self, words: Sequence[str], limit: float):
+        self.lengths = np.fromiter(map(len, words), np.int64, len(words))
+        self.bounds = _bounds(np.arange(self.lengths.max(initial=0) + 1), limit)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        different, letter = np.unique(codes, return_inverse=True)
+        # 0 and the largest value pad words
+        self.all = (letter + 1).astype(np.min_scalar_type(len(different) + 1))
+        owner = np.repeat(np.arange(len(words)), self.lengths)
+        pair = np.flatnonzero(owner[1:] == owner[:-1]) if len(owner) else owner
+        self.letters = self._bits(owner, letter)
+        self.pairs = self._bits(owner[pair], letter[pair] * 31 + letter[pair + 1])
+
+    def _bits(self, owner: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """A set of 64 bits per word; ``owner`` is in order."""
+        out = np.zeros(len(self.lengths), np.uint64)
+        if len(owner):
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            out[owner[first]] = np.bitwise_or.reduceat(np.uint64(1) << (value & 63).astype(np.uint64), first)
+        return out
+
+    def codes(self, place: int) -> np.ndarray:
+        return self.all[self.starts[place] : self.starts[place] + self.lengths[place]]
+
+    def padded(self, places: np.ndarray, width: int, padding: int) -> np.ndarray:
+        column = np.arange(width)
+        given = self.all[np.minimum(self.starts[places][:, None] + column, len(self.all) - 1)]
+        return np.where(column < self.lengths[places][:, None], given, self.all.dtype.type(padding))
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of some pairs of words, in which a pair may come often, are more alike than the limit."""
+        bound = self.bounds[np.maximum(self.lengths[a], self.lengths[b])]
+        at = np.arange(len(a))
+        # an edit settles at most one letter, and two pairs of letters, that the other word lacks
+        for bits, most in ((self.letters, 1), (self.pairs, 2)):
+            x, y, allowed = bits[a[at]], bits[b[at]], most * bound[at]
+            at = at[(np.bitwise_count(x & ~y) <= allowed) & (np.bitwise_count(y & ~x) <= allowed)]
+        count = len(self.lengths)
+        different, back = np.unique(np.minimum(a[at], b[at]) * count + np.maximum(a[at], b[at]), return_inverse=True)
+        near = np.zeros(len(a), bool)
+        near[at] = self._alike(different // count, different % count)[back]
+        return near
+
+    def _alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        longest, shortest = np.maximum(self.lengths[i], self.lengths[j]), np.minimum(self.lengths[i], self.lengths[j])
+        bound = self.bounds[longest]
+        found = (i == j) & (bound >= 0)
+        short = (longest <= WORD_BITS) & (shortest > 0) & (i != j)
+        for low, high in zip(WIDTHS, WIDTHS[1:]):
+            chosen, step = np.flatnonzero(short & (longest > low) & (longest <= high)), max(1, PAIRS // high)
+            for start in range(0, len(chosen), step):
+                part = chosen[start : start + step]
+                x, y = i[part], j[part]
+                # paddings of both sides differ, so that they never match
+                found[part] = _distances(self.padded(x, high, -1 % 256 ** self.all.itemsize), self.lengths[x], self.padded(y, high, 0), self.lengths[y]) <= bound[part]
+        for k in np.flatnonzero(~short & (i != j)):
+            found[k] = _long_distance(self.codes(i[k]), self.codes(j[k]), int(bound[k]))
+        return found
+
+
+def dissimilar_members(words: Sequence[str], member: np.ndarray, offsets: np.ndarray, limit: float, top: int) -> np.ndarray:
+    """Places in ``member`` (lists of places among ``words``, from ``offsets`` on) of what each list takes in order.
+
+    A word too similar to one already taken is skipped, until ``top`` are taken.  A round looks at the next words of all lists that
+    are not through, some lists at a time.
+    """
+    begin, end = offsets[:-1].astype(np.int64), offsets[1:].astype(np.int64)
+    if limit >= 1:
+        return _ranges(begin, np.minimum(end - begin, top))
+    table = Words(words, limit)
+    taken, at = np.zeros(len(member), bool), begin.copy()
+    held = np.zeros(len(begin), np.int64)  # how many a list has taken
+    while True:
+        open_lists = np.flatnonzero((at < end) & (held < top))
+        if not len(open_lists):
+            return np.flatnonzero(taken)
+        fresh = np.minimum(np.clip((top - held[open_lists]) * 5 // 4, LEAST, BLOCK), (end - at)[open_lists])
+        work = np.cumsum((held[open_lists] + fresh) * fresh) // PAIRS
+        cuts = np.flatnonzero(np.diff(work)) + 1
+        for these, new in zip(np.split(open_lists, cuts), np.split(fresh, cuts)):
+            _round(table, member, taken, begin[these], at[these], new)
+        seen = _ranges(at[open_lists], fresh)
+        owner = np.repeat(open_lists, fresh)
+        ours = owner[taken[seen]]
+        # those beyond the wanted number are put back
+        rank = np.arange(len(ours)) - np.searchsorted(ours, ours) + held[ours]
+        taken[seen[taken[seen]][rank >= top]] = False
+        held += np.bincount(ours[rank < top], minlength=len(held))
+        at[open_lists] += fresh
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of every range in turn."""
+    return np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
+def _round(table: Words, member: np.ndarray, taken: np.ndarray, begin: np.ndarray, at: np.ndarray, new: np.ndarray) -> None:
+    """Mark those of the next ``new`` words of some lists that are not too similar to one taken before them."""
+    old = _ranges(begin, at - begin)
+    old = old[taken[old]]
+    fresh = _ranges(at, new)
+    place = np.concatenate([old, fresh])
+    # the list of an old one: the first whose next words come after
+    of = np.concatenate([np.searchsorted(at, old, side="right"), np.repeat(np.arange(len(begin)), new)])
+    # by list and length, words meet the shorter ones of their list that may be near
+    length = table.lengths[member[place]]
+    width = int(length.max()) + 1
+    key = of * width + length
+    order = key.argsort(kind="stable")
+    key, place, word = key[order], place[order], member[place[order]]
+    bound = table.bounds[length[order]]
+    first = np.minimum(np.searchsorted(key, key - bound), np.arange(len(key)))
+    # a shorter word may be of another list
+    first = np.maximum(first, np.searchsorted(key, key // width * width))
+    size = np.where(bound < 0, 0, np.arange(len(key)) - first)
+    y = np.repeat(np.arange(len(key)), size)
+    x = _ranges(first, size)
+    near = table.near(word[x], word[y])
+    x, y = place[x[near]], place[y[near]]
+    x, y = np.minimum(x, y), np.maximum(x, y)
+    by_later = np.lexsort((x, y))
+    dropped: set[int] = set()
+    for i, j in zip(x[by_later].tolist(), y[by_later].tolist()):
+        if i not in dropped and not taken[j]:
+            dropped.add(j)
+    taken[fresh] = True
+    taken[np.fromiter(dropped, np.int64, len(dropped))] = False
+
+
 def dissimilar_places(words: Sequence[str], limit: float, top: int) -> list[int]:
     """Places of the words taken in order, skipping one too similar to a word already taken, until ``top`` are taken."""
-    taken: list[int] = []
-    for start in range(0, len(words), BLOCK):
-        if len(taken) >= top:
-            break
-        places = [*taken, *range(start, min(start + BLOCK, len(words)))]
-        old = len(taken)
-        chosen = [words[p] for p in places]
-        lengths = np.fromiter(map(len, chosen), np.int64, len(chosen))
-        codes = np.frombuffer("".join(chosen).encode("utf-32-le", "surrogatepass"), np.uint32)
-        ends = np.cumsum(lengths)
-        letters = np.zeros(len(chosen), np.uint64)
-        filled = np.flatnonzero(lengths)
-        if len(filled):
-            bits = np.uint64(1) << (codes & 63).astype(np.uint64)
-            letters[filled] = np.bitwise_or.reduceat(bits, (ends - lengths)[filled])
-        # an edit settles at most one letter that the other word lacks
-        bound = _bounds(np.maximum.outer(lengths, lengths[old:]), limit)
-        near = np.abs(np.subtract.outer(lengths, lengths[old:])) <= bound
-        near &= np.arange(len(chosen))[:, None] < np.arange(old, len(chosen))
-        i, j = np.nonzero(near)
-        bound, j = bound[i, j], j + old
-        fits = np.maximum(np.bitwise_count(letters[i] & ~letters[j]), np.bitwise_count(letters[j] & ~letters[i])) <= bound
-        i, j, bound = i[fits], j[fits], bound[fits]
-        similar = np.zeros(len(i), bool)
-        short = (np.maximum(lengths[i], lengths[j]) <= WORD_BITS) & (np.minimum(lengths[i], lengths[j]) > 0)
-        if short.any():
-            a, b = i[short], j[short]
-            width = int(max(lengths[a].max(), lengths[b].max()))
-            padded = np.zeros((len(chosen), width), np.uint32)
-            small = lengths <= width
-            inside = np.arange(width) < lengths[small, None]
-            rows = padded[small]
-            rows[inside] = codes[np.repeat(small, lengths)]
-            padded[small] = rows
-            # paddings of both sides differ, so that they never match
-            left = np.where(np.arange(width) < lengths[:, None], padded, np.uint32(0xFFFFFFFF))
-            similar[short] = _distances(left[a], lengths[a], padded[b], lengths[b]) <= bound[short]
-        for at in np.flatnonzero(~short):
-            x, y = (codes[ends[p] - lengths[p] : ends[p]] for p in (i[at], j[at]))
-            similar[at] = _long_distance(x, y, int(bound[at]))
-        rivals: dict[int, list[int]] = {}
-        for x, y in zip(i[similar].tolist(), j[similar].tolist()):
-            rivals.setdefault(y, []).append(x)
-        kept = set(range(old))
-        for place in range(old, len(chosen)):
-            if len(taken) >= top:
-                break
-            if not any(r in kept for r in rivals.get(place, ())):
-                kept.add(place)
-                taken.append(places[place])
-    return taken
+    return dissimilar_members(words, np.arange(len(words)), np.array([0, len(words)]), limit, top).tolist()

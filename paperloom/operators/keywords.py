@@ -2,8 +2,8 @@
 
 The five features and the score follow Campos et al., "YAKE! Keyword extraction
 from single documents using multiple local features", Information Sciences 509
-(2020).  The JVM cuts texts into tokens, and the features of a document's terms
-are counted in Arrow batches.  One exchange, by document, serves them all.
+(2020).  The JVM cuts texts into tokens; the terms of a document are counted,
+scored and chosen in Arrow batches.  One exchange, by document, serves them all.
 """
 
 from __future__ import annotations
@@ -14,11 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.similar import dissimilar_places
-from paperloom.functions.terms import TERM_FEATURES, TOTALS, term_features
+from paperloom.functions.terms import RANKED, TERM_FEATURES, TOTALS, best_terms, term_features
 from paperloom.functions.text import KEYWORD_STOP_LIST, clean_for_keywords, keyword_ok
 from paperloom.operators.chunks import chunk_fixed
-from paperloom.plans.project import with_column_once
 
 # --- fixed values: must equal the expected output ---------------------------------
 TOP_N = 20
@@ -45,7 +43,7 @@ _TOKEN = r"[\p{L}\p{N}]+(?:[-'’][\p{L}\p{N}]+)*"
 
 
 def _sentences(texts: Column) -> Column:
-    """An array of (sentence, tokens, terms) of some texts; terms are the tokens in lower case."""
+    """An array of (sentence, tokens) of some texts."""
 
     def cut(text: Column) -> Column:
         return F.transform(
@@ -53,22 +51,13 @@ def _sentences(texts: Column) -> Column:
             lambda s, i: F.struct(i.alias("sentence"), F.regexp_extract_all(s, F.lit(_TOKEN), F.lit(0)).alias("tokens")),
         )
 
-    return F.transform(
-        F.flatten(F.transform(texts, cut)),
-        lambda s: F.struct(s["sentence"].alias("sentence"), s["tokens"].alias("tokens"), F.transform(s["tokens"], F.lower).alias("terms")),
-    )
-
-
-def _document_terms(df: DataFrame, key: Sequence[str], text: str, stop_words: Sequence[str]) -> DataFrame:
-    """keys, _terms: one row per document with the features of all its terms.  Rows of one key are one document."""
-    documents, stop = df.groupBy(*key).agg(F.collect_list(text).alias("_texts")), frozenset(stop_words)
+    return F.flatten(F.transform(texts, cut))
 
-    def counted(sentences: pa.Array) -> pa.Array:
-        return term_features(sentences, stop)
 
-    kind = f"array<struct<{','.join(f'{name}:{of}' for name, of in TERM_FEATURES.items())}>>"
-    terms = F.arrow_udf(counted, kind)(_sentences(F.col("_texts")))
-    return documents.select(*key, terms.alias("_terms"))
+def _document_terms(df: DataFrame, key: Sequence[str], text: str, kind: str, found: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """keys, _terms: one row per document with what ``found`` makes of its sentences.  Rows of one key are one document."""
+    documents = df.groupBy(*key).agg(F.collect_list(text).alias("_texts"))
+    return documents.select(*key, F.arrow_udf(found, kind)(_sentences(F.col("_texts"))).alias("_terms"))
 
 
 def term_statistics(
@@ -78,34 +67,30 @@ def term_statistics(
 
     Texts are dealt by ``key`` (unless they are ``placed`` so already), so that no token is shuffled.
     """
-    key = list(key)
-    documents = _document_terms(df if placed else by_document(df, key, text), key, text, stop_words)
-    return documents.select(*key, F.explode("_terms").alias("_t")).select(*key, "_t.*")
-
-
-Once = Callable[[Column, Callable[[Column], Column]], Column]
+    key, stop = list(key), frozenset(stop_words)
+    kind = f"array<struct<{','.join(f'{name}:{of}' for name, of in TERM_FEATURES.items())}>>"
 
+    def counted(sentences: pa.Array) -> pa.Array:
+        return term_features(sentences, stop)
 
-def _by_element(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` within a lambda, where Spark would compute ``value`` again at every mention."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    documents = _document_terms(df if placed else by_document(df, key, text), key, text, kind, counted)
+    return documents.select(*key, F.explode("_terms").alias("_t")).select(*key, "_t.*")
 
 
-def _score(term: Callable[[str], Column], once: Once = lambda value, use: use(value)) -> Column:
-    """The score of a content term; ``term`` gives its features and the totals of its document by name."""
+def _score() -> Column:
+    """The score of a content term from its features and the totals of its document, as in ``functions.terms``."""
 
     def diversity(distinct: str, total: str) -> Column:
-        return F.when(term(total) > 0, term(distinct) / term(total)).otherwise(0.0)
-
-    def weight(relatedness: Column) -> Column:
-        return (relatedness * position) / (casing + frequency / relatedness + sentence_spread / relatedness)
+        return F.when(F.col(total) > 0, F.col(distinct) / F.col(total)).otherwise(0.0)
 
-    casing = F.greatest(term("tf_upper"), term("tf_acronym")) / (1 + F.log(term("tf")))
-    position = F.log(F.log(3 + term("median_sentence")))
-    frequency = term("tf") / term("typical_tf")
-    sentence_spread = term("n_sentences") / term("all_sentences")
-    relatedness = 1 + (diversity("d_left", "n_left") + diversity("d_right", "n_right")) * term("tf") / term("max_tf")
-    return once(once(relatedness, weight), lambda w: w / ((1 + w) * term("tf")))
+    tf = F.col("tf")
+    casing = F.greatest("tf_upper", "tf_acronym") / (1 + F.log(tf))
+    position = F.log(F.log(3 + F.col("median_sentence")))
+    frequency = tf / F.col("typical_tf")
+    sentence_spread = F.col("n_sentences") / F.col("all_sentences")
+    relatedness = 1 + (diversity("d_left", "n_left") + diversity("d_right", "n_right")) * tf / F.col("max_tf")
+    weight = (relatedness * position) / (casing + frequency / relatedness + sentence_spread / relatedness)
+    return weight / ((1 + weight) * tf)
 
 
 def score_terms(stats: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -120,19 +105,7 @@ def score_terms(stats: DataFrame, key: Sequence[str]) -> DataFrame:
             (F.avg(content_tf).over(document) + spread).alias("typical_tf"),
             (F.max("last_sentence").over(document) + 1).alias("all_sentences"),
         )
-    return stats.where(~F.col("is_stop")).select(*key, "term", "tf", _score(F.col).alias("score"))
-
-
-def _distinct_words(candidates: Column, limit: float, top: int) -> Column:
-    """The candidates in score order; one too similar to a word already taken is skipped; at most ``top``."""
-    if limit >= 1:
-        return F.slice(candidates, 1, top)
-
-    def places(words: pa.Array) -> pa.Array:
-        return pa.array([dissimilar_places(row.values.to_pylist(), limit, top) for row in words], pa.list_(pa.int32()))
-
-    taken = F.arrow_udf(places, "array<int>")(candidates["term"])
-    return F.transform(taken, lambda place: F.get(candidates, place))
+    return stats.where(~F.col("is_stop")).select(*key, "term", "tf", _score().alias("score"))
 
 
 def by_document(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
@@ -158,15 +131,13 @@ def rank_terms(
 
     Of the terms taken only the ``suitable`` ones are then numbered.
     """
-    key = list(key)
-    # the terms of a document stay one array, so nothing is grouped again
-    documents = _document_terms(df, key, text, stop_words)
-    content = F.filter("_terms", lambda t: ~t["is_stop"])
-    scored = F.transform(
-        content, lambda t: F.struct(F.round(_score(t.getField, _by_element), 12).alias("score"), t["term"].alias("term"))
-    )
-    listed = with_column_once(documents, "_listed", F.sort_array(scored))
-    taken = listed.select(*key, _distinct_words(F.col("_listed"), dedup_limit, top_n).alias("_taken"))
+    key, stop = list(key), frozenset(stop_words)
+
+    def best(sentences: pa.Array) -> pa.Array:
+        return best_terms(sentences, stop, dedup_limit, top_n)
+
+    # the terms of a document are scored and chosen where they are counted, so only the best ones leave the task
+    taken = _document_terms(df, key, text, RANKED, best).withColumnRenamed("_terms", "_taken")
     if suitable is not None:
         taken = taken.withColumn("_taken", F.filter("_taken", lambda t: suitable(t["term"])))
     out = taken.select(*key, F.posexplode("_taken").alias("_at", "_t"))
