@@ -26,7 +26,7 @@ from paperloom.operators.ml.prep import (
     split_flags,
 )
 from paperloom.operators.ml.trees import search_boosted, search_forest
-from paperloom.plans.materialize import ensure_checkpointing, materialize
+from paperloom.plans.materialize import discard, ensure_checkpointing, materialize
 
 # --- fixed values: must equal the expected output ---------------------------------
 PENALTIES = [0.01, 0.1, 1, 10, 100]
@@ -202,6 +202,7 @@ def fit_supervised(
     filled = materialize(impute(rows, [*features, target] if has_holes else features), "filled")
     cardinality_guard(filled, target, module)
     flagged = materialize(split_flags(filled, id_col, stratify, test_size), "split")
+    discard(filled)
     train, test = flagged.where(~F.col("is_test")), flagged.where("is_test")
 
     encoder = None
@@ -224,15 +225,15 @@ def fit_supervised(
             rows = encoder.transform(rows.withColumn("_target", F.col(target).cast("string")))
         return preprocessor.transform(rows).select("features", "label", "fold", F.xxhash64(id_col).alias("row"))
 
-    table = materialize(prepared(add_folds(train, id_col, stratify, folds)), "train")
+    table = prepared(add_folds(train, id_col, stratify, folds))
     build = MODELS[module, model_type]
     candidates = expand_grid(grid if grid is not None else GRIDS[module, model_type])
-    if build in (search_boosted, search_forest):
+    if build in (search_boosted, search_forest):  # they write the rows as bytes
         means, fitted = build(table, module, candidates, folds)
         best, scores = _ranked(table, candidates, means)
         search = Search(dict(candidates[best]), scores, fitted)
     else:
-        search = grid_search(table, module, build, candidates, folds, parallelism)
+        search = grid_search(materialize(table, "train"), module, build, candidates, folds, parallelism)
 
     stages = [*preprocessor.stages, search.model]
     if encoder is not None:

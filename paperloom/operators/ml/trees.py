@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import io
 import math
+import zlib
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.plans.materialize import ensure_checkpointing, materialize
+from paperloom.plans.materialize import discard, ensure_checkpointing, materialize
 from paperloom.plans.project import spread
 
 BINS = 64
@@ -39,6 +40,7 @@ CHUNK_ROWS = 1 << 15
 LOCAL_ROWS = 1 << 15
 #: cells of a histogram that one pass returns, and of what a task holds to add it up
 PASS_CELLS, TASK_CELLS = 1 << 23, 1 << 22
+DRAWN_ROWS = 1 << 22  # rows whose draws a task adds up by place at once
 CHECKPOINT_ROUNDS = 20
 COLLECTED_PARTS = 16
 
@@ -86,8 +88,8 @@ class Chunk:
     scores: np.ndarray | None = None
 
 
-def binned(rows: DataFrame, bins: Bins) -> RDD:
-    """``rows`` (features, label, fold, row) as chunks of bytes, written once and read by every pass."""
+def binned(rows: DataFrame, bins: Bins) -> tuple[RDD, DataFrame]:
+    """``rows`` (features, label, fold, row) as chunks of bytes, written once and read by every pass, and the written table."""
     width = len(bins.cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +108,8 @@ def binned(rows: DataFrame, bins: Bins) -> RDD:
         label = np.frombuffer(r.label, "f8")
         return Chunk(np.frombuffer(r.bins, np.uint8).reshape(len(label), width), label, np.frombuffer(r.fold, "i2"), np.frombuffer(r.row, "i8"))
 
-    return table.rdd.map(read).persist(StorageLevel.MEMORY_AND_DISK)
+    # what memory does not hold is read from the table again, as it is on disk already
+    return table.rdd.map(read).persist(StorageLevel.MEMORY_ONLY), table
 
 
 @dataclass
@@ -571,11 +574,33 @@ def boost(
 
 
 # forests ------------------------------------------------------------------------------
+def _least_over(edge: float) -> int:
+    """The least 64-bit value that is, divided by 2**64 as a float, not below ``edge``."""
+    low, high = 0, (1 << 64) - 1
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if float(middle) / 2.0**64 >= edge else (middle + 1, high)
+    return low
+
+
+#: from which hash on a row is drawn once, twice, ...: Poisson with mean 1
+_DRAWN_FROM = np.array([_least_over(e) for e in np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])], np.uint64)
+_SEVERAL = 255  # hashes with the same first bits are drawn differently often
+_BY_FIRST_BITS = np.searchsorted(_DRAWN_FROM, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48), side="right").astype(np.uint8)
+_BY_FIRST_BITS[(_DRAWN_FROM >> np.uint64(48)).astype(int)] = _SEVERAL
+
+
+def _drawn(hashes: np.ndarray) -> np.ndarray:
+    """How often rows of some hashes are drawn."""
+    times = _BY_FIRST_BITS[(hashes >> np.uint64(48)).astype(np.uint16)]
+    several = times == _SEVERAL
+    times[several] = np.searchsorted(_DRAWN_FROM, hashes[several], side="right")
+    return times
+
+
 def draws(row: np.ndarray, trees: np.ndarray) -> np.ndarray:
     """How often each tree (rows of the result) draws each row: Poisson with mean 1, from a hash of both."""
-    u = mixed(mixed(row.astype(np.uint64))[None, :] + mixed(trees.astype(np.uint64) + np.uint64(1))[:, None]) / 2.0**64
-    edges = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
-    return np.searchsorted(edges, u, side="right").astype(float)
+    return _drawn(mixed(mixed(row.astype(np.uint64))[None, :] + mixed(trees.astype(np.uint64) + np.uint64(1))[:, None])).astype(float)
 
 
 def _sorted_cuts(
@@ -660,16 +685,14 @@ def grow_alone(data: np.ndarray, weights: list[np.ndarray], rule: Rule, root: Tr
     return trees
 
 
-def _forest_terms(classes: int, center: float, largest: float, rows: int, features: int) -> tuple[Callable[[Chunk, np.ndarray], list[np.ndarray]], Rule]:
-    """What a chunk's rows weigh when drawn so many times, and how a forest's nodes are cut."""
+def _forest_terms(classes: int, center: float, largest: float, rows: int, features: int) -> tuple[Callable[[np.ndarray], np.ndarray], Rule]:
+    """What labels count as in sums, and how a forest's nodes are cut."""
     quantum = _quantum(1.0 if classes else largest, 4 * rows)
 
-    def weights_of(c: Chunk, times: np.ndarray) -> list[np.ndarray]:
-        if classes:
-            return [*[times * (c.label == k) for k in range(classes)], times]
-        return [times * (np.rint((c.label - center) / quantum) * quantum), times]
+    def counted(label: np.ndarray) -> np.ndarray:
+        return label if classes else np.rint((label - center) / quantum) * quantum
 
-    return weights_of, Rule(0.0, 1.0, 1e-12 * (1.0 if classes else max(largest, 1e-150) ** 2), features)
+    return counted, Rule(0.0, 1.0, 1e-12 * (1.0 if classes else max(largest, 1e-150) ** 2), features)
 
 
 def forest(
@@ -683,16 +706,17 @@ def forest(
     keys = [(f, t) for f in folds for t in range(n_trees)]
     fold, number = (np.array(c) for c in zip(*keys))
     channels = classes or 1
-    weights_of, rule = _forest_terms(classes, center, largest, rows, features)
+    counted, rule = _forest_terms(classes, center, largest, rows, features)
 
     def weights(c: Chunk, chosen: slice | np.ndarray = slice(None)) -> list[np.ndarray]:
-        return weights_of(c, np.where(c.fold != fold[chosen][:, None], draws(c.row, number[chosen]), 0))
+        times = np.where(c.fold != fold[chosen][:, None], draws(c.row, number[chosen]), 0)
+        return [*([times * (c.label == k) for k in range(classes)] if classes else [times * counted(c.label)]), times]
 
     trees = Trees.stumps(len(keys), channels, mixed(number.astype(np.uint64) + np.uint64(7)))
 
     places = Places.found(chunks, bins, local_rows) if rows > local_rows else None
     if places is not None:
-        return dict(_trees_of_places(chunks, bins, places, folds, n_trees, depth, weights_of, channels, rule).collect())  # fitted models
+        return dict(_trees_of_places(chunks, bins, places, folds, n_trees, depth, classes, counted, rule, rows).collect())  # fitted models
 
     def totals(held: Iterator[Chunk]) -> Iterator[np.ndarray]:
         yield sum((np.stack([w.sum(1) for w in weights(c)], 1) for c in held), np.zeros((len(keys), channels + 1)))
@@ -720,38 +744,111 @@ def forest(
     return {key: _joined(trees, i, subtrees) for i, key in enumerate(keys)}
 
 
+@dataclass
+class Draws:
+    """Rows by cell (fold, class and place), of which each tree draws some."""
+
+    cells: np.ndarray
+    ends: np.ndarray
+    row: np.ndarray
+    label: np.ndarray | None
+
+    @staticmethod
+    def of(cell: np.ndarray, row: np.ndarray, label: np.ndarray | None) -> Draws:
+        order = cell.argsort(kind="stable")
+        cell = cell[order]
+        ends = np.flatnonzero(np.concatenate([cell[1:] != cell[:-1], [True]]))
+        return Draws(cell[ends], ends, mixed(row[order].astype(np.uint64)), None if label is None else label[order])
+
+    def _by_cell(self, value: np.ndarray, kind: type) -> np.ndarray:
+        running = value.cumsum(dtype=kind)[self.ends]
+        return np.diff(running, prepend=running.dtype.type(0))
+
+    def sums(self, trees: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """How many rows each of ``trees`` draws of each cell, and what their labels add up to; exact as all sums."""
+        count = np.zeros((len(trees), len(self.cells)), np.uint32)
+        total = None if self.label is None else np.zeros(count.shape)
+        times = np.empty(len(self.row), np.uint8)
+        for i, seed in enumerate(mixed(trees.astype(np.uint64) + np.uint64(1))):
+            for at in range(0, len(times), CHUNK_ROWS):
+                times[at : at + CHUNK_ROWS] = _drawn(mixed(self.row[at : at + CHUNK_ROWS] + seed))
+            count[i] = self._by_cell(times, np.uint32)
+            if total is not None:
+                total[i] = self._by_cell(times * self.label, float)
+        return count, total
+
+
+def _small(values: np.ndarray) -> tuple[bytes, str]:
+    """Whole numbers in few bytes."""
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    return zlib.compress(values.astype(kind).tobytes(), 1), kind.str
+
+
+def _restored(given: tuple[bytes, str]) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(given[0]), given[1])
+
+
 def _trees_of_places(
-    chunks: RDD, bins: Bins, places: Places, folds: Sequence[int], n_trees: int, depth: int, weights_of: Callable[[Chunk, np.ndarray], list[np.ndarray]], channels: int, rule: Rule
+    chunks: RDD, bins: Bins, places: Places, folds: Sequence[int], n_trees: int, depth: int, classes: int, counted: Callable[[np.ndarray], np.ndarray], rule: Rule, rows: int
 ) -> RDD:
-    """((fold, tree number), tree) of a table with few places: a task adds up the draws of some trees by fold and place and grows them."""
-    size, parts = len(places.keys), max(folds) + 2
-    groups = min(n_trees, 3 * chunks.context.defaultParallelism)
+    """((fold, tree number), tree) of a table with few places, from the sums of what each tree draws by fold and place.
+
+    Sums are made where the rows are, of up to ``DRAWN_ROWS`` at a time, and only they are shuffled; a task then grows some trees.
+    """
+    size, parts, width = len(places.keys), max(folds) + 2, classes or 1
+    parallelism = chunks.context.defaultParallelism
+    groups = min(n_trees, 3 * parallelism)
     held = chunks.context.broadcast((places.keys, places.bins))
 
-    def compact(c: Chunk) -> tuple[np.ndarray, ...]:
+    def compact(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         fold = np.where((c.fold >= 0) & (c.fold < parts - 1), c.fold, parts - 1).astype(np.int64)
-        return (fold * size + Places(*held.value).of(bins, c.bins)).astype(np.int64), c.label, c.row
-
-    def run(item: tuple[int, Iterator]) -> Iterator[tuple[tuple[int, int], Trees]]:
-        group, given = item
+        kind = c.label.astype(np.int64) if classes else 0
+        cell = (fold * width + kind) * size + Places(*held.value).of(bins, c.bins)
+        return cell.astype(np.int32), c.row, None if classes else counted(c.label)
+
+    def summed_up(given: list[tuple]) -> Iterator[tuple[int, tuple]]:
+        cell, row, label = (None if c[0] is None else np.concatenate(c) for c in zip(*given))
+        given.clear()
+        drawn = Draws.of(cell, row, label)
+        cells = _small(np.diff(drawn.cells, prepend=0))
+        for group in range(groups):
+            count, total = drawn.sums(np.arange(group, n_trees, groups))
+            yield group, (cells, _small(count), total)
+
+    def draw(held_chunks: Iterator[Chunk]) -> Iterator[tuple[int, tuple]]:
+        waiting, n = [], 0
+        for c in held_chunks:
+            waiting.append(compact(c))
+            n += len(c.label)
+            if n >= DRAWN_ROWS:
+                yield from summed_up(waiting)
+                n = 0
+        if n:
+            yield from summed_up(waiting)
+
+    def grow(group: int, given: Iterator[tuple[int, tuple]]) -> Iterator[tuple[tuple[int, int], Trees]]:
         own = np.arange(group, n_trees, groups)
-        total = np.zeros((len(own), channels + 1, parts * size))
-        for at, label, row in given:
-            c = Chunk(np.zeros((0, 0)), label, np.zeros(0), row)
-            for i, tree in enumerate(own):
-                for channel, w in enumerate(weights_of(c, draws(row, np.array([tree])))):
-                    total[i, channel] += np.bincount(at, w[0], parts * size)
+        drawn = np.zeros((len(own), parts * width * size))
+        label_sums = None if classes else np.zeros_like(drawn)
+        for _, (cells, count, total) in given:
+            at = _restored(cells).cumsum(dtype=np.int64)
+            count = _restored(count).reshape(len(own), len(at))
+            for i in range(len(own)):
+                drawn[i, at] += count[i]
+                if total is not None:
+                    label_sums[i, at] += total[i]
         for i, tree in enumerate(own):
-            by_fold = total[i].reshape(channels + 1, parts, size)
+            by_class = drawn[i].reshape(parts, width, size)
+            channels = [*(by_class.transpose(1, 0, 2) if classes else [label_sums[i].reshape(parts, size)]), by_class.sum(axis=1)]
             for fold in folds:
-                inside = by_fold.sum(axis=1) - (by_fold[:, fold] if fold >= 0 else 0)
-                root = Trees.stumps(1, channels, mixed(np.array([tree], np.uint64) + np.uint64(7)))
-                root.value[:] = _values(inside.sum(axis=1)[None], rule)
-                grown = grow_alone(held.value[1], list(inside), rule, root, depth)
-                yield (fold, int(tree)), grown
+                inside = [c.sum(axis=0) - (c[fold] if fold >= 0 else 0) for c in channels]
+                root = Trees.stumps(1, width, mixed(np.array([tree], np.uint64) + np.uint64(7)))
+                root.value[:] = _values(np.array([c.sum() for c in inside])[None], rule)
+                yield (fold, int(tree)), grow_alone(held.value[1], inside, rule, root, depth)
 
-    dealt = chunks.map(compact).flatMap(lambda c: [(g, c) for g in range(groups)]).groupByKey(groups, partitionFunc=lambda g: g)
-    return dealt.flatMap(run)
+    tasks = max(parallelism, -(-rows // DRAWN_ROWS))
+    dealt = chunks.coalesce(tasks) if chunks.getNumPartitions() > tasks else chunks
+    return dealt.mapPartitions(draw).partitionBy(groups, lambda g: g).mapPartitionsWithIndex(grow)
 
 
 def _finished(chunks: RDD, bins: Bins, trees: Trees, small: list[tuple[int, int, int]], weights, rule: Rule, depth: int) -> dict[int, Trees]:
@@ -833,6 +930,46 @@ def _packed(arrays: Mapping[str, np.ndarray]) -> str:
     return base64.b64encode(held.getvalue()).decode()
 
 
+@dataclass
+class Leaves:
+    """Trees as they are shipped to the rows they predict: values of leaves only, numbers as small as they fit."""
+
+    roots: np.ndarray
+    feature: np.ndarray
+    cut: np.ndarray
+    below: np.ndarray
+    value: np.ndarray
+
+    @staticmethod
+    def of(sizes: np.ndarray, feature: np.ndarray, cut: np.ndarray, left: np.ndarray, value: np.ndarray, depth: int) -> Leaves:
+        """Trees side by side, each with its children counted from its root; nodes ``depth`` levels below are leaves."""
+        roots = np.cumsum(sizes) - sizes
+        start, feature, nodes, level = np.repeat(roots, sizes), feature.copy(), roots, 0
+        while len(nodes):
+            if level == depth:
+                feature[nodes] = -1
+            nodes = nodes[feature[nodes] >= 0]
+            nodes = (start[nodes] + left[nodes])[:, None] + np.array([0, 1])
+            nodes, level = nodes.ravel(), level + 1
+        leaf = feature < 0
+        # a child of an inner node, the place of a leaf's value
+        below = np.where(leaf, np.cumsum(leaf) - 1, start + left)
+        kinds = [np.result_type(np.min_scalar_type(int(a.max(initial=0))), np.int8) for a in (feature, below)]
+        return Leaves(roots, feature.astype(kinds[0]), cut, below.astype(kinds[1]), value[leaf])
+
+    def read(self, tree: int, bins: np.ndarray) -> np.ndarray:
+        """The values of a tree for some rows."""
+        columns, at = bins.T, np.arange(len(bins))
+        node = np.full(len(bins), self.roots[tree])
+        while True:
+            feature = self.feature[node]
+            inner = feature >= 0
+            if not inner.any():
+                return self.value[self.below[node]]
+            right = columns[np.maximum(feature, 0), at] > self.cut[node]
+            node = np.where(inner, self.below[node] + right, node)
+
+
 class TreeModel(Model, DefaultParamsReadable, DefaultParamsWritable):
     """A fitted ensemble: a transformer from ``features`` to ``prediction`` that can be saved in a pipeline."""
 
@@ -855,21 +992,18 @@ class TreeModel(Model, DefaultParamsReadable, DefaultParamsWritable):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         held = np.load(io.BytesIO(base64.b64decode(self.getOrDefault(self.payload))))
         bins = Bins(np.split(held["cuts"], np.cumsum(held["cut_sizes"])[:-1]))
-        edges = np.cumsum(held["sizes"])[:-1]
-        parts = zip(*[np.split(held[k], edges) for k in ("feature", "cut", "left", "value")])
-        made = [Trees(np.zeros(1, np.int64), f, c, left, v, np.zeros(len(f), np.uint64)) for f, c, left, v in parts]
         classes, base, rate, outputs, depth = held["head"].tolist()
         classes, outputs, depth = int(classes), int(outputs), int(depth)
+        leaves = Leaves.of(*[held[k] for k in ("sizes", "feature", "cut", "left", "value")], depth)
 
         def predict(values: np.ndarray) -> np.ndarray:
             data = bins.of(values)
             if not outputs:
-                mean = forest_sums(made, data, [len(made)], [depth])[0, 0]
+                mean = sum(leaves.read(i, data) for i in range(len(leaves.roots))) / len(leaves.roots)
                 return mean.argmax(1).astype(float) if classes else mean[:, 0] + base
             scores = np.full((1, outputs, len(data)), base)
-            for i, tree in enumerate(made):
-                node = tree.route(data, np.zeros((1, len(data)), np.int64))[0]
-                scores[0, i % outputs] += rate * tree.value[node, 0]
+            for i in range(len(leaves.roots)):
+                scores[0, i % outputs] += rate * leaves.read(i, data)[:, 0]
             return boosted_scores(scores, classes)[0]
 
         @F.pandas_udf("double")
@@ -889,6 +1023,11 @@ class TreeTable:
     classes: int
     means: list[float]
     largest: float
+    written: DataFrame
+
+    def discard(self) -> None:
+        self.chunks.unpersist()
+        discard(self.written)
 
 
 def tree_table(train: DataFrame, module: str, folds: int, bins: int = BINS) -> TreeTable:
@@ -899,7 +1038,8 @@ def tree_table(train: DataFrame, module: str, folds: int, bins: int = BINS) -> T
     n, top, low, means = train.agg(F.count("*"), F.max("label"), F.min("label"), F.array(*outside)).first()
     classes = max(2, int(top or 0) + 1) if module == "classification" else 0
     means = [m or 0.0 for m in means]
-    return TreeTable(binned(train, found), found, n, classes, means, max((abs((x or 0.0) - m) for x in (top, low) for m in means), default=0.0))
+    chunks, written = binned(train, found)
+    return TreeTable(chunks, found, n, classes, means, max((abs((x or 0.0) - m) for x in (top, low) for m in means), default=0.0), written)
 
 
 def _mean_scores(totals: np.ndarray, classes: int) -> float:
@@ -918,7 +1058,7 @@ def search_boosted(train: DataFrame, module: str, candidates: Sequence[Mapping],
     # residuals of a fit that overshoots stay within a few times the spread of the labels
     largest = 1.0 if table.classes else 8 * table.largest
     made, scored = boost(table.chunks, table.bins, fits, marks[-1], table.classes, base, largest, table.rows, marks, local_rows)
-    table.chunks.unpersist()
+    table.discard()
     places = [grid.index((c["max_depth"], c["learning_rate"])) * (folds + 1) for c in candidates]
     means = [_mean_scores(scored[c["n_estimators"]][p : p + folds], table.classes) for c, p in zip(candidates, places)]
     best = max(range(len(candidates)), key=lambda i: (means[i], -i))
@@ -937,9 +1077,9 @@ def _place_quality(
     Only their values by place are added up, as multiples of a power of two, so that the order of trees does not matter.
     """
     classes, channels = table.classes, table.classes or 1
-    weights_of, rule = _forest_terms(classes, center, table.largest, table.rows, features)
+    counted, rule = _forest_terms(classes, center, table.largest, table.rows, features)
     stats = place_sums(table.chunks, table.bins, places, folds, classes, center, _quantum(1.0 if classes else table.largest, 4 * table.rows))
-    grown = _trees_of_places(table.chunks, table.bins, places, range(folds), counts[-1], depths[-1], weights_of, channels, rule)
+    grown = _trees_of_places(table.chunks, table.bins, places, range(folds), counts[-1], depths[-1], classes, counted, rule, table.rows)
     held = table.chunks.context.broadcast((places.bins, stats))  # at most ``local_rows`` places
     quantum = _quantum(1.0 if classes else table.largest, counts[-1])
 
@@ -1015,5 +1155,5 @@ def search_forest(train: DataFrame, module: str, candidates: Sequence[Mapping],
     point = candidates[best]
     depth = point["max_depth"] or no_limit
     chosen = grown(-1, point["n_estimators"], depth)
-    table.chunks.unpersist()
+    table.discard()
     return means, TreeModel.of(table.bins, chosen, table.classes, center, 1.0, 0, depth)

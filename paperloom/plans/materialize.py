@@ -40,3 +40,12 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(stage: DataFrame) -> None:
+    """Delete the files of a written stage that nothing reads any more."""
+    spark = stage.sparkSession
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for folder in {file.rsplit("/", 1)[0] for file in stage.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
